@@ -48,11 +48,15 @@ def percent_sql(part: str, total: str) -> str:
     return f"coalesce(round_even({part}::double / nullif({total}, 0) * 100, 2), 0)"
 
 
+def nearest_percent_sql(part: str, total: str) -> str:
+    return f"coalesce(cast(format('{{:.2f}}', {part}::double / nullif({total}, 0) * 100) as double), 0)"
+
+
 def top_tokens_sql(table: str, column: str, separator: str, name: str, limit: int | None, synonyms: bool = True) -> str:
     cut = f"limit {limit}" if limit else ""
     return f"""with counts as (select token, count(*) as n from {tokens_sql(table, column, separator, '', synonyms)} group by 1)
 select row_number() over (order by n desc, token) as "Rank", token as "{name}", n as "Count",
-       {percent_sql('n', '(select sum(n) from counts)')} as "Percentage"
+       {nearest_percent_sql('n', '(select sum(n) from counts)')} as "Percentage"
 from counts order by n desc, token {cut}"""
 
 

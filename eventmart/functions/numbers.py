@@ -17,13 +17,34 @@ def cap_to_null(c: Column, maximum: float) -> Column:
     return F.when(c <= F.lit(maximum), c)
 
 
-def percentage(part: Column, total: Column) -> Column:
-    """``part`` as a percentage of ``total``, two digits, half to even; 0 when there is no total.
+def round_half_even(c: Column, digits: int = 2) -> Column:
+    """Round a scaled double half to even, as array libraries do (FN-15, FN-16)."""
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale
 
-    The operand order matters for the last digit (FN-15).
+
+def round_nearest(c: Column) -> Column:
+    """Two-digit value nearest to a double in [0, 128), exact ties to even.
+
+    ``0.06725 * 100`` prints as 6.725 but lies above it, so scaling first would lose
+    the digit that decides. The double is split in two parts whose products with 200
+    are exact; the sign of their sum tells on which side of the tie it lies.
+    """
+    below = F.floor(c * 100).cast("double")
+    head = F.floor(c * 524288).cast("double") / 524288
+    side = (head * 200 - (below * 2 + 1)) + (c - head) * 200
+    step = F.when(side > 0, 1.0).when(side < 0, 0.0).otherwise(below % 2)
+    return (below + step) / 100
+
+
+def percentage(part: Column, total: Column, nearest: bool = False) -> Column:
+    """``part`` as a percentage of ``total`` with two digits; 0 when there is no total.
+
+    ``nearest`` selects :func:`round_nearest`, the rule of the ranked token lists;
+    distributions use :func:`round_half_even`.
     """
-    share = F.bround(F.try_divide(part, total) * 100, 2)
-    return F.coalesce(share, F.lit(0.0))
+    share = F.try_divide(part, total) * 100
+    return F.coalesce(round_nearest(share) if nearest else round_half_even(share), F.lit(0.0))
 
 
 def growth(current: Column, previous: Column) -> Column:

@@ -119,7 +119,7 @@ def summary_statistics(
         F.date_format(F.min(moment), "yyyy-MM-dd").alias("date_start"),
         F.date_format(F.max(moment), "yyyy-MM-dd").alias("date_end"),
         F.coalesce(
-            column(S.EXTRA_MEMBERS, lambda c: F.bround(F.avg(numbers.team_size(c)), 2), 0.0), F.lit(0.0)
+            column(S.EXTRA_MEMBERS, lambda c: numbers.round_half_even(F.avg(numbers.team_size(c))), 0.0), F.lit(0.0)
         ).alias("avg_team_size"),
     )
     top_technology = top_tokens(submissions, S.BUILT_WITH, ",", technologies, 1, "Technology")

@@ -76,7 +76,7 @@ def seasonal_insights(seasonal: DataFrame) -> DataFrame:
         F.max(count).alias("peak_count"),
         F.min_by("Month Name", F.struct(count, month)).alias("low_month"),
         F.min(count).alias("low_count"),
-        F.bround(F.avg(count), 1).alias("avg_per_month"),
+        numbers.round_half_even(F.avg(count), 1).alias("avg_per_month"),
     )
 
 
@@ -118,7 +118,7 @@ def latest_year(yearly: DataFrame) -> DataFrame:
 
 def rounded_for_display(df: DataFrame, columns, digits: int = 1) -> DataFrame:
     """Means and growth figures rounded half to even for a table (FN-16)."""
-    return df.withColumns({c: F.bround(quoted(c), digits) for c in columns})
+    return df.withColumns({c: numbers.round_half_even(quoted(c), digits) for c in columns})
 
 
 def date_span(df: DataFrame, column: str = S.SRC_DATE) -> DataFrame:

@@ -81,7 +81,7 @@ def top_tokens(
     counts = token_counts(df, column, separator, synonyms, name, **options)
     total = counts.agg(F.sum("Count")).scalar()
     ordered = ranked(counts, "Count", name, limit)
-    return ordered.withColumn("Percentage", numbers.percentage(F.col("Count"), total))
+    return ordered.withColumn("Percentage", numbers.percentage(F.col("Count"), total, nearest=True))
 
 
 def _top_schema(name):
@@ -177,7 +177,7 @@ def trend_statistics(trend: DataFrame, name: str = "Technology") -> DataFrame:
         trend.groupBy(name)
         .agg(
             F.sum("Count").alias("Total Uses"),
-            F.bround(F.avg("Count"), 2).alias("Avg per Period"),
+            numbers.round_half_even(F.avg("Count")).alias("Avg per Period"),
             F.max("Count").alias("Peak Usage"),
         )
         .orderBy(F.desc("Total Uses"), name)
