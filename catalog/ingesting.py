@@ -1 +1,219 @@
-"""To be filled."""
+"""Ingest of exports written from the driver's tables, the store, raw exports."""
+
+from __future__ import annotations
+
+from adapters import registrants, submissions
+from eventmart import schemas as S
+from eventmart.operators import clean, ledger
+from eventmart.plans import ingest
+from eventmart.session import run_dir
+from eventmart.sinks.bundles import raw_export as export
+from eventmart.sinks.store import write_parts
+from eventmart.sources import store, text_exports
+from eventmart.streaming.drop_folder import pick_up
+from pyspark.sql import functions as F
+
+from .registry import SPACE, query
+
+
+def _write_csv(df, folder, sep, encoding="UTF-8"):
+    writer = df.write.option("header", True).option("sep", sep).option("escape", '"').option("encoding", encoding)
+    writer.csv(folder)
+    return folder
+
+
+def drop_folders(spark, sf_dir, base):
+    """Exports in three layouts: even and odd submissions, and all registrants."""
+    subs = submissions(spark, sf_dir)
+    even = F.crc32(F.col(f"`{S.URL}`")) % 2 == 0
+    moved = subs.filter(~even).withColumn("Created At", F.col(f"`{S.CREATED}`"))
+    people = registrants(spark, sf_dir).withColumn(S.INTERESTS, F.lit("españa;x"))
+    return [
+        _write_csv(subs.filter(even), f"{base}/a", ","),
+        _write_csv(moved, f"{base}/b", ";"),
+        _write_csv(people, f"{base}/c", "\t", "ISO-8859-1"),
+    ]
+
+
+SUBS = ["org", "title", "project", "url", "created", "built_with", "extra"]
+_SUBS_SQL = f"select org, title, project, url, created, trim(regexp_replace(built_with, '{SPACE}', ' ', 'g')) as built_with, extra from sub"
+
+
+def stored_submissions(spark, folder):
+    names = [S.ORG, S.TITLE, S.PROJECT, S.URL, S.CREATED, S.BUILT_WITH, S.EXTRA_MEMBERS]
+    return store.read_store(spark, folder, "submission").select(*[f"`{n}`" for n in names]).toDF(*SUBS)
+
+
+@query("ingest_folder", _SUBS_SQL, ("sub",))
+def ingest_folder(spark, sf_dir):
+    """Ingest the folders twice: the second run finds nothing new."""
+    base = run_dir(spark, "ingest")
+    folders = drop_folders(spark, sf_dir, base)
+    for _ in range(2):
+        ingest.ingest_folder(spark, folders, f"{base}/store", f"{base}/ledger")
+    return stored_submissions(spark, f"{base}/store")
+
+
+_TOTAL = """select (select count(*) from sub) + (select count(*) from reg) as total_rows, 0 as failed_jobs, 0 as processing_jobs,
+ true as again_all_skipped"""
+
+
+@query("ingest_report", _TOTAL, ("sub", "reg"))
+def ingest_report(spark, sf_dir):
+    base = run_dir(spark, "ingest")
+    folders = drop_folders(spark, sf_dir, base)
+    ingest.ingest_folder(spark, folders, f"{base}/store", f"{base}/ledger")
+    again = ingest.run_totals(ingest.ingest_folder(spark, folders, f"{base}/store", f"{base}/ledger"))
+    figures = ledger.statistics(ledger.state(ledger.read(spark, f"{base}/ledger")))
+    skipped = again.select(F.col("skipped_files") == F.col("total_files")).scalar()
+    return figures.select("total_rows", "failed_jobs", "processing_jobs", skipped.alias("again_all_skipped"))
+
+
+def _archives(spark, sf_dir, base):
+    """Registrants packed into ZIP archives, a few per table partition."""
+    people = registrants(spark, sf_dir)
+    names = people.columns
+    target = ingest._as_uri(f"{base}/zips")
+
+    def pack(batches):
+        import io
+        import uuid
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        filesystem, folder = fs.FileSystem.from_uri(target)
+        filesystem.create_dir(folder, recursive=True)
+        for batch in batches:
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+                text = batch.to_csv(index=False)
+                archive.writestr("data/registrants.csv", text)
+                archive.writestr("__MACOSX/registrants.csv", text)
+                archive.writestr("data/~registrants.csv", text)
+            with filesystem.open_output_stream(f"{folder}/{uuid.uuid4().hex}.zip") as out:
+                out.write(held.getvalue())
+            yield pd.DataFrame({"rows": [len(batch)]})
+
+    spread = people.repartition(4, F.col(f"`{S.USER}`")).select(*[f"`{n}`" for n in names])
+    spread.mapInPandas(pack, "rows long").write.mode("overwrite").parquet(f"{base}/packed")
+    return target
+
+
+PEOPLE = ["event", "user_id", "country", "experience", "skills", "occupation", "specialty"]
+_PEOPLE_SQL = """select event, user_id, country, case when experience <= 50 then experience end as experience,
+ coalesce(skills, '') as skills, occupation, specialty from reg"""
+
+
+def stored_registrants(spark, folder):
+    names = [S.EVENT, S.USER, S.COUNTRY, S.EXPERIENCE, S.SKILLS, S.OCCUPATION, S.SPECIALTY]
+    return store.read_store(spark, folder, "registrant").select(*[f"`{n}`" for n in names]).toDF(*PEOPLE)
+
+
+@query("ingest_zip", _PEOPLE_SQL, ("reg",))
+def ingest_zip(spark, sf_dir):
+    base = run_dir(spark, "ingest")
+    ingest.ingest_archives(spark, _archives(spark, sf_dir, base), f"{base}/store", f"{base}/ledger")
+    return stored_registrants(spark, f"{base}/store")
+
+
+@query("ingest_stream", _PEOPLE_SQL, ("reg",))
+def ingest_stream(spark, sf_dir):
+    """Two pick-ups of a drop folder; the second finds the files that came in between."""
+    base = run_dir(spark, "ingest")
+    people = registrants(spark, sf_dir)
+    early = F.crc32(F.col(f"`{S.USER}`")) % 2 == 0
+    for part in (people.filter(early), people.filter(~early)):
+        part.write.mode("append").option("header", True).option("sep", "\t").option("escape", '"').csv(f"{base}/drop")
+        pick_up(spark, f"{base}/drop", f"{base}/store", f"{base}/ledger", f"{base}/checkpoint")
+    return stored_registrants(spark, f"{base}/store")
+
+
+@query("file_manifest")
+def file_manifest(spark, sf_dir):
+    """Profile of every export: hash, encoding, delimiter, headers, kind."""
+    base = run_dir(spark, "manifest")
+    found = text_exports.profile(text_exports.scan_files(spark, *drop_folders(spark, sf_dir, base)))
+    return found.select("file_name", "length", "file_hash", "encoding", "delimiter", F.array_join("names", "|").alias("names"), "file_type", "problem")
+
+
+@query(
+    "file_kinds",
+    """select 'UTF-8' as encoding, ',' as delimiter, 'submission' as file_type, 7 as columns
+ union all select 'UTF-8', ';', 'submission', 8 union all select 'ISO-8859-1', chr(9), 'registrant', 8
+ where (select count(*) from sub) > 0""",
+    ("sub",),
+)
+def file_kinds(spark, sf_dir):
+    base = run_dir(spark, "manifest")
+    found = text_exports.profile(text_exports.scan_files(spark, *drop_folders(spark, sf_dir, base)))
+    return found.select("encoding", "delimiter", "file_type", F.size("names").alias("columns")).distinct()
+
+
+# ---- store --------------------------------------------------------------------------
+
+
+def two_parts(spark, sf_dir, base):
+    """The submissions as two overlapping parts; the later one lacks a column."""
+    rows = submissions(spark, sf_dir).withColumn(S.ROW_NO, F.xxhash64(f"`{S.URL}`"))
+    keyed = clean.with_dedup_key(rows, "submission")
+    bucket = F.crc32(F.col(f"`{S.URL}`")) % 4
+    first = keyed.filter(bucket != 0).withColumns({S.FILE_HASH: F.lit("part1"), S.INGEST_SEQ: F.lit(1).cast("long")})
+    second = keyed.filter(bucket <= 1).withColumns({S.FILE_HASH: F.lit("part2"), S.INGEST_SEQ: F.lit(2).cast("long")})
+    for _ in range(2):
+        write_parts(first, base, "submission")
+    write_parts(second.drop(S.EXTRA_MEMBERS), base, "submission")
+
+
+
+
+@query("load_store")
+def load_store(spark, sf_dir):
+    """Both parts read back: each identity once, the first part wins."""
+    base = run_dir(spark, "store")
+    two_parts(spark, sf_dir, base)
+    return stored_submissions(spark, base)
+
+
+@query("load_store_figures", "select count(*) as n, count(distinct url) as urls, min(created) as first, max(created) as last from sub", ("sub",))
+def load_store_figures(spark, sf_dir):
+    base = run_dir(spark, "store")
+    two_parts(spark, sf_dir, base)
+    rows = stored_submissions(spark, base)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("urls"), F.min("created").alias("first"), F.max("created").alias("last"))
+
+
+@query(
+    "store_summary",
+    """select 'submission' as kind, true as "exists", (select count(*) from sub) as row_count,
+ 'Additional Team Member Count, Built With, Challenge Title, Organization Name, Project Created At, Project Title, Submission Url' as columns
+ union all select 'registrant', false, 0, ''""",
+    ("sub",),
+)
+def store_summary(spark, sf_dir):
+    base = run_dir(spark, "store")
+    two_parts(spark, sf_dir, base)
+    return store.store_summary(spark, base)
+
+
+@query("raw_export", _SUBS_SQL.replace("trim(regexp_replace(built_with, '" + SPACE + "', ' ', 'g')) as built_with", "built_with"), ("sub",))
+def raw_export(spark, sf_dir):
+    """The submissions exported as CSV and read back."""
+    base = run_dir(spark, "export")
+    rows = submissions(spark, sf_dir)
+    export(rows, f"{base}/csv", "csv")
+    text = "org string, title string, project string, url string, created timestamp_ntz, built_with string, extra double"
+    return spark.read.schema(text).option("header", True).option("escape", '"').csv(f"{base}/csv")
+
+
+@query(
+    "raw_export_counts",
+    "select 'csv' as format, (select count(*) from sub) as n, 7 as columns union all select 'parquet', (select count(*) from sub), 7",
+    ("sub",),
+)
+def raw_export_counts(spark, sf_dir):
+    base = run_dir(spark, "export")
+    rows = submissions(spark, sf_dir)
+    seen = [(fmt, *export(rows, f"{base}/{fmt}", fmt).values()) for fmt in ("csv", "parquet")]
+    return spark.createDataFrame(seen, "format string, n long, columns int")

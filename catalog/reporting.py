@@ -1 +1,122 @@
-"""To be filled."""
+"""Report bundles: written to the shared folder, listed by table and rows."""
+
+from __future__ import annotations
+
+from adapters import nation_events, registrants, submissions
+from eventmart import schemas as S
+from eventmart.operators import entities, reconcile, samples
+from eventmart.plans import reports
+from eventmart.session import run_dir
+from eventmart.sinks.bundles import export_history, write_bundle
+from pyspark.sql import functions as F
+
+from .entities import LOOKUP_SQL, SHORT_SQL, dimension, short_entries
+from .registry import SYNONYMS, query, tokens_sql
+
+
+def tables(spark, sf_dir):
+    subs = submissions(spark, sf_dir, S.ORG, S.TITLE, S.PROJECT, S.CREATED, S.BUILT_WITH, S.EXTRA_MEMBERS)
+    people = registrants(spark, sf_dir, S.COUNTRY, S.EXPERIENCE, S.SKILLS, S.OCCUPATION, S.SPECIALTY)
+    return reports.Tables(subs, people, SYNONYMS, SYNONYMS)
+
+
+def listing(spark, bundle, name):
+    manifest = write_bundle(spark, bundle, f"{run_dir(spark, 'bundles')}/{name}")
+    return manifest.select("table", F.col("rows").alias("n"))
+
+
+def _rows(limit, days, tech=None, skill=None):
+    def cut(count, n):
+        return f"least({count}, {n})" if n else count
+
+    return {
+        "Top Technologies": cut("tech.n", tech or limit),
+        "Top Skills": cut("skill.n", skill or limit),
+        "Submissions by Hackathon": "(select count(distinct title) from sub)",
+        "Team Size Distribution": "(select count(distinct coalesce(extra, 0)) from sub)",
+        "Country Distribution": cut("(select count(distinct country) from reg)", limit),
+        "Occupation Breakdown": cut("(select count(distinct occupation) from reg)", limit),
+        "Specialty Distribution": "(select count(distinct specialty) from reg)",
+        "Work Experience": "4",
+        "Time Trends": days,
+        "Summary Statistics": "10",
+    }
+
+
+def _listing_sql(rows: dict) -> str:
+    body = " union all ".join(f"select '{t}' as \"table\", cast({n} as bigint) as n from tech, skill" for t, n in rows.items())
+    return f"""with tech as (select count(distinct token) as n from {tokens_sql('sub', 'built_with', ',')}),
+skill as (select count(distinct token) as n from {tokens_sql('reg', 'skills', ';')}) {body}"""
+
+
+_DAYS = "(select count(distinct cast(created as date)) from sub)"
+_WEEKS = "(select count(distinct date_trunc('week', created)) from sub)"
+_COMBINED = _rows(50, _DAYS)
+_SUBMISSION = {k: v for k, v in _rows(None, _DAYS).items() if k in ("Top Technologies", "Submissions by Hackathon", "Team Size Distribution", "Time Trends")} | {"Summary Statistics": "7"}
+_REGISTRANT = {k: v for k, v in _rows(None, _DAYS).items() if k in ("Top Skills", "Country Distribution", "Occupation Breakdown", "Specialty Distribution", "Work Experience")} | {"Summary Statistics": "3"}
+_PREVIEW = _rows(10, f"least({_WEEKS}, 10)") | {"Submissions by Hackathon": "least((select count(distinct title) from sub), 10)"}
+_DASHBOARD = _rows(20, _WEEKS) | {"Submissions by Hackathon": "least((select count(distinct title) from sub), 20)"}
+
+for _key, _build, _expected in (
+    ("report_combined", reports.combined, _COMBINED),
+    ("report_submission", reports.submission_report, _SUBMISSION),
+    ("report_registrant", reports.registrant_report, _REGISTRANT),
+    ("report_preview", reports.preview, _PREVIEW),
+    ("dashboard_tables", reports.dashboard, _DASHBOARD),
+):
+    query(_key, _listing_sql(_expected), ("sub", "reg"))(
+        lambda spark, sf_dir, key=_key, build=_build: listing(spark, build(tables(spark, sf_dir)), key)
+    )
+
+
+def event_tables(spark, sf_dir):
+    subs = submissions(spark, sf_dir, S.TITLE, S.PROJECT, S.URL)
+    return subs, registrants(spark, sf_dir, S.EVENT, S.USER), nation_events(spark, sf_dir)
+
+
+@query(
+    "event_filter_bundle",
+    """select 'Source Data' as "table", 1 as n union all select 'Submissions', count(*) from sub where title = 'NATION_5'
+ union all select 'Registrants', count(*) from reg where event = 'NATION_5' union all select 'Data Attribution', 7""",
+    ("sub", "reg"),
+)
+def event_filter_bundle(spark, sf_dir):
+    return listing(spark, reconcile.event_report("NATION_5", *event_tables(spark, sf_dir)), "event")
+
+
+@query(
+    "organizer_bundle",
+    """select 'Organizer Summary' as "table", 1 as n union all select 'Hackathons', count(*) from nat where org = 'AFRICA'""",
+    ("nat",),
+)
+def organizer_bundle(spark, sf_dir):
+    return listing(spark, reconcile.organizer_report("Africa ", *event_tables(spark, sf_dir)), "organizer")
+
+
+@query(
+    "sample_bundles",
+    f"""with {SHORT_SQL}, {LOOKUP_SQL} select 'All Samples' as "table", cast(sum(least(submission_count, 30)) as bigint) as n
+ from asked join found using (identifier) union all select 'Summary', count(*) from asked union all select 'Statistics', 1
+ union all select 'Random Sample', least(submission_count, 30) from found where identifier = 'https://nation-6.devpost.com/x'
+ union all select 'Metadata', 1""",
+    ("sub",),
+)
+def sample_bundles(spark, sf_dir):
+    subs = submissions(spark, sf_dir, S.ORG, S.TITLE, S.PROJECT, S.URL, S.CREATED)
+    entries = short_entries(spark, sf_dir)
+    drawn = samples.sample_events(entries, subs, 30, 7)
+    batch = reports.batch_bundle(drawn, samples.batch_summary(entries, dimension(spark, sf_dir), 30))
+    one = spark.range(1).select(F.col("id").alias("idx"), F.lit("https://nation-6.devpost.com/x").alias("url"))
+    figures = entities.lookup(one.select(F.col("url").alias("identifier")), dimension(spark, sf_dir))
+    single = reports.sample_bundle(samples.sample_events(one, subs, 30, 7), figures, 30, 7)
+    return listing(spark, batch | single, "samples")
+
+
+@query("export_manifest")
+def export_manifest(spark, sf_dir):
+    """Two bundles written, then listed with time and size."""
+    base = run_dir(spark, "exports")
+    t = tables(spark, sf_dir)
+    write_bundle(spark, {"Country Distribution": t.values(S.COUNTRY)}, f"{base}/countries")
+    write_bundle(spark, {"Team Size Distribution": t.team_sizes()}, f"{base}/teams", "csv")
+    return export_history(spark, base)
