@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -40,24 +41,31 @@ def raw_export(df: DataFrame, path: str, fmt: str = "csv") -> dict[str, int]:
     return {"rows": _write(df, path, fmt), "columns": len(df.columns)}
 
 
+# Tables of a bundle that are computed at the same time.
+PARALLEL_TABLES = 4
+
+
 def write_bundle(spark: SparkSession, tables: dict[str, DataFrame | None], path: str, fmt: str = "parquet") -> DataFrame:
     """Write named tables below ``path``, leaving out empty ones; returns the manifest (SNK-03).
 
     Each table is computed once: looking for its first row and writing it share the
-    same persisted blocks, which may spill to disk.
+    same persisted blocks, which may spill to disk. A few tables run side by side,
+    because most of them are small aggregates that do not fill a cluster.
     """
-    written = []
-    for name, df in tables.items():
-        if df is None:
-            continue
+    def write(item):
+        name, df = item
         kept = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if kept.isEmpty():
-                continue
+                return None
             target = f"{path.rstrip('/')}/{_folder(name)}"
-            written.append((name, _write(kept, target, fmt), len(df.columns), target))
+            return name, _write(kept, target, fmt), len(df.columns), target
         finally:
             kept.unpersist()
+
+    given = [(name, df) for name, df in tables.items() if df is not None]
+    with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
+        written = [row for row in pool.map(write, given) if row is not None]
     return spark.createDataFrame(written, _MANIFEST)
 
 
