@@ -14,7 +14,7 @@ from .registry import SPACE, query
 
 @query("clean_documents", f"select doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) as text from documents")
 def clean_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 @query(
@@ -80,7 +80,7 @@ _LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"
     f"""select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(_LINE)}) = 1""",
 )
 def dedup_keep_first(spark, sf_dir):
-    return dedup.keep_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], _LINE)
+    return dedup.keep_first(table(spark, sf_dir, "lineitem", spread=True), ["l_orderkey", "l_linenumber"], _LINE)
 
 
 @query(

@@ -63,6 +63,31 @@ def split_list(c: Column, separator: str = ",") -> Column:
     return F.filter(F.transform(items, strip), lambda item: item != "")
 
 
+def _plain_end(character: Column) -> Column:
+    return character.between("a", "z") | character.between("0", "9")
+
+
+def _plain(token: Column) -> Column:
+    """Lower-case text that starts and ends with an ASCII letter or digit."""
+    one = F.lit(1)
+    return _plain_end(F.left(token, one)) & _plain_end(F.right(token, one))
+
+
+def normalised_tokens(c: Column, separator: str = ",", punctuation: bool = True) -> Column:
+    """Delimited text to an array of lower-case tokens without surrounding white space.
+
+    ``punctuation=True`` also strips punctuation. Both strips are skipped for tokens
+    that start and end with a plain letter or digit, which most do; the pattern
+    match is by far the dearest step. Working on the array keeps later filters from
+    being pushed below and repeating that step.
+    """
+    items = F.split(F.lower(c), literal_pattern(separator), -1)
+    items = F.transform(items, lambda t: F.when(_plain(t), t).otherwise(strip(t)))
+    if punctuation:
+        items = F.transform(items, lambda t: F.when(_plain(t), t).otherwise(strip_punctuation(t)))
+    return F.filter(items, lambda t: t != "")
+
+
 def contains_folded(c: Column, needle: Column) -> Column:
     """Case-insensitive literal substring test; NULL text never matches (FLT-07)."""
     return F.coalesce(F.contains(F.lower(c), F.lower(needle)), F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import dates, numbers
-from ..functions.text import literal_pattern, strip, strip_punctuation
+from ..functions.text import normalised_tokens, strip_punctuation
 from ..session import BROADCAST_ROWS
 from .clean import quoted
 from .ranking import ranked, top
@@ -38,22 +38,20 @@ def explode_tokens(
 ) -> DataFrame:
     """One row per normalised token, with the ``keep`` columns of its record.
 
-    The split is exploded first, so trimming, punctuation and lookup run as plain
-    row expressions inside one generated stage. ``lookup_before_strip`` also looks
-    the token up with its punctuation on, which makes aliases like ``c++`` reachable.
+    ``lookup_before_strip`` also looks the token up with its punctuation on, which
+    makes aliases like ``c++`` reachable.
     """
-    keep = keep or {}
-    raw = F.explode(F.split(quoted(column), literal_pattern(separator), -1)).alias("token")
-    rows = df.select(*[c.alias(n) for n, c in keep.items()], raw)
-    rows = rows.withColumn("token", F.lower(strip(F.col("token"))))
+    keep = {n: c.alias(n) for n, c in (keep or {}).items()}
+    tokens = normalised_tokens(quoted(column), separator, punctuation=not lookup_before_strip)
+    rows = df.select(*keep.values(), F.explode(tokens).alias("token"))
     if lookup_before_strip:
-        rows = with_canonical(rows.withColumn("_typed", F.col("token")), "token", synonyms)
+        typed = with_canonical(rows.withColumn("_typed", F.col("token")), "token", synonyms)
         stripped = F.when(F.col("token") == F.col("_typed"), strip_punctuation(F.col("token")))
-        rows = rows.withColumn("token", F.coalesce(stripped, F.col("token"))).drop("_typed")
-    else:
-        rows = rows.withColumn("token", strip_punctuation(F.col("token")))
-    rows = with_canonical(rows.filter(F.col("token") != ""), "token", synonyms)
-    return rows.filter(F.col("token") != "")
+        rows = typed.withColumn("token", F.coalesce(stripped, F.col("token"))).drop("_typed")
+        rows = rows.filter(F.col("token") != "")
+    rows = with_canonical(rows, "token", synonyms)
+    # only a synonym can be empty now
+    return rows.filter(F.col("token") != "") if synonyms else rows
 
 
 def token_counts(df, column, separator=",", synonyms=None, name="Technology", **options) -> DataFrame:
