@@ -9,6 +9,10 @@ from ..session import materialise
 from .clean import quoted
 
 
+# Rows one task may number on its own.
+WINDOW_ROWS = 100_000
+
+
 def top(df: DataFrame, metric: str, key: str, limit: int | None = None) -> DataFrame:
     """Largest ``metric`` first, ties by ``key``; all rows when ``limit`` is None (SRT-01)."""
     ordered = df.orderBy(F.desc(f"`{metric}`"), quoted(key))
@@ -18,12 +22,13 @@ def top(df: DataFrame, metric: str, key: str, limit: int | None = None) -> DataF
 def ranked(df: DataFrame, metric: str, key: str, limit: int | None = None, rank: str = "Rank") -> DataFrame:
     """Add the 1-based position in that order as first column (WIN-03).
 
-    With a limit the window runs over at most ``limit`` rows. Without one the
-    order is spread over the cluster by :func:`global_position`.
+    With a limit the window runs over at most ``limit`` rows. Without one, or beyond
+    ``WINDOW_ROWS``, the order is spread over the cluster by :func:`global_position`.
     """
     order = [F.desc(f"`{metric}`"), quoted(key)]
-    if limit is None:
+    if limit is None or limit > WINDOW_ROWS:
         numbered = global_position(df, order, rank)
+        numbered = numbered if limit is None else numbered.filter(F.col(rank) <= limit)
     else:
         limited = df.orderBy(*order).limit(limit)
         numbered = limited.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))

@@ -10,7 +10,7 @@ from ..functions.text import fold
 from .clean import quoted
 from .dedup import keep_first
 from .filters import exact_else_folded
-from .organizers import canonical_names, organizer_mapping
+from .organizers import organizer_mapping
 
 # Fixed value: share of the listed submissions below which data counts as incomplete.
 INCOMPLETE_BELOW = 0.8
@@ -137,11 +137,12 @@ def organizer_rollup(submissions: DataFrame, registrants: DataFrame, events: Dat
 
 def organizer_report(organizer: str, submissions, registrants, events) -> dict[str, DataFrame]:
     """Summary and event table of one organizer (VAL-04, SNK-05)."""
-    spark = events.sparkSession
-    asked = spark.range(1).select(F.lit(organizer).alias("name"))
-    named = canonical_names(asked, "name", organizer_mapping(events))
+    norm = F.lower(F.trim(F.lit(organizer)))
+    known = organizer_mapping(events).filter(F.col("norm") == norm)
+    canonical = known.select("canonical").scalar()
+    variations = known.select(F.array_join("variations", ", ")).scalar()
     rows = organizer_events(submissions, registrants, events).filter(
-        fold(F.col("organizer")) == F.lower(F.trim(F.lit(organizer)))
+        fold(F.col("organizer")) == norm
     )
     totals = rows.agg(
         F.count(F.lit(1)).alias("Hackathon Count"),
@@ -149,8 +150,8 @@ def organizer_report(organizer: str, submissions, registrants, events) -> dict[s
         F.coalesce(F.sum("registrant_count"), F.lit(0)).alias("Total Registrants"),
     )
     summary = totals.select(
-        named.select("canonical").scalar().alias("Canonical Name"),
-        named.select(F.array_join("variations", ", ")).scalar().alias("Name Variations"),
+        F.coalesce(canonical, F.lit(organizer)).alias("Canonical Name"),
+        F.coalesce(variations, F.lit(organizer)).alias("Name Variations"),
         "Hackathon Count", "Total Submissions", "Total Registrants",
     )
     table = rows.select(

@@ -77,8 +77,9 @@ def top_tokens(
     if column not in df.columns:
         return S.empty(df.sparkSession, *_top_schema(name))
     counts = token_counts(df, column, separator, synonyms, name, **options)
-    total = counts.agg(F.sum("Count")).scalar()
     ordered = ranked(counts, "Count", name, limit)
+    # without a limit the ranked table is complete and already written
+    total = (ordered if limit is None else counts).agg(F.sum("Count")).scalar()
     return ordered.withColumn("Percentage", numbers.percentage(F.col("Count"), total, nearest=True))
 
 

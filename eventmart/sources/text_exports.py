@@ -170,7 +170,8 @@ def read_layout(
         *cells, F.col("_metadata.file_path").alias("_uri"), F.monotonically_increasing_id().alias(S.ROW_NO)
     )
     if header_rows > 1:
-        second = rows.groupBy("_uri").agg(F.min(S.ROW_NO).alias("_header"))
+        # one row per path given
+        second = F.broadcast(rows.groupBy("_uri").agg(F.min(S.ROW_NO).alias("_header")))
         rows = rows.join(second, "_uri").filter(F.col(S.ROW_NO) > F.col("_header")).drop("_header")
     return rows
 
