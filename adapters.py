@@ -34,7 +34,9 @@ def submissions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     if {S.ORG, S.BUILT_WITH} & set(wanted):
         part = table(spark, sf_dir, "part")
         line = line.join(part, line.l_partkey == part.p_partkey)
-    number = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    number = F.concat_ws(
+        "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")
+    )
     build = {
         S.ORG: lambda: F.when(F.col("l_orderkey") % 3 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")),
         S.TITLE: lambda: F.col("n_name"),
@@ -155,9 +157,9 @@ VIEWS = {
     "sub": """
 select case when l_orderkey % 3 = 0 then lower(p_brand) else p_brand end as org,
        n_name as title,
-       concat('Project ', concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)) as project,
+       concat('Project ', concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'))) as project,
        concat('https://', lower(replace(n_name, '_', '-')), '.devpost.com/submissions/',
-              concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)) as url,
+              concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'))) as url,
        l_shipdate as created,
        concat(replace(p_name, ' ', ', '), ' ,,(', p_type, ')') as built_with,
        case when l_quantity <= 45 then l_quantity % 7 end as extra

@@ -156,7 +156,9 @@ def file_kinds(spark, sf_dir):
 
 def two_parts(spark, sf_dir, base):
     """The submissions as two overlapping parts; the later one lacks a column."""
-    rows = submissions(spark, sf_dir).withColumn(S.ROW_NO, F.xxhash64(f"`{S.URL}`"))
+    days = F.date_diff(F.col(f"`{S.CREATED}`").cast("date"), F.lit("1970-01-01").cast("date"))
+    place = (days * 100 + F.coalesce(F.col(f"`{S.EXTRA_MEMBERS}`"), F.lit(50.0))).cast("long")
+    rows = submissions(spark, sf_dir).withColumn(S.ROW_NO, place)
     keyed = clean.with_dedup_key(rows, "submission")
     bucket = F.substring(F.md5(F.col(f"`{S.URL}`").cast("binary")), 1, 1)
     first = keyed.filter(bucket >= "4").withColumns({S.FILE_HASH: F.lit("part1"), S.INGEST_SEQ: F.lit(1).cast("long")})
@@ -170,7 +172,8 @@ def two_parts(spark, sf_dir, base):
 
 @query(
     "load_store",
-    """select org, title, project, url, created, built_with, case when substr(md5(url), 1, 1) >= '4' then extra end as extra from sub""",
+    """select org, title, project, url, created, built_with, case when substr(md5(url), 1, 1) >= '4' then extra end as extra from sub
+ qualify row_number() over (partition by url order by date_diff('day', date '1970-01-01', cast(created as date)) * 100 + coalesce(extra, 50)) = 1""",
     ("sub",),
 )
 def load_store(spark, sf_dir):
@@ -180,7 +183,7 @@ def load_store(spark, sf_dir):
     return stored_submissions(spark, base)
 
 
-@query("load_store_figures", "select count(*) as n, count(distinct url) as urls, min(created) as first, max(created) as last from sub", ("sub",))
+@query("load_store_figures", "select count(distinct url) as n, count(distinct url) as urls, min(created) as first, max(created) as last from sub", ("sub",))
 def load_store_figures(spark, sf_dir):
     base = run_dir(spark, "store")
     two_parts(spark, sf_dir, base)
@@ -190,7 +193,7 @@ def load_store_figures(spark, sf_dir):
 
 @query(
     "store_summary",
-    """select 'submission' as kind, true as "exists", (select count(*) from sub) as row_count,
+    """select 'submission' as kind, true as "exists", (select count(distinct url) from sub) as row_count,
  'Additional Team Member Count, Built With, Challenge Title, Organization Name, Project Created At, Project Title, Submission Url' as columns
  union all select 'registrant', false, 0, ''""",
     ("sub",),

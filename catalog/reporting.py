@@ -76,9 +76,10 @@ def event_tables(spark, sf_dir):
 
 @query(
     "event_filter_bundle",
-    """select 'Source Data' as "table", 1 as n union all select 'Submissions', count(*) from sub where title = 'NATION_5'
- union all select 'Registrants', count(*) from reg where event = 'NATION_5' union all select 'Data Attribution', 7""",
-    ("sub", "reg"),
+    """select * from (select 'Source Data' as "table", (select count(*) from nat where name = 'nation_5') as n
+ union all select 'Submissions', count(*) from sub where title = 'NATION_5'
+ union all select 'Registrants', count(*) from reg where event = 'NATION_5' union all select 'Data Attribution', 7) where n > 0""",
+    ("sub", "reg", "nat"),
 )
 def event_filter_bundle(spark, sf_dir):
     return listing(spark, reconcile.event_report("NATION_5", *event_tables(spark, sf_dir)), "event")

@@ -21,6 +21,8 @@ MISSING = [
 ]
 # A file is hashed as one value, so it must fit one (the reader's own limit is 2 GB).
 MAX_FILE_BYTES = 2_000_000_000
+# Start of the message for a file of neither kind; such a file can still be loaded.
+UNKNOWN_KIND = "Unknown file type"
 # Bytes in which the header is looked for.
 _HEAD = 65_536
 _RECORD = r'^([^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+)'
@@ -132,7 +134,7 @@ def profile(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
         .when(F.col("_c2").isNull(), F.lit("Empty or unreadable file"))
         .when(
             F.col("file_type") == "unknown",
-            F.concat(F.lit("Unknown file type. Columns found: "), F.array_join("names", ", ")),
+            F.concat(F.lit(f"{UNKNOWN_KIND}. Columns found: "), F.array_join("names", ", ")),
         )
     )
     return shaped.select(
@@ -179,7 +181,9 @@ def read_layout(
 def load_file(spark: SparkSession, path: str) -> DataFrame:
     """One export as text columns under its repaired headers (SRC-02)."""
     info = profile(scan_files(spark, path)).first()
-    if info is None or (info.problem and info.file_type != "unknown"):
-        raise ValueError(f"{path}: {info.problem if info else 'no such export'}")
+    if info is None:
+        raise ValueError(f"{path}: no such export")
+    if info.problem and not info.problem.startswith(UNKNOWN_KIND):
+        raise ValueError(f"{path}: {info.problem}")
     rows = read_layout(spark, [info.path], info.names, info.delimiter, info.encoding, info.header_rows)
     return rows.drop("_uri", S.ROW_NO)
