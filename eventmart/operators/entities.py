@@ -9,6 +9,7 @@ from .. import schemas as S
 from ..functions import dates, numbers
 from ..functions.text import strip
 from ..functions.urls import HOST, event_url, slug_from_input, slug_from_url
+from ..session import materialise
 from .clean import quoted
 
 
@@ -107,11 +108,12 @@ def match_events(identifiers: DataFrame, dimension: DataFrame, host: str = HOST)
     names = dimension.select("slug", "title").distinct()
     columns = ["identifier", "slug", "title"]
     by_slug = wanted.join(names, F.col("needle") == F.lower("slug")).select(*columns, F.lit(1).alias("tier"))
-    rest = wanted.join(by_slug.select("identifier").distinct(), "identifier", "left_anti")
-    by_title = rest.join(names, F.lower("identifier") == F.lower("title")).select(*columns, F.lit(2).alias("tier"))
-    rest = rest.join(by_title.select("identifier").distinct(), "identifier", "left_anti")
+    by_title = wanted.join(names, F.lower("identifier") == F.lower("title")).select(*columns, F.lit(2).alias("tier"))
+    equal = by_slug.unionByName(by_title)
+    best = equal.groupBy("identifier").agg(F.min("tier").alias("tier"))
+    rest = wanted.join(best, "identifier", "left_anti")
     inside = _titles_containing(rest, names).select(*columns, F.lit(3).alias("tier"))
-    return by_slug.unionByName(by_title).unionByName(inside)
+    return equal.join(best, ["identifier", "tier"], "left_semi").unionByName(inside)
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -150,7 +152,10 @@ def lookup(identifiers: DataFrame, dimension: DataFrame, matches: DataFrame | No
     Slug, title and organization are those of the first matching submission; the year
     is the most frequent one, the earliest on ties (AGG-21).
     """
-    matches = match_events(identifiers, dimension, host) if matches is None else matches
+    if matches is None:
+        # used several times below: written once, so that the submissions are read once
+        dimension = materialise(dimension)
+        matches = match_events(identifiers, dimension, host)
     keys = matches.select("identifier", F.col("slug").alias("m_slug"), F.col("title").alias("m_title"))
     same = F.col("slug").eqNullSafe(F.col("m_slug")) & F.col("title").eqNullSafe(F.col("m_title"))
     per_year = (
