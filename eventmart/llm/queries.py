@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_tokens, packing
+from . import binary_tokens, fingerprints, language, mixing, packing
+from .common import id_crc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,3 +42,41 @@ def binary_tokens_query(spark, sf_dir):
 def packing_query(spark, sf_dir):
     parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY)
     return packing.pack(parts.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), CAPACITY)
+
+
+@query("op5_language_id")
+def language_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn(docs))
+    return found.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_document_fingerprints")
+def fingerprint_query(spark, sf_dir):
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_poisson_mixing",
+    """
+with sizes as (
+  select source, sum(coalesce(length(text), 0) + 1)::double as size from documents group by 1
+), rated as (
+  select source, (1.0::double / (select count(*) from sizes)) * (select sum(size) from sizes) / size as rate from sizes
+), terms as (
+  select source, rate, k, -rate + sum(case when k = 0 then 0 else ln(rate / greatest(k, 1)) end) over (partition by source order by k) as l
+  from rated, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 31)::bigint)) as t(k)
+), cdf as (
+  select source, k, sum(exp(l)) over (partition by source order by k) as c from terms
+), drawn as (
+  select *, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|copies'), 1, 15))::bigint / 1152921504606846976::double as u from documents
+), counted as (
+  select d.doc_id, d.source, d.text, d.n_chars, d.lang, (select count(*) from cdf where cdf.source is not distinct from d.source and c <= u) as n from drawn d
+)
+select doc_id, text, lang, source, n_chars, copy::int as copy,
+       ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || copy), 1, 15))::bigint as shuffle_key
+from counted, unnest(range(1, n + 1)) as t(copy)
+""",
+)
+def mixing_query(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
