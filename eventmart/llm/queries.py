@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_tokens, fingerprints, language, mixing, packing
+from . import binary_tokens, fingerprints, language, mixing, near_dedup, packing
 from .common import id_crc
 
 QUERIES: dict = {}
@@ -80,3 +80,8 @@ from counted, unnest(range(1, n + 1)) as t(copy)
 )
 def mixing_query(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op1_minhash_near_dedup")
+def near_dedup_query(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
