@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_tokens, fingerprints, language, mixing, near_dedup, packing
+from . import binary_tokens, embedding_dedup, fingerprints, language, mixing, near_dedup, packing
 from .common import id_crc
 
 QUERIES: dict = {}
@@ -85,3 +85,27 @@ def mixing_query(spark, sf_dir):
 @query("op1_minhash_near_dedup")
 def near_dedup_query(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query(
+    "op2_embedding_near_dedup",
+    """
+with recursive good as (
+  select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+), lowest as (
+  select a, min(b) as b from reach group by a
+)
+select e.vec_id, (select count(*) from links where links.a = e.vec_id) as n_links,
+       least(e.vec_id, coalesce(lowest.b, e.vec_id)) as component_id, e.vec_id <= coalesce(lowest.b, e.vec_id) as kept
+from embeddings e left join lowest on lowest.a = e.vec_id
+""",
+)
+def embedding_query(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
