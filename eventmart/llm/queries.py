@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_tokens, embedding_dedup, fingerprints, language, mixing, near_dedup, packing
+from . import binary_tokens, embedding_dedup, fingerprints, language, mixing, near_dedup, packing, personal_data
 from .common import id_crc
 
 QUERIES: dict = {}
@@ -109,3 +109,8 @@ from embeddings e left join lowest on lowest.a = e.vec_id
 )
 def embedding_query(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query("op6_contextual_pii")
+def personal_data_query(spark, sf_dir):
+    return personal_data.find(table(spark, sf_dir, "documents"))
