@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_tokens, embedding_dedup, fingerprints, language, mixing, near_dedup, packing, personal_data
+from . import binary_tokens, embedding_dedup, fingerprints, language, language_model, mixing, near_dedup, packing, personal_data
 from .common import id_crc
 
 QUERIES: dict = {}
@@ -114,3 +114,8 @@ def embedding_query(spark, sf_dir):
 @query("op6_contextual_pii")
 def personal_data_query(spark, sf_dir):
     return personal_data.find(table(spark, sf_dir, "documents"))
+
+
+@query("op8_ngram_scoring")
+def language_model_query(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
