@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import run_dir
 from .common import filesystem, partitions, saved, spread, text_of
-from .encoding import Encoder
+from .encoding import encoder
 
 MAGIC = b"BITPACK1"
 BLOCK = 8192  # ids; a multiple of 8, so blocks end on a byte
@@ -156,13 +156,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        number, writer, encoder, count = context.partitionId(), None, None, 0
+        number, writer, count = context.partitionId(), None, 0
+        own = encoder(tokenizer)
         path = f"{folder}/ids-{number:06d}.bin"
         for batch in batches:
-            if encoder is None:
-                encoder = Encoder(tokenizer)
-                writer = Writer(path, bits_for(max(encoder.vocabulary, end_id + 1)), str(context.taskAttemptId()))
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(text_of(batch)), strict=True):
+            if writer is None:
+                writer = Writer(path, bits_for(max(own.vocabulary, end_id + 1)), str(context.taskAttemptId()))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(text_of(batch)), strict=True):
                 writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
                 count += 1
         if writer is not None:

@@ -1,51 +1,58 @@
-"""Whole texts to ids of a public tokenizer, with pieces remembered between texts."""
+"""Whole texts to ids of a public tokenizer; words met before are looked up instead of encoded again.
+
+Both vocabularies never join a word with what stands before the single space in front of it, so the
+ids of a text are those of its words, each with its space, put together. Words that are new are
+encoded many at a time, with a separator between them whose id marks where each ends.
+"""
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 
-# Between a word and the single space before the next one, where neither vocabulary joins pieces.
+import numpy as np
+
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 _RUN = re.compile(r"\s\s")
-CACHE_PIECES = 300_000
-CACHE_CHARS = 8_000_000
+# A key is a word that follows a space; these marks make keys of other parts.
+_BARE, _WHOLE = "\0", "\1"
+#: Words remembered for the life of a worker, their characters, and words remembered for a while.
+KNOWN_WORDS, KNOWN_CHARS, RECENT_WORDS = 1_200_000, 14_000_000, 100_000
 BATCH_CHARS = 2_000_000
+TOGETHER = 500
 
+_ENCODERS: dict[str, Encoder] = {}
 
-def pieces(text: str) -> list[str]:
-    """Parts that can be encoded on their own: their ids joined are the ids of ``text``."""
-    if _RUN.search(text):
-        return _BOUNDARY.split(text)
-    first, *rest = text.split(" ")
-    out = []
-    for part in [first, *[" " + x for x in rest]]:
-        if "\n" in part:
-            lines = part.split("\n")
-            for line in lines[:-1]:
-                out += [line, "\n"]
-            out.append(lines[-1])
-        else:
-            out.append(part)
-    return out
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Encoder:
-    """Encodes texts of a task; the memory of its cache is bounded."""
+    """Encodes texts; the memory of what it remembers is bounded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
+        self._known: dict[str, bytes] = {}
+        self._recent: dict[str, bytes] = {}
         self._chars = 0
+        self._separator, self._mark = "\n", self._alone("\n")
+        if len(self._mark) != 4:  # white space is dropped
+            self._separator, self._mark = " | ", self._alone("|")
 
     @property
     def vocabulary(self) -> int:
         return self._tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _alone(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out, batch, size = [], [], 0
@@ -58,12 +65,93 @@ class Encoder:
         return out + self._some(batch)
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > CACHE_PIECES or self._chars > CACHE_CHARS:
-            self._known, self._chars = {"": b""}, 0
-        known = self._known
-        split = [pieces(t) for t in texts]
-        new = list({p for parts in split for p in parts if p not in known})
-        self._chars += sum(map(len, new))
-        for piece, got in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = array("I", got.ids).tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in split]
+        rows, holes, new = [], [], set()
+        known, recent = self._known.get, self._recent.get
+        for text in texts:
+            words = keys(text)
+            ids = list(map(known, words))
+            k = -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                ids[k] = recent(words[k])
+                if ids[k] is None:
+                    ids[k] = words[k]
+                    holes.append((ids, k))
+                    new.add(words[k])
+            rows.append(ids)
+        if holes:
+            made = self._made(list(new))
+            for ids, k in holes:
+                ids[k] = made[ids[k]]
+        return [b"".join(ids) for ids in rows]
+
+    def _made(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new keys, from their smaller parts where those are known."""
+        known, recent = self._known.get, self._recent.get
+        split = list(map(split_word, words))
+        parts = {part: None for row in split for part in row}
+        for part in parts:
+            parts[part] = known(part) or recent(part)
+        parts.update(self._encoded([part for part, x in parts.items() if x is None]))
+        made = {w: b"".join([parts[part] for part in row]) if len(row) != 1 else parts[row[0]] for w, row in zip(words, split)}
+        parts.update((w, x) for w, x in made.items() if "\n" not in w)
+        if len(self._known) < KNOWN_WORDS and self._chars < KNOWN_CHARS:
+            self._known.update(parts)
+            self._chars += sum(map(len, parts))
+        else:
+            if len(self._recent) > RECENT_WORDS:
+                self._recent.clear()
+            self._recent.update((w, x) for w, x in parts.items() if len(w) < 64)
+        return made
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        plain, shown, out = [], [], {}
+        for word in words:
+            mark, bare = (word[:1], word[1:]) if word[:1] in (_BARE, _WHOLE) else ("", word)
+            if bare and mark != _WHOLE and bare.isprintable() and not (" " in bare or "|" in bare):
+                plain.append(word)
+                shown.append(bare if mark else " " + bare)
+            else:
+                out[word] = self._alone(bare if mark else " " + bare)
+        sep = self._separator
+        joined = [sep.join(shown[at : at + TOGETHER]) + sep for at in range(0, len(shown), TOGETHER)]
+        mark = int.from_bytes(self._mark, "little")
+        for at, got in enumerate(self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            group = plain[at * TOGETHER : (at + 1) * TOGETHER]
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(ids == mark).tolist()
+            if len(ends) != len(group):
+                raise ValueError("the separator was not kept apart")
+            data, start = ids.tobytes(), 0
+            for word, end in zip(group, ends):
+                out[word] = data[4 * start : 4 * end]
+                start = end + 1
+        return out
+
+
+def keys(text: str) -> list[str]:
+    """Keys of the parts of a text, in order; the ids of the parts joined are those of the text."""
+    if _BARE in text or _WHOLE in text:
+        return [_WHOLE + text]
+    if _RUN.search(text):
+        first, *rest = _BOUNDARY.split(text)
+        return [_WHOLE + first, *(part[1:] if part.isprintable() and part.count(" ") == 1 else _WHOLE + part for part in rest)]
+    words = text.split(" ")
+    words[0] = _BARE + words[0]
+    return words
+
+
+def split_word(word: str) -> list[str]:
+    """Keys of the smaller parts of a key: lines, and a stop or comma after letters."""
+    if word[:1] == _WHOLE:
+        return [word]
+    out = []
+    for k, line in enumerate(word.split("\n")):
+        if k:
+            out.append(_WHOLE + "\n")
+            line = _BARE + line
+        if line[-1:] in (".", ",") and line[line[:1] == _BARE : -1].isalpha():
+            out += [line[:-1], _BARE + line[-1]]
+        elif line != _BARE:
+            out.append(line)
+    return out

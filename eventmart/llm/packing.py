@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import partitions, saved, spread, text_of
-from .encoding import Encoder
+from ..session import broadcast_if_small
+from .common import saved, spread, text_of
+from .encoding import encoder
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -28,11 +29,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     """
 
     def cut(batches):
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoder.encode(text_of(batch)), strict=True):
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), own.encode(text_of(batch)), strict=True):
                 data += end
                 n = len(data) // 4
                 first = n if n <= capacity else n % capacity or capacity
@@ -131,27 +132,37 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     Sequences are numbered from 0 and filled without holes from offset 0. Input columns of those two
     names are replaced. Equal rows take different places. Only the histogram of lengths reaches the driver.
     """
-    spark = items.sparkSession
-    items = saved(items.drop("sequence_id", "offset"), "pack-items")
-    # ranks in two steps, so that a length shared by a third of the pieces is numbered by many tasks
-    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in items.columns]), F.lit(partitions(spark)))
-    dealt = items.withColumn("_bucket", bucket)
-    sizes = saved(dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "pack-sizes")
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    if any(not 0 < s <= capacity for s in histogram):
-        raise ValueError(f"lengths must lie between 1 and {capacity}")
+    items = items.drop("sequence_id", "offset")
+    names = items.columns
+
+    def numbered(batches):
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            size = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(size) and not 0 < size.min() <= size.max() <= capacity:
+                raise ValueError(f"lengths must lie between 1 and {capacity}")
+            order = np.argsort(size, kind="stable")
+            own = np.empty(len(size), np.int64)
+            own[order] = np.arange(len(size)) - np.searchsorted(size[order], size[order])
+            rank = own + seen[size]
+            seen += np.bincount(size, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part), pa.int32()), pa.array(rank)], names=[*names, "_part", "_rank"])
+
+    # ranks in two steps: inside each task as the pieces are written, then shifted by the tasks before
+    schema = StructType([*items.schema.fields, StructField("_part", IntegerType()), StructField("_rank", LongType())])
+    ranked = saved(items.mapInArrow(numbered, schema), "pack-items")
+    sizes = ranked.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = saved(sizes.select("length", "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "pack-sizes")
+    histogram = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     steps = sorted(plan(histogram, capacity))
     keys = np.array([(s << 44) | r0 for s, r0, *_ in steps], np.int64)
     table = np.array(steps, np.int64).reshape(-1, 6)
-
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_bucket").orderBy(*[c for c in ("doc_id", "piece") if c in items.columns] or ["length"])
     ranked = (
-        dealt.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(offsets, ["length", "_bucket"])
-        .withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in items.columns], "_rank")
+        ranked.join(broadcast_if_small(offsets.drop("_n"), 500_000), ["length", "_part"])
+        .withColumn("_rank", F.col("_rank") + F.col("_before")).select(*[F.col(f"`{c}`") for c in names], "_rank")
     )
 
     def place(batches):
@@ -160,10 +171,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             rank = batch.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64)
             step = table[np.searchsorted(keys, (size << 44) | rank, "right") - 1]
             at = rank - step[:, 1]
-            columns = [batch.column(c) for c in batch.schema.names if c != "_rank"]
-            names = [c for c in batch.schema.names if c != "_rank"]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(step[:, 3] + at // step[:, 4]), pa.array(step[:, 5] + at % step[:, 4] * size)],
+                [*(batch.column(c) for c in names), pa.array(step[:, 3] + at // step[:, 4]), pa.array(step[:, 5] + at % step[:, 4] * size)],
                 names=[*names, "sequence_id", "offset"],
             )
 
