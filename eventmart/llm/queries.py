@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_tokens, embedding_dedup, fingerprints, language, language_model, mixing, near_dedup, packing, personal_data
+from . import binary_tokens, embedding_dedup, fingerprints, language, language_model, mixing, near_dedup, packing, personal_data, substring_dedup
 from .common import id_crc
 
 QUERIES: dict = {}
@@ -119,3 +119,9 @@ def personal_data_query(spark, sf_dir):
 @query("op8_ngram_scoring")
 def language_model_query(spark, sf_dir):
     return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_dedup")
+def suffix_query(spark, sf_dir):
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 100)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
