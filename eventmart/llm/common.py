@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,3 +44,17 @@ def id_crc(column: str = "doc_id") -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """Documents as id and text only."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def forest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """Component labels of ``size`` points under links (i, j), each the smallest point of its component."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forest, saved
 from .components import components
 
 BUCKET = 64
@@ -87,20 +87,6 @@ def _hashed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
     return classes.mapInArrow(rows, "class binary, node long, n long, vec binary, keys array<long>")
 
 
-def _forest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
-    """Component labels of ``size`` points under links (i, j)."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compared(threshold: float):
     def cell(group: pa.Table) -> pa.Table:
         t, i, j = (group.column(c)[0].as_py() for c in ("t", "i", "j"))
@@ -125,7 +111,7 @@ def _compared(threshold: float):
             p, q = np.nonzero(near)
             if len(p):
                 own = np.concatenate([rows, right])
-                label = _forest(p, q + len(rows), len(own))
+                label = forest(p, q + len(rows), len(own))
                 moved = np.flatnonzero(label != np.arange(len(own)))
                 a.append(node[own[moved]])
                 b.append(node[own[label[moved]]])

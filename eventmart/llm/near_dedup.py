@@ -7,10 +7,11 @@ sketch folds the same samples into a bitmap of parities: the bits set in the XOR
 bitmaps give the size of the symmetric difference of the samples, precise for similar texts. It
 drops candidates far below the threshold, and every link is confirmed on the full sets.
 
-Texts with equal sets are one class before any pair is formed. In a bucket, members are first
-compared with one pivot each (another one per round), which joins groups of copies into components
-with a linear number of pairs; then what still lies in different components is compared in blocks,
-sketch against sketch, and only pairs that the sketches let pass are emitted.
+Texts with equal sets are one class before any pair is formed. Candidates are first tied into families:
+in each bucket members are compared with one pivot by their sketches, then what still lies in
+different families block by block. Inside a family texts are confirmed in the same way, with pivots
+and then in blocks whose tasks hold full sets. Blocks give spanning forests, so the number of pairs
+written stays linear in the number of texts however large a group of copies is.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import partitions, saved, spread, text_of
+from .common import forest, partitions, saved, spread, text_of
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -31,6 +32,7 @@ SKETCH_BITS = 512
 #: Candidates whose estimate lies this far below the threshold are dropped: six deviations of it.
 MARGIN = 0.22
 ROUNDS = 2
+PIVOTS = 3
 BLOCK = 1024
 CHUNK = 256
 _CACHE = 400_000
@@ -134,8 +136,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
         pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk")),
         "near-dealt",
     )
-    involved = dealt.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(broadcast_if_small(saved(involved, "near-involved"), 1_000_000), "doc_id", "left_semi")
+    texts = _texts(docs, dealt.select(F.explode(F.array("a", "b")).alias("node"))).withColumnRenamed("node", "doc_id")
     first = dealt.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a")
     second = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b")
     rows = first.select("a", "chunk", F.lit(None).cast("long").alias("b"), "text").unionByName(second.select("a", "chunk", "b", "text"))
@@ -170,52 +171,164 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _sifted(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose sketches may be similar enough.
+def _cells(members: DataFrame, block: int) -> DataFrame:
+    """(key, kind, i, j, node, side) rows that bring together all members of a key in different components.
 
-    The largest component of a bucket is cut into blocks that meet only the other members;
-    those meet one another block by block.
+    The largest component of a key is cut into blocks that meet only the other members (kind 0,
+    sides "o" and "m"); those meet one another block by block (kind 1, their blocks i <= j as side).
     """
     sizes = saved(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
-    buckets = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("g"), (F.sum("n") - F.max("n")).alias("l")).filter("l > 0")
-    dealt = members.join(buckets, "key")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
-    dealt = dealt.select("key", "node", "component", "odd", (F.col("component") == F.col("major")).alias("in_major"), blocks("g").alias("gs"), blocks("l").alias("ls"))
+    keys = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("g"), (F.sum("n") - F.max("n")).alias("l")
+    ).filter("l > 0")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    dealt = members.join(keys, "key").select("key", "node", (F.col("component") == F.col("major")).alias("in_major"), blocks("g").alias("gs"), blocks("l").alias("ls"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("in_major"), F.col("gs")).otherwise(F.col("ls"))).cast("int"))
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # cells: (0, other block, major block) and (1, lower other block, higher other block)
-    against = F.when(
-        F.col("in_major"), F.transform(up_to("ls"), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("i"), F.col("block").alias("j")))
-    ).otherwise(
-        F.concat(
-            F.transform(up_to("gs"), lambda k: F.struct(F.lit(0).alias("kind"), F.col("block").alias("i"), k.alias("j"))),
-            F.transform(up_to("ls"), lambda k: F.struct(F.lit(1).alias("kind"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))),
-        )
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    own = F.col("block")
+    placed = F.when(F.col("in_major"), F.transform(up_to("ls"), lambda k: cell(0, k, own))).otherwise(
+        F.concat(F.transform(up_to("gs"), lambda k: cell(0, own, k)), F.transform(up_to("ls"), lambda k: cell(1, F.least(own, k), F.greatest(own, k))))
     )
-    cells = dealt.select("key", "node", "component", "odd", "in_major", "block", F.explode(against).alias("cell")).select(
-        "key", "cell.kind", "cell.i", "cell.j", "node", "component", "odd", "in_major", "block"
-    )
-    least = percent / 100 - MARGIN
-
-    def pairs(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        component = table.column("component").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(node), -1)
-        kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
-        block = table.column("block").to_numpy()
-        major = table.column("in_major").to_numpy(zero_copy_only=False)
-        left = np.flatnonzero(~major) if kind == 0 else np.flatnonzero(block == i)
-        right = np.flatnonzero(major) if kind == 0 else np.flatnonzero(block == j)
-        a, b = [], []
-        for k in left.tolist():
-            some = right[component[right] != component[k]]
-            odd = np.bitwise_count(bits[some] ^ bits[k]).sum(axis=1)
-            good = node[some[estimated(odd) >= least]]
-            a.append(np.minimum(good, node[k]))
-            b.append(np.maximum(good, node[k]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    return cells.groupBy("key", "kind", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+    each = dealt.select("key", "node", "in_major", "block", F.explode(placed).alias("cell"))
+    side = F.when(F.col("cell.kind") == 1, F.col("block")).otherwise(F.when(F.col("in_major"), F.lit(-1)).otherwise(F.lit(-2)))
+    return each.select("key", "cell.kind", "cell.i", "cell.j", "node", side.cast("int").alias("side"))
+
+
+CELL = ["key", "kind", "i", "j"]
+
+
+def _in_cells(near):
+    """A function over one cell: ``near(table)`` prepares it and gives links of row numbers x row numbers."""
+
+    def forest_of(table: pa.Table) -> pa.Table:
+        node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        kind, i, j = (table.column(c)[0].as_py() for c in CELL[1:])
+        left, right = (np.flatnonzero(side == s) for s in ((-2, -1) if kind == 0 else (i, j)))
+        p, q = np.nonzero(near(table)(left, right)) if len(left) and len(right) else (np.zeros(0, int),) * 2
+        label = forest(left[p], right[q], len(node))
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"a": node[moved], "b": node[label[moved]]})
+
+    return forest_of
+
+
+def _sketches_near(percent: int):
+    def prepared(table: pa.Table):
+        bits = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        most = _most_bits(percent)
+
+        def near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            own = bits[right]
+            return np.stack([np.bitwise_count(own ^ bits[k]).sum(axis=1) <= most for k in left])
+
+        return near
+
+    return prepared
+
+
+def _sets_near(words: int, percent: int):
+    def prepared(table: pa.Table):
+        shingler = Shingler(words)
+        sets = [shingler(t or "") for t in table.column("text").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+
+        def near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            both = np.zeros((len(left), len(right)), np.float32)
+            shared = np.intersect1d(np.unique(np.concatenate([sets[k] for k in left])), np.unique(np.concatenate([sets[k] for k in right])), assume_unique=True)
+            for at in range(0, len(shared), 4096):
+                part = shared[at : at + 4096]
+                both += _incidence(sets, left, part) @ _incidence(sets, right, part).T
+            every = sizes[left][:, None] + sizes[right][None, :] - both
+            return 100 * both.astype(np.float64) >= percent * every.astype(np.float64)
+
+        return near
+
+    return prepared
+
+
+def _incidence(sets: list[np.ndarray], rows: np.ndarray, part: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), len(part)), np.float32)
+    for k, row in enumerate(rows.tolist()):
+        own = sets[row]
+        own = own[np.searchsorted(own, part[0]) : np.searchsorted(own, part[-1], "right")]
+        at = np.searchsorted(part, own)
+        out[k, at[part[at] == own]] = 1
+    return out
+
+
+def _with(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with the component of their node; a node without label is its own."""
+    if labels is None:
+        return members.withColumn("component", F.col("node"))
+    return saved(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-known")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of some documents."""
+    involved = broadcast_if_small(saved(nodes.select(F.col("node").alias("doc_id")).distinct(), "near-involved"), 1_000_000)
+    return docs.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+
+
+def _families(members: DataFrame, percent: int) -> DataFrame | None:
+    """(node, family): what banding and sketches tie together, directly or through others; None if nothing."""
+    labels, ties = None, []
+    for turn in range(ROUNDS + 1):
+        known = _with(members, labels)
+        if turn < ROUNDS:
+            draw = F.struct(F.xxhash64("node", F.lit(turn)), "node", "component", "odd")
+            pivots = known.groupBy("key").agg(F.min(draw).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+            bits = F.aggregate(
+                F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)),
+                F.lit(0),
+                lambda s, k: s + F.bit_count(_word("odd", k).bitwiseXOR(_word("p.odd", k))),
+            )
+            new = known.join(pivots, "key").filter("component <> p.component").filter(bits <= _most_bits(percent))
+            new = new.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        else:
+            cells = _cells(known, BLOCK).join(members.select("node", "odd").distinct(), "node")
+            new = cells.groupBy(*CELL).applyInArrow(_in_cells(_sketches_near(percent)), "a long, b long")
+        new = saved(new, "near-ties")
+        if new.limit(1).count():
+            ties.append(new)
+            labels = _joined(ties)
+    return labels and labels.withColumnRenamed("component", "family")
+
+
+def _links(members: DataFrame, families: DataFrame, docs: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """Confirmed links that connect every component inside its family.
+
+    A family is first compared with pivots, at first with the member that shares most buckets; then what
+    still lies in different components meets in cells.
+    """
+    degrees = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("node").agg(F.sum("m").alias("degree"))
+    people = saved(families.join(degrees, "node").select(F.col("family").alias("key"), "node", "degree"), "near-people")
+    labels, links = None, []
+    for turn in range(PIVOTS + 1):
+        known = _with(people, labels)
+        if turn < PIVOTS:
+            sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node")).alias("p"))
+            # the first pivot from the largest component, later ones from the largest of the others
+            ranked = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "p")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+            if turn:
+                rest = sizes.join(ranked.select("key", F.col("top.component").alias("first")), "key").filter("component <> first")
+                ranked = rest.groupBy("key").agg(F.max(F.struct("n", "component", "p")).alias("top"))
+            pivots = ranked.select("key", F.col("top.component").alias("c"), F.col("top.p.node").alias("a"))
+            pairs = saved(known.join(pivots, "key").filter("component <> c").select("a", F.col("node").alias("b")), "near-pairs")
+            if pairs.limit(1).count() == 0:
+                break
+            new = _confirmed(pairs, docs, words, percent)
+        else:
+            cells = saved(_cells(known, BLOCK), "near-cells")
+            if cells.limit(1).count() == 0:
+                break
+            cells = cells.join(_texts(docs, cells), "node")
+            new = cells.groupBy(*CELL).applyInArrow(_in_cells(_sets_near(words, percent)), "a long, b long")
+        new = saved(new, "near-links")
+        if new.limit(1).count():
+            links.append(new)
+            labels = _joined(links)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -236,31 +349,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = saved(banded.join(shared, "key"), "near-members")
 
-    labels, links = None, []
-    for turn in range(ROUNDS + 1):
-        known = members.withColumn("component", F.col("node")) if labels is None else saved(
-            members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-known"
-        )
-        if turn < ROUNDS:
-            draw = F.struct(F.xxhash64("node", F.lit(turn)), "node", "component", "odd")
-            pivots = known.groupBy("key").agg(F.min(draw).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-            near = F.aggregate(
-                F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)),
-                F.lit(0),
-                lambda s, k: s + F.bit_count(_word("odd", k).bitwiseXOR(_word("p.odd", k))),
-            )
-            pairs = (
-                known.join(pivots, "key").filter("component <> p.component")
-                .select(F.col("p.node").alias("a"), F.col("node").alias("b"), near.alias("bits"))
-                .filter(F.col("bits") <= _most_bits(percent)).select("a", "b").distinct()
-            )
-        else:
-            pairs = _sifted(known, percent)
-        pairs = saved(pairs, "near-pairs")
-        if pairs.limit(1).count():
-            links.append(saved(_confirmed(pairs, docs, words, percent), "near-links"))
-            labels = _joined(links)
-
+    families = _families(members, percent)
+    links = [] if families is None else _links(members, families, docs, words, percent)
+    labels = _joined(links) if links else None
     mine = rows.join(classes.select("class", "node"), "class", "left")
     if labels is not None:
         mine = mine.join(labels, "node", "left")

@@ -84,6 +84,7 @@ def test_near_dedup_query_equals_brute_force(spark, tmp_path, seed):
 
 def test_near_dedup_without_pivot_rounds(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 0)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rows = list(enumerate(corpus(5, 30, 40)))
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
