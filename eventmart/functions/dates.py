@@ -6,16 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Patterns tried in order after ISO 8601; extend per call for other exports.
-DATE_FORMATS = [
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-    "yyyy/M/d H:mm:ss",
-    "yyyy/M/d",
+# Forms of a day, rewritten to year-month-day before they are read.
+_DAYS = [
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?!\d)", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})(?=$|\s)", "$1-$2-$3"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3-$1-$2"),
+    (r"^([A-Z][a-z]{2})[a-z]*\.? (\d{1,2}),? (\d{4})(?!\d)", "$3-$1-$2"),
+    (r"^(\d{1,2})[- ]([A-Z][a-z]{2})[a-z]*[- ](\d{4})(?!\d)", "$3-$2-$1"),
 ]
+# Patterns tried in order after ISO 8601; extend per call for other exports.
+DATE_FORMATS = [day + time for day in ("yyyy-M-d", "yyyy-MMM-d") for time in ("", " H:mm", " H:mm:ss", " h:mm a", " h:mm:ss a")]
+# A weekday in front and a zone behind, as mail headers have them.
+_WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+(?=\d)"
+_ZONE_NAME = r"(?i)\s*\b(?:GMT|UTC|Z)$"
+_HALF = r"(?i)(\d) ?([ap])\.?m\.?$"
 
 _ZONE = r"(?i)[T ]\d{1,2}:\d{2}.*(Z|UTC|GMT|[+-]\d{2}(:?\d{2})?)$"
 
@@ -26,13 +30,22 @@ def to_utc_timestamp(c: Column, formats=DATE_FORMATS) -> Column:
     Values with an offset are moved to UTC, values without one are taken as UTC.
     The result does not depend on the session time zone.
     """
-    text = F.trim(c)
+    text = F.regexp_replace(F.trim(c), _WEEKDAY, "")
     zoned = F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz")
     )
-    plain = [text.try_cast("timestamp_ntz")]
-    plain += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.when(text.rlike(_ZONE), zoned).otherwise(F.coalesce(*plain))
+    bare = F.regexp_replace(F.regexp_replace(text, _ZONE_NAME, ""), r"\s+", " ")
+    for form, ordered in _DAYS:
+        bare = F.regexp_replace(bare, form, ordered)
+    half = F.upper(F.regexp_extract(bare, _HALF, 2))
+    bare = F.when(half != "", F.concat(F.regexp_replace(bare, _HALF, "$1 "), half, F.lit("M"))).otherwise(bare)
+
+    def first_fit(value: Column) -> Column:
+        return F.coalesce(value.try_cast("timestamp_ntz"), *[F.try_to_timestamp(value, F.lit(f)).cast("timestamp_ntz") for f in formats])
+
+    # through an array, so that the rewritten text is worked out once for all patterns
+    plain = F.get(F.transform(F.array(bare), first_fit), F.lit(0))
+    return F.coalesce(F.when(text.rlike(_ZONE), zoned), plain)
 
 
 def as_timestamp(df, name: str, formats=DATE_FORMATS) -> Column:

@@ -32,7 +32,8 @@ def repaired_header(first: Column, second: Column) -> Column:
     """Column names of a file from its first two rows (CLN-01, 02, 03).
 
     A broken first row is replaced by the second. Names lose the byte order mark
-    and surplus white space, and repeated names get ``.1``, ``.2`` and so on.
+    and surplus white space, and repeated names get ``.1``, ``.2`` and so on. Names that
+    differ only in case are repeated names, as columns of a table are.
     """
     chosen = F.when(header_is_broken(first) & second.isNotNull(), second).otherwise(first)
     cleaned = F.transform(
@@ -43,11 +44,19 @@ def repaired_header(first: Column, second: Column) -> Column:
 
 
 def _numbered(names: Column) -> Column:
-    def with_suffix(name, position):
-        earlier = F.size(F.filter(F.slice(names, 1, position), lambda other: other == name))
-        return F.when(earlier > 0, F.concat(name, F.lit("."), earlier.cast("string"))).otherwise(name)
-
-    return F.transform(names, with_suffix)
+    """Each name once: a repeated one takes the next number that no other header cell uses."""
+    given = F.transform(names, F.lower)
+
+    def add(taken, name):
+        repeated = F.exists(taken, lambda other: F.lower(other) == F.lower(name))
+        numbered = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.concat(name, F.lit("."), k.cast("string")))
+        free = F.filter(
+            numbered,
+            lambda new: ~F.array_contains(given, F.lower(new)) & ~F.exists(taken, lambda other: F.lower(other) == F.lower(new)),
+        )
+        return F.concat(taken, F.array(F.when(repeated, F.get(free, F.lit(0))).otherwise(name)))
+
+    return F.aggregate(names, F.array().cast("array<string>"), add)
 
 
 # ---- columns -------------------------------------------------------------------

@@ -12,8 +12,8 @@ STATUSES = ["completed", "failed", "processing"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All file events; empty when no ledger exists yet."""
-    found = read_parquet_if_any(spark, path)
+    """All file events; empty when no ledger exists yet. An unreadable part is an error."""
+    found = read_parquet_if_any(spark, path, S.LEDGER_EVENTS)
     return spark.createDataFrame([], S.LEDGER_EVENTS) if found is None else found
 
 

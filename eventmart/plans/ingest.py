@@ -73,8 +73,13 @@ def ingest_files(files: DataFrame, store: str, ledger_path: str, max_experience:
     ledger.append(ledger.event(accepted, "processing", seq), ledger_path)
 
     errors: dict[str, str] = {}
-    for batch in _rounds(accepted):
-        errors |= _write_batch(spark, batch, store, seq, max_experience)
+    try:
+        for batch in _rounds(accepted):
+            errors |= _write_batch(spark, batch, store, seq, max_experience)
+    except BaseException as error:
+        # every started file gets a closing event
+        ledger.append(ledger.event(accepted, "failed", seq + 1, error=F.lit(f"The run was broken off: {error}")), ledger_path)
+        raise
 
     failures = spark.createDataFrame(list(errors.items()), "file_hash string, error string")
     counts = _written_rows(spark, store, accepted.select("file_hash"))
@@ -125,34 +130,67 @@ def _rounds(accepted: DataFrame):
         yield batch
 
 
-def _write_batch(spark, files, store, seq, max_experience) -> dict[str, str]:
-    """Write one batch; returns the error text per file hash that failed."""
+def _layouts(files) -> dict:
     layouts = defaultdict(list)
     for f in files:
         layouts[f.file_type, f.delimiter, f.encoding, f.header_rows, tuple(f.names)].append(f)
+    return layouts
+
+
+def _each_apart(spark, files, work, errors: dict[str, str]) -> None:
+    """Do ``work`` on all files at once; if it fails, on halves, until the files at fault are alone."""
+    if not files:
+        return
+    try:
+        work(files)
+    except Exception as error:
+        if spark.sparkContext._jsc.sc().isStopped():
+            raise
+        if len(files) == 1:
+            errors[files[0].file_hash] = str(error)
+            return
+        for half in (files[: len(files) // 2], files[len(files) // 2 :]):
+            _each_apart(spark, half, work, errors)
+
+
+def _write_batch(spark, files, store, seq, max_experience) -> dict[str, str]:
+    """Write one batch; returns the error text of each file hash that failed.
+
+    A file with records wider than its header is refused as a whole, so no cell is lost.
+    """
     errors: dict[str, str] = {}
-    for kind in ("submission", "registrant"):
-        frames = {k: _cleaned(spark, k, group, seq, max_experience) for k, group in layouts.items() if k[0] == kind}
-        if not frames:
-            continue
-        try:
-            together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames.values())
-            write_parts(together, store, kind)
-        except Exception:
-            # Find the layout at fault; the others are written on their own.
-            for key, frame in frames.items():
-                try:
-                    write_parts(frame, store, kind)
-                except Exception as error:
-                    message = str(error).split("\n")[0][:500]
-                    errors |= {f.file_hash: message for f in layouts[key]}
+
+    def look(group):
+        found = [
+            text_exports.wide_files(_read(spark, layout, some), len(layout[-1]))
+            for layout, some in _layouts(group).items()
+        ]
+        wide = {r["_uri"]: r["problem"] for r in reduce(DataFrame.unionByName, found).collect()}
+        errors.update({f.file_hash: wide[f.uri] for f in group if f.uri in wide})
+
+    def write(group):
+        frames = defaultdict(list)
+        for layout, some in _layouts(group).items():
+            frames[layout[0]].append(_cleaned(spark, layout, some, seq, max_experience))
+        for kind, parts in frames.items():
+            write_parts(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), store, kind)
+
+    # files of one layout stay together, so that halves are read in few jobs
+    files = sorted(files, key=lambda f: (f.file_type, f.names, f.path))
+    _each_apart(spark, files, look, errors)
+    _each_apart(spark, [f for f in files if f.file_hash not in errors], write, errors)
     return errors
 
 
+def _read(spark, layout, files) -> DataFrame:
+    _, delimiter, encoding, header_rows, names = layout
+    return text_exports.read_layout(spark, [f.path for f in files], list(names), delimiter, encoding, header_rows)
+
+
 def _cleaned(spark, layout, files, seq, max_experience) -> DataFrame:
     """Records of one layout, cleaned and keyed."""
-    kind, delimiter, encoding, header_rows, names = layout
-    rows = text_exports.read_layout(spark, [f.path for f in files], list(names), delimiter, encoding, header_rows)
+    kind = layout[0]
+    rows = _read(spark, layout, files).drop(text_exports.CELLS)
     hashes = spark.createDataFrame([(f.uri, f.file_hash) for f in files], f"_uri string, {S.FILE_HASH} string")
     # at most FILES_PER_ROUND rows
     rows = rows.join(F.broadcast(hashes), "_uri").drop("_uri").withColumn(S.INGEST_SEQ, F.lit(seq))
@@ -164,12 +202,12 @@ def _cleaned(spark, layout, files, seq, max_experience) -> DataFrame:
 
 
 def _written_rows(spark, store, hashes: DataFrame) -> DataFrame:
-    """Rows stored per file of this run; reads only partition names and row counts."""
+    """Rows stored per file of this run; only its partitions are listed, no footers are merged."""
     counted = []
     for kind in ("submission", "registrant"):
-        parts = read_parquet_if_any(spark, parts_path(store, kind))
+        parts = read_parquet_if_any(spark, parts_path(store, kind), f"{S.ROW_NO} long, {S.FILE_HASH} string")
         if parts is not None:
-            own = parts.select(F.col(S.FILE_HASH).cast("string").alias("file_hash"))
+            own = parts.select(F.col(S.FILE_HASH).alias("file_hash"))
             own = own.join(hashes, "file_hash", "left_semi")
             counted.append(own.groupBy("file_hash").agg(F.count(F.lit(1)).alias("rows")))
     if not counted:

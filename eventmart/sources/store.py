@@ -20,9 +20,15 @@ def parts_path(root: str, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}s/parts"
 
 
-def read_parquet_if_any(spark: SparkSession, path: str) -> DataFrame | None:
-    """A Parquet folder with its parts' columns merged, None when there is nothing to read."""
+def read_parquet_if_any(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """A Parquet folder, None when there is nothing to read.
+
+    Without ``schema`` the columns of all parts are merged and unreadable parts are
+    skipped; with it nothing is inferred, and an unreadable part is an error.
+    """
     try:
+        if schema is not None:
+            return spark.read.schema(schema).parquet(path)
         return (
             spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path)
         )

@@ -23,10 +23,13 @@ MISSING = [
 MAX_FILE_BYTES = 2_000_000_000
 # Start of the message for a file of neither kind; such a file can still be loaded.
 UNKNOWN_KIND = "Unknown file type"
-# Bytes in which the header is looked for.
+# Bytes in which the first two records are looked for before the rest of a file is.
 _HEAD = 65_536
 _RECORD = r'^([^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+)'
 
+# Number of cells of a record with more cells than the header.
+CELLS = "_cells"
+
 FILE_SCHEMA = "uri string, path string, length long, content binary"
 
 
@@ -68,15 +71,25 @@ def _cells(record: Column, delimiter: str) -> Column:
     return F.transform(F.split(record, outside_quotes, -1), unquoted)
 
 
-def _delimiter(record: Column) -> Column:
+def _delimiter(record: Column, delimiters: list[str]) -> Column:
     bare = F.regexp_replace(record, '"[^"]*"', "")
     counted = [
         F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("d"))
-        for i, d in enumerate(DELIMITERS)
+        for i, d in enumerate(delimiters)
     ]
     return F.array_max(F.array(*counted)).getField("d")
 
 
+def _decoded(content: Column, utf8: Column) -> Column:
+    return F.when(utf8, content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
+def _two_records(text: Column) -> Column:
+    """Whether a text holds two whole records with a line break behind each."""
+    bare = F.regexp_replace(text, "^\ufeff?[\r\n]*", "")
+    return bare.rlike(_RECORD + r"[\r\n]+" + _RECORD[1:] + r"[\r\n]")
+
+
 def classify(names: Column, file_name: Column) -> Column:
     """submission, registrant or unknown, from the headers and then the file name (VAL-05)."""
     known = F.transform(names, lambda n: F.lower(collapse(n)))
@@ -95,29 +108,29 @@ def classify(names: Column, file_name: Column) -> Column:
     )
 
 
-def profile(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def profile(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, delimiters: list[str] = DELIMITERS) -> DataFrame:
     """One row per file: hash, encoding, delimiter, headers, kind, and what is wrong with it.
 
-    Only the first bytes of a file are looked at, apart from its hash and encoding.
-    The content itself is not passed on.
+    The first two records are read to their end, however long they are. The content
+    itself is not passed on.
     """
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
     head = F.substring("content", 1, _HEAD)
     sized = files.withColumns({
         "file_hash": F.when(F.col("length") <= max_bytes, F.sha2("content", 256)),
         "encoding": F.when(utf8, "UTF-8").otherwise("ISO-8859-1"),
-        "_text": F.when(utf8, head.cast("string")).otherwise(F.decode(head, "ISO-8859-1")),
+        "_text": _decoded(F.when(_two_records(_decoded(head, utf8)), head).otherwise(F.col("content")), utf8),
     }).drop("content")
     opened = sized.withColumn("_text", F.regexp_replace("_text", "^\ufeff?[\r\n]*", ""))
     opened = opened.withColumn("_first", F.regexp_extract("_text", _RECORD, 1))
     rest = F.regexp_replace(F.substr("_text", F.length("_first") + 1), r"^[\r\n]+", "")
     opened = opened.withColumn("_second", F.regexp_extract(rest, _RECORD, 1))
-    split = opened.withColumn("delimiter", _delimiter(F.col("_first")))
+    split = opened.withColumn("delimiter", _delimiter(F.col("_first"), delimiters))
     def cells(record):
-        chain = F
-        for d in DELIMITERS[1:]:
-            chain = chain.when(F.col("delimiter") == d, _cells(F.col(record), d))
-        return chain.otherwise(_cells(F.col(record), DELIMITERS[0]))
+        chosen = _cells(F.col(record), delimiters[0])
+        for d in delimiters[1:]:
+            chosen = F.when(F.col("delimiter") == d, _cells(F.col(record), d)).otherwise(chosen)
+        return chosen
     split = split.withColumns({"_c1": cells("_first"), "_c2": F.when(strip(F.col("_second")) != "", cells("_second"))})
     # A header cell beyond the second row's width would shift names; pad the shorter row.
     width = F.size("_c1")
@@ -152,15 +165,19 @@ def read_layout(
     """Files that share one layout, every column as text, with their origin.
 
     ``_uri`` is the file and ``_row_no`` grows along each file. Quoted line breaks
-    make a file one task; a set of files spreads over the cluster.
+    make a file one task; a set of files spreads over the cluster. ``_cells`` is the number of
+    cells of a record that has more of them than the header, which no column holds.
     """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    schema = schema.add("_raw", T.StringType())
     raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("sep", delimiter)
         .option("encoding", encoding)
         .option("multiLine", True)
+        .option("columnNameOfCorruptRecord", "_raw")
+        .option("columnPruning", False)
         .option("quote", '"')
         .option("escape", '"')
         .csv(paths)
@@ -168,16 +185,30 @@ def read_layout(
     cells = [
         F.when(~quoted(f"c{i}").isin(*MISSING), quoted(f"c{i}")).alias(name) for i, name in enumerate(names)
     ]
+    found = F.size(_cells(F.col("_raw"), delimiter))
     rows = raw.select(
-        *cells, F.col("_metadata.file_path").alias("_uri"), F.monotonically_increasing_id().alias(S.ROW_NO)
+        *cells, F.when(F.col("_raw").isNotNull() & (found > len(names)), found).alias(CELLS), F.col("_metadata.file_path").alias("_uri"), F.monotonically_increasing_id().alias(S.ROW_NO)
     )
     if header_rows > 1:
         # one row per path given
-        second = F.broadcast(rows.groupBy("_uri").agg(F.min(S.ROW_NO).alias("_header")))
+        second = rows.groupBy("_uri").agg(F.min(S.ROW_NO).alias("_header"), _any_cell(rows)).filter("_filled >= 0").drop("_filled")
+        second = F.broadcast(second)
         rows = rows.join(second, "_uri").filter(F.col(S.ROW_NO) > F.col("_header")).drop("_header")
     return rows
 
 
+def _any_cell(rows: DataFrame) -> Column:
+    """The reader wants a column of the file beside the raw record."""
+    return F.count(quoted(next(c for c in rows.columns if c not in ("_uri", CELLS, S.ROW_NO)))).alias("_filled")
+
+
+def wide_files(rows: DataFrame, width: int) -> DataFrame:
+    """(_uri, problem) of the files of :func:`read_layout` that have records wider than the header."""
+    wide = rows.groupBy("_uri").agg(F.count(CELLS).alias("n"), F.max(CELLS).alias("most"), _any_cell(rows)).filter("n > 0 and _filled >= 0")
+    text = F.format_string(f"Rows wider than the header: expected {width} cells, saw up to %d (%d rows)", "most", "n")
+    return wide.select("_uri", text.alias("problem"))
+
+
 def load_file(spark: SparkSession, path: str) -> DataFrame:
     """One export as text columns under its repaired headers (SRC-02)."""
     info = profile(scan_files(spark, path)).first()
@@ -186,4 +217,7 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
     if info.problem and not info.problem.startswith(UNKNOWN_KIND):
         raise ValueError(f"{path}: {info.problem}")
     rows = read_layout(spark, [info.path], info.names, info.delimiter, info.encoding, info.header_rows)
-    return rows.drop("_uri", S.ROW_NO)
+    wide = wide_files(rows, len(info.names)).first()
+    if wide is not None:
+        raise ValueError(f"{path}: {wide.problem}")
+    return rows.drop("_uri", S.ROW_NO, CELLS)

@@ -117,3 +117,16 @@ def test_synonyms(spark, tmp_path):
     assert {(d, a, c) for d, m in known.items() for a, c in m.items()} == set(rows(table))
     for mapping in known.values():
         assert not [c for a, c in mapping.items() if mapping.get(c, c) != c], "one hop only"
+
+
+def test_date_forms(spark):
+    forms = {
+        "2024-05-03T16:05": "2024-05-03 16:05:00", "5/3/2024 4:05 PM": "2024-05-03 16:05:00", "2024-05-01 10:00 AM": "2024-05-01 10:00:00",
+        "May 3, 2024 10:00": "2024-05-03 10:00:00", "3-May-2024": "2024-05-03 00:00:00", "20240501": "2024-05-01 00:00:00",
+        "Wed, 01 May 2024 10:00:00 GMT": "2024-05-01 10:00:00", "September 3, 2024 12:05:07 a.m.": "2024-09-03 00:05:07",
+        "2024/5/3 7:01:02": "2024-05-03 07:01:02", "3 May 2024": "2024-05-03 00:00:00", "2024-05-01T10:00:00+02:00": "2024-05-01 08:00:00",
+        "13/3/2024": None, "20241301": None, "soon": None, "": None,
+    }
+    df = spark.createDataFrame([(k,) for k in forms], "t string")
+    got = {r["t"]: None if r["d"] is None else str(r["d"]) for r in df.select("t", dates.to_utc_timestamp(df["t"]).alias("d")).collect()}
+    assert got == forms

@@ -149,3 +149,33 @@ def test_bundles(spark, tmp_path):
     assert bundles.raw_export(full, str(tmp_path / "raw"), "parquet") == {"rows": 10, "columns": 2}
     with pytest.raises(ValueError):
         bundles.raw_export(full, str(tmp_path / "raw"), "xlsx")
+
+
+def test_nothing_is_lost_and_one_file_stops_no_other(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    head = "Submission Url,Project Title,Built With"
+    long = ",".join(f"note {k} " + "x" * 2000 for k in range(50))
+    files = {
+        "good.csv": f"{head}\nhttps://a.b/1,P,js\n", "case.csv": f"{head},Skills,skills\nhttps://a.b/2,P,js,1,2\n",
+        "long.csv": f"{head},{long}\nhttps://a.b/3,P,js\n", "wide.csv": f"{head}\nhttps://a.b/4,P,js,extra,more\nhttps://a.b/5,P,js\n",
+        "short.csv": f"{head}\nhttps://a.b/6,P\n", "colon.csv": head.replace(",", ":") + "\nx:P:js\n",
+    }
+    for name, content in files.items():
+        (folder / name).write_text(content)
+    where = (str(tmp_path / "s"), str(tmp_path / "l"))
+    report = {r.file_name: r for r in ingest.ingest_folder(spark, str(folder), *where).collect()}
+    assert {n for n, r in report.items() if r.status == "processed"} == {"good.csv", "case.csv", "long.csv", "short.csv"}
+    assert report["wide.csv"].error == "Rows wider than the header: expected 3 cells, saw up to 5 (1 rows)"
+    stored = store.read_store(spark, where[0], "submission")
+    assert sorted(r["Submission Url"] for r in stored.collect()) == [f"https://a.b/{k}" for k in (1, 2, 3, 6)]
+    assert {"Skills", "skills.1"} <= set(stored.columns)
+    jobs = ledger.state(ledger.read(spark, where[1])).collect()
+    assert {r["status"] for r in jobs} == {"completed", "failed"}
+
+
+def test_repeated_headers_get_free_numbers(spark):
+    from eventmart.operators.clean import repaired_header
+
+    df = spark.createDataFrame([(["a", "A", "a.1", "a"],)], "names array<string>")
+    assert df.select(repaired_header(df["names"], ingest.F.lit(None).cast("array<string>"))).first()[0] == ["a", "A.2", "a.1", "a.3"]
