@@ -82,7 +82,33 @@ def mixing_query(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-@query("op1_minhash_near_dedup")
+@query(
+    "op1_minhash_near_dedup",
+    r"""
+with recursive parts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingles as (
+  select doc_id, unnest(case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end) as s
+  from parts
+), sizes as (
+  select doc_id, count(*) as n from shingles group by 1
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), near as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), links as (
+  select a, b from near union all select b, a from near
+), reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+), lowest as (
+  select a, min(b) as b from reach group by a
+)
+select doc_id, coalesce(sizes.n, 0) as n_shingles, least(doc_id, coalesce(lowest.b, doc_id)) as component_id,
+       doc_id <= coalesce(lowest.b, doc_id) as kept
+from parts left join sizes using (doc_id) left join lowest on lowest.a = doc_id
+""",
+)
 def near_dedup_query(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 

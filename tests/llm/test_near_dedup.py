@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from check_oracle import compare, connect
 from llm_helpers import DOCS, EDGE_TEXTS, documents, stored, words
 
 from eventmart.llm import near_dedup, queries
@@ -121,3 +122,9 @@ def test_odd_sketch_estimates():
         x, y = (np.frombuffer(near_dedup.odd_sketch(s), np.uint64) for s in (a, b))
         errors.append(float(near_dedup.estimated(np.array([np.bitwise_count(x ^ y).sum()]))[0]) - 360 / 440)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < near_dedup.MARGIN / 5
+
+
+def test_query_equals_sql(spark):
+    sf, key = "/root/testdata/sf0.001", "op1_minhash_near_dedup"
+    text, good = compare(spark, connect(sf), sf, key, queries.QUERIES[key], queries.SQL[key])
+    assert good, text
