@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventmart import schemas as S
-from eventmart.session import spread_scan
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """One of the tables; ``spread`` shares a single-split file among the cores."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_scan(rows) if spread else rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def submissions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -24,8 +22,7 @@ def submissions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     wanted = list(columns) or [
         S.ORG, S.TITLE, S.PROJECT, S.URL, S.CREATED, S.BUILT_WITH, S.EXTRA_MEMBERS,
     ]
-    # texts are costly to build and to take apart, so those queries use all cores
-    line = table(spark, sf_dir, "lineitem", spread=bool({S.URL, S.BUILT_WITH} & set(wanted)))
+    line = table(spark, sf_dir, "lineitem")
     if {S.TITLE, S.URL} & set(wanted):
         supplier = table(spark, sf_dir, "supplier")
         nation = table(spark, sf_dir, "nation")

@@ -221,6 +221,15 @@ def ledger_history(spark, sf_dir):
     return ledger.newest_first(found)
 
 
+@query(
+    "ledger_history_regex",
+    f"""with {LEDGER_SQL} select * from jobs where status = 'failed' and regexp_matches(file_name, '(?i)^FILE-[0-9]*[05]\\b')
+ order by created_at desc, id desc""",
+)
+def ledger_history_regex(spark, sf_dir):
+    return ledger.newest_first(filters.history(jobs(spark, sf_dir), ["failed"], search=r"^FILE-[0-9]*[05]\b", regex=True))
+
+
 @query("ledger_recent", f"with {LEDGER_SQL} select * from jobs order by created_at desc, id desc limit 10")
 def ledger_recent(spark, sf_dir):
     return ledger.newest_first(jobs(spark, sf_dir), 10)

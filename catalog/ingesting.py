@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adapters import registrants, submissions
+from adapters import registrants, submissions, table
 from eventmart import schemas as S
 from eventmart.operators import clean, ledger
 from eventmart.plans import ingest
@@ -69,6 +69,42 @@ def ingest_report(spark, sf_dir):
     return figures.select("total_rows", "failed_jobs", "processing_jobs", skipped.alias("again_all_skipped"))
 
 
+def _odd_export(spark, sf_dir, folder, extra_names, extra_cells):
+    """Suppliers as submissions, with a header no data frame could have, as one file."""
+    names = [S.URL, S.PROJECT, S.BUILT_WITH, *extra_names]
+    key = F.col("s_suppkey").cast("string")
+    cells = [F.concat(F.lit("https://odd.example/"), key), F.col("s_name"), F.lit("x"), *[F.lit(c) for c in extra_cells]]
+    width = max(len(names), len(cells))
+    filled = lambda parts: [p if k < len(parts) else F.lit(None) for k, p in enumerate([*parts, *[None] * width][:width])]
+    body = table(spark, sf_dir, "supplier").select(F.lit(1).alias("o"), *[c.cast("string").alias(f"c{k}") for k, c in enumerate(filled(cells))])
+    head = spark.range(1).select(F.lit(0).alias("o"), *[F.lit(n).cast("string").alias(f"c{k}") for k, n in enumerate([*names, *[None] * width][:width])])
+    rows = head.unionByName(body).coalesce(1).sortWithinPartitions("o", "c0").drop("o")
+    rows.write.option("header", False).option("escape", '"').option("emptyValue", "").csv(folder)
+    return folder
+
+
+@query(
+    "ingest_mixed",
+    """select 'good' as label, 'processed' as status, count(*) as n from sub
+union all select 'case', 'processed', count(*) from supplier
+union all select 'long', 'processed', count(*) from supplier
+union all select 'wide', 'failed', 0 from (select 1)""",
+    ("sub",),
+)
+def ingest_mixed(spark, sf_dir):
+    """Good files beside odd ones: names that differ in case, a header of 100 KB, rows wider than the header."""
+    base = run_dir(spark, "ingest")
+    folders = [
+        _write_csv(submissions(spark, sf_dir), f"{base}/good", ","),
+        _odd_export(spark, sf_dir, f"{base}/case", ["Skills", "skills"], ["a", "b"]),
+        _odd_export(spark, sf_dir, f"{base}/long", [f"note {k} " + "x" * 2000 for k in range(50)], ["z"] * 50),
+        _odd_export(spark, sf_dir, f"{base}/wide", [], ["more", "and more"]),
+    ]
+    report = ingest.ingest_folder(spark, folders, f"{base}/store", f"{base}/ledger")
+    label = F.element_at(F.split("path", "/"), -2).alias("label")
+    return report.groupBy(label, "status").agg(F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("n"))
+
+
 def _archives(spark, sf_dir, base):
     """Registrants packed into ZIP archives, a few per table partition."""
     people = registrants(spark, sf_dir)

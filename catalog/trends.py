@@ -5,6 +5,7 @@ from __future__ import annotations
 from adapters import event_list, registrants, submissions, table
 from eventmart import schemas as S
 from eventmart.operators import filters, timeseries, tokens
+from eventmart.session import materialise
 from eventmart.sources.event_list import normalise_events
 
 from .registry import SYNONYMS, query, tokens_sql
@@ -56,32 +57,28 @@ for _period in LABELS:
         lambda spark, sf_dir, p=_period: technology_trend(spark, sf_dir, p)
     )
 
-_PIVOT_TOKENS = ["crimson", "gadget", "plate"]
-_PIVOT_YEARS = [str(y) for y in range(1995, 2002)]
-
-
 @query(
     "tech_trend_pivot",
     _trend_cte("quarterly")
-    + ' select "Period", '
-    + ", ".join(f"""cast(coalesce(sum("Count") filter ("Technology" = '{t}'), 0) as bigint) as {t}""" for t in _PIVOT_TOKENS)
-    + ' from trend group by 1',
+    + """, cells as (select p as "Period", t as "Technology", coalesce((select sum("Count") from trend where "Period" = p and "Technology" = t), 0)::bigint as n
+ from (select distinct "Period" as p from trend), (select distinct "Technology" as t from trend))
+select * from (pivot cells on "Technology" using first(n) group by "Period")""",
     ("sub",),
 )
 def tech_trend_pivot(spark, sf_dir):
-    return tokens.trend_pivot(technology_trend(spark, sf_dir, "quarterly"), _PIVOT_TOKENS)
+    return tokens.trend_pivot(materialise(technology_trend(spark, sf_dir, "quarterly")))
 
 
 @query(
     "tech_trend_transposed",
     _trend_cte("yearly")
-    + ' select "Technology", '
-    + ", ".join(f"""cast(coalesce(sum("Count") filter ("Period" = '{y}'), 0) as bigint) as "{y}" """ for y in _PIVOT_YEARS)
-    + ' from trend group by 1',
+    + """, cells as (select p as "Period", t as "Technology", coalesce((select sum("Count") from trend where "Period" = p and "Technology" = t), 0)::bigint as n
+ from (select distinct "Period" as p from trend), (select distinct "Technology" as t from trend))
+select * from (pivot cells on "Period" using first(n) group by "Technology")""",
     ("sub",),
 )
 def tech_trend_transposed(spark, sf_dir):
-    return tokens.trend_transposed(technology_trend(spark, sf_dir, "yearly"), _PIVOT_YEARS)
+    return tokens.trend_transposed(materialise(technology_trend(spark, sf_dir, "yearly")))
 
 
 @query(

@@ -8,13 +8,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_FILE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "synonyms.json")
 DOMAINS = ("technologies", "skills")
 
 
-def load_synonyms(path: str = DEFAULT_FILE) -> dict[str, dict[str, str]]:
-    """``{domain: {alias: canonical}}``; empty domains when the file is missing."""
-    if not os.path.exists(path):
+def load_synonyms(path: str | None = None) -> dict[str, dict[str, str]]:
+    """``{domain: {alias: canonical}}`` of a file; empty domains without one or when it is missing."""
+    if path is None or not os.path.exists(path):
         return {domain: {} for domain in DOMAINS}
     with open(path, encoding="utf-8") as source:
         return json.load(source)

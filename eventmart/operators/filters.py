@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import contains_folded, strip
+from ..functions.text import contains_folded
 from .clean import quoted
 
 
@@ -55,27 +55,21 @@ def in_year(df: DataFrame, year: int, column: str = S.SRC_DATE) -> DataFrame:
     return df.filter((quoted(column) >= first) & (quoted(column) < following))
 
 
-def history(df: DataFrame, statuses=None, kinds=None, search: str | None = None) -> DataFrame:
-    """Ledger rows by status, type and file name; each part only if given (FLT-06)."""
+def history(df: DataFrame, statuses=None, kinds=None, search: str | None = None, regex: bool = False) -> DataFrame:
+    """Ledger rows by status, type and file name; each part only if given (FLT-06).
+
+    ``search`` is text found in any case, or with ``regex`` a regular expression in any case.
+    """
     if statuses:
         df = df.filter(F.col("status").isin(*statuses))
     if kinds:
         df = df.filter(F.col("file_type").isin(*kinds))
     if search:
-        df = df.filter(contains_folded(F.col("file_name"), F.lit(search)))
+        name = F.col("file_name")
+        df = df.filter(name.rlike(f"(?i){search}") if regex else contains_folded(name, F.lit(search)))
     return df
 
 
-def flagged(df: DataFrame, column: str = "Include_in_Sample", value: str = "YES") -> DataFrame:
-    """Rows carrying the flag, or all rows when the table has no such column (FLT-07)."""
-    return df.filter(quoted(column) == value) if column in df.columns else df
-
-
-def not_blank(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose text is neither NULL nor blank (FLT-09)."""
-    return df.filter(F.length(strip(quoted(column))) > 0)
-
-
 def name_in(df: DataFrame, names: DataFrame, column: str, name: str) -> DataFrame:
     """Rows whose value is in a one-column table of names (FLT-02)."""
     wanted = names.select(quoted(name).alias("_name")).distinct()

@@ -51,7 +51,7 @@ def canonical_names(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame
 
 def events_of(events: DataFrame, organizer: str) -> DataFrame:
     """All events of an organizer in any spelling (FLT-02)."""
-    return events.filter(fold(quoted(S.SRC_ORG)) == F.lower(F.trim(F.lit(organizer))))
+    return events.filter(fold(quoted(S.SRC_ORG)) == fold(F.lit(organizer)))
 
 
 def organizer_timeline(events: DataFrame, organizer: str) -> DataFrame:

@@ -137,7 +137,7 @@ def organizer_rollup(submissions: DataFrame, registrants: DataFrame, events: Dat
 
 def organizer_report(organizer: str, submissions, registrants, events) -> dict[str, DataFrame]:
     """Summary and event table of one organizer (VAL-04, SNK-05)."""
-    norm = F.lower(F.trim(F.lit(organizer)))
+    norm = fold(F.lit(organizer))
     known = organizer_mapping(events).filter(F.col("norm") == norm)
     canonical = known.select("canonical").scalar()
     variations = known.select(F.array_join("variations", ", ")).scalar()

@@ -26,9 +26,6 @@ METADATA = {
     "Organization Category": "Organization Category",
     "In person vs virtual": "In Person vs Virtual",
 }
-# Up to this size a group is cut by ranking, beyond it by hash ranges.
-RANKED_LIMIT = 1000
-_SALTS = 64
 
 
 def ticket(seed: Column, key: Column) -> Column:
@@ -39,21 +36,12 @@ def ticket(seed: Column, key: Column) -> Column:
 def smallest_n(df: DataFrame, group: list[str], by: str, n: int) -> DataFrame:
     """Exactly the ``n`` rows with the smallest ticket per group, or all if there are fewer.
 
-    Small ``n``: the group is cut into salted shares first, so that no task ranks a
-    whole hot group; each share keeps ``n`` rows and the shares are ranked together.
-    Large ``n``: tickets are counted per hash range, whole ranges are kept up to the
-    one that crosses ``n``, and only inside a range are rows ranked.
+    Tickets are counted per hash range, whole ranges are kept up to the one that
+    crosses ``n``, and only inside a range are rows ranked, so no task ranks a hot group.
     """
     if n <= 0:
         return df.limit(0)
     keys = [quoted(g) for g in group]
-    if n <= RANKED_LIMIT:
-        share = df.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(_SALTS)))
-        within = Window.partitionBy(*keys, "_share").orderBy(by)
-        share = share.withColumn("_place", F.row_number().over(within)).filter(F.col("_place") <= n)
-        whole = Window.partitionBy(*keys).orderBy(by)
-        placed = share.withColumn("_place", F.row_number().over(whole)).filter(F.col("_place") <= n)
-        return placed.drop("_share", "_place")
     ranged = df.withColumn("_range", F.conv(F.substring(by, 1, 4), 16, 10).cast("int"))
     counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import dates, numbers
+from ..functions.text import fold
 from .clean import quoted
 
 
@@ -144,7 +145,7 @@ def top_organizers(df: DataFrame, limit: int = 10, canonical: bool = False) -> D
 
     Groups by the spelling in the list, or by the folded name with ``canonical``.
     """
-    key = F.lower(F.trim(quoted(S.SRC_ORG))) if canonical else quoted(S.SRC_ORG)
+    key = fold(quoted(S.SRC_ORG)) if canonical else quoted(S.SRC_ORG)
     return (
         df.withColumn("Organizer", key)
         .filter(F.col("Organizer").isNotNull())

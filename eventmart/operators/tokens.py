@@ -156,17 +156,24 @@ def uniform_skill_trend(
     ).orderBy("Period", name)
 
 
-def trend_pivot(trend: DataFrame, values: list[str], name: str = "Technology") -> DataFrame:
+def _distinct(trend: DataFrame, column: str) -> list[str]:
+    """Values of a column of a trend: at most its leaders, or the periods of the calendar."""
+    return sorted(r[0] for r in trend.select(quoted(column)).distinct().collect())
+
+
+def trend_pivot(trend: DataFrame, values: list[str] | None = None, name: str = "Technology") -> DataFrame:
     """Periods as rows, tokens as columns, 0 where a token is absent (RSH-01).
 
-    ``values`` are the columns wanted, at most the ``top_n`` of the trend; giving
-    them saves the job that would look for them.
+    The columns are all tokens of the trend, at most its ``top_n``; giving ``values``
+    saves the job that looks for them.
     """
+    values = _distinct(trend, name) if values is None else values
     return trend.groupBy("Period").pivot(name, values).agg(F.sum("Count")).na.fill(0, values)
 
 
-def trend_transposed(trend: DataFrame, periods: list[str], name: str = "Technology") -> DataFrame:
-    """Tokens as rows, periods as columns (RSH-02)."""
+def trend_transposed(trend: DataFrame, periods: list[str] | None = None, name: str = "Technology") -> DataFrame:
+    """Tokens as rows, all periods of the trend as columns (RSH-02)."""
+    periods = _distinct(trend, "Period") if periods is None else periods
     return trend.groupBy(name).pivot("Period", periods).agg(F.sum("Count")).na.fill(0, periods)
 
 

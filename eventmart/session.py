@@ -77,14 +77,3 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread a plain scan that arrives in fewer splits than there are cores.
-
-    A file with one large row group is read by one task, whatever follows. A table
-    with enough splits is returned as it is, so a large one is never shuffled here.
-    Give it a scan only: the splits of a frame with a shuffle are not known up front.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
