@@ -5,7 +5,9 @@ from __future__ import annotations
 from adapters import registrants, submissions, table
 from eventmart import schemas as S
 from eventmart.functions.text import clean_text
+from eventmart.functions.synonyms import read_synonyms
 from eventmart.operators import clean, dedup, filters, ledger
+from eventmart.session import run_dir
 from eventmart.sources.text_exports import classify
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .registry import SPACE, query
 
 @query("clean_documents", f"select doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) as text from documents")
 def clean_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents", spread=True).select("doc_id", clean_text(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 @query(
@@ -80,7 +82,7 @@ _LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"
     f"""select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(_LINE)}) = 1""",
 )
 def dedup_keep_first(spark, sf_dir):
-    return dedup.keep_first(table(spark, sf_dir, "lineitem", spread=True), ["l_orderkey", "l_linenumber"], _LINE)
+    return dedup.keep_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], _LINE)
 
 
 @query(
@@ -168,10 +170,11 @@ jobs as (select cast(('0x' || substr(file_hash, 1, 15)) as bigint) as id, file_h
  greatest(count(*) filter (status = 'processing'), 1) as attempts from live group by file_hash)"""
 
 
-def jobs(spark, sf_dir):
+def events_of(spark, sf_dir):
+    """File events made of the event stream."""
     user, kind, number = F.col("user_id"), F.col("event_type"), F.col("event_id")
     name = F.concat(F.lit("File-"), user, F.lit(".csv"))
-    events = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.sha2(user.cast("string").cast("binary"), 256).alias("file_hash"),
         name.alias("file_name"),
         F.when(user % 2 == 0, "submission").otherwise("registrant").alias("file_type"),
@@ -184,7 +187,10 @@ def jobs(spark, sf_dir):
         number.alias("event_seq"),
         F.concat(F.lit("/in/"), number, F.lit("/"), name).alias("path"),
     )
-    return ledger.state(events)
+
+
+def jobs(spark, sf_dir):
+    return ledger.state(events_of(spark, sf_dir))
 
 
 @query("ledger_state", f"with {LEDGER_SQL} select * from jobs")
@@ -211,6 +217,41 @@ def ledger_by_type(spark, sf_dir):
     return ledger.by_type(jobs(spark, sf_dir))
 
 
+@query(
+    "ledger_delete",
+    f"""with {LEDGER_SQL} select status, count(*) as n, cast(sum(row_count) as bigint) as row_total from jobs
+ where status <> 'failed' group by 1""",
+)
+def ledger_delete(spark, sf_dir):
+    """All failed jobs deleted by tombstones in a stored ledger, which is then read again."""
+    path = f"{run_dir(spark, 'ledger')}/events"
+    every = events_of(spark, sf_dir)
+    ledger.append(every, path)
+    last = every.agg(F.max("event_seq")).first()[0]
+    ledger.append(ledger.deletions(ledger.state(ledger.read(spark, path)), last + 1, status="failed"), path)
+    left = ledger.state(ledger.read(spark, path))
+    return left.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("row_count").alias("row_total"))
+
+
+@query(
+    "synonym_file",
+    """select 'technologies' as domain, lower(p_brand) as alias, min(lower(p_type)) as canonical from part group by 2
+ union all select 'skills', lower(p_type), min(lower(p_brand)) from part group by 2""",
+)
+def synonym_file(spark, sf_dir):
+    """A dictionary file made of parts, read as rows."""
+    part = table(spark, sf_dir, "part")
+
+    def aliases(alias, canonical):
+        pairs = part.groupBy(F.lower(alias).alias("a")).agg(F.min(F.lower(canonical)).alias("c"))
+        return pairs.agg(F.map_from_entries(F.collect_list(F.struct("a", "c"))).alias("m")).select("m")
+
+    both = aliases("p_brand", "p_type").withColumnRenamed("m", "technologies").crossJoin(aliases("p_type", "p_brand").withColumnRenamed("m", "skills"))
+    folder = run_dir(spark, "synonyms")
+    both.select(F.to_json(F.struct("technologies", "skills"))).coalesce(1).write.text(folder)
+    return read_synonyms(spark, folder)
+
+
 @query(
     "ledger_history",
     f"""with {LEDGER_SQL} select * from jobs where status in ('failed', 'completed') and file_type in ('submission')

@@ -5,7 +5,9 @@ from __future__ import annotations
 from adapters import event_list, nation_events, registrants, submissions
 from eventmart import schemas as S
 from eventmart.operators import filters, organizers, reconcile
-from eventmart.sources.event_list import normalise_events
+from eventmart.operators.clean import quoted
+from eventmart.session import run_dir
+from eventmart.sources.event_list import normalise_events, read_events
 from pyspark.sql import functions as F
 
 from .registry import query
@@ -26,6 +28,22 @@ def source_normalised(spark, sf_dir):
     return source(spark, sf_dir).toDF(*names)
 
 
+@query(
+    "event_list_csv",
+    """select name, org, url, published, participants, subs, mode, year(published) as year, month(published) as month,
+ quarter(published) as quarter from srcn""",
+    ("srcn",),
+)
+def event_list_csv(spark, sf_dir):
+    """The list written as CSV with blanks around its headers, and read back."""
+    folder = run_dir(spark, "events")
+    rows = event_list(spark, sf_dir)
+    rows.toDF(*[f" {c} " for c in rows.columns]).write.option("header", True).option("escape", '"').csv(folder)
+    found = read_events(spark, folder, "csv")
+    wanted = source(spark, sf_dir).columns
+    return found.select(*[quoted(c) for c in wanted]).toDF("name", "org", "url", "published", "participants", "subs", "mode", "year", "month", "quarter")
+
+
 @query(
     "source_listing",
     """select strftime(published, '%Y-%m-%d') as "Date", name as "Hackathon", org as "Organizer", participants as "Participants",

@@ -227,6 +227,15 @@ def load_store_figures(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("urls"), F.min("created").alias("first"), F.max("created").alias("last"))
 
 
+@query("store_has_data", "select false as before, count(*) > 0 as after from sub", ("sub",))
+def store_has_data(spark, sf_dir):
+    """Whether anything is stored, before and after parts are written."""
+    base = run_dir(spark, "store")
+    before = store.data_exists(spark, base)
+    two_parts(spark, sf_dir, base)
+    return spark.createDataFrame([(before, store.data_exists(spark, base))], "before boolean, after boolean")
+
+
 @query(
     "store_summary",
     """select 'submission' as kind, true as "exists", (select count(distinct url) from sub) as row_count,
