@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from .common import filesystem, partitions, saved, spread, text_of
+from .common import filesystem, partitions, put_in_place, saved, spread, text_of
 from .encoding import encoder
 
 MAGIC = b"BITPACK1"
@@ -97,7 +97,7 @@ class Writer:
         index = np.array([*head, *self._docs, *self._nulls, *self._starts, *self._blocks], "<i8").tobytes()
         self._out.write(index + len(index).to_bytes(8, "little") + MAGIC)
         self._out.close()
-        self._fs.move(self._temporary, self._path)
+        put_in_place(self._fs, self._temporary, self._path)
 
 
 class Reader:

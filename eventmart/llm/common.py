@@ -31,6 +31,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def put_in_place(system: pafs.FileSystem, temporary: str, final: str) -> None:
+    """Give a whole file its name, also where an earlier attempt of the task has done so."""
+    if system.get_file_info(final).type != pafs.FileType.NotFound:
+        system.delete_file(final)
+    system.move(temporary, final)
+
+
 def text_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch; NULL reads as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
@@ -58,3 +65,55 @@ def forest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, count: int) -> np.ndarray:
+    """At least ``count`` powers of ``base`` modulo 2**64, kept between calls."""
+    out = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(out) < count:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    _POWERS[base] = out
+    return out
+
+
+def word_hashes(text: str, stretch: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the words of a text, split at ASCII white space, A-Z in lower case.
+
+    A word's hash is the polynomial of its bytes, a difference of prefix sums, so whole texts are
+    hashed at once. Long texts are taken in stretches that end at white space.
+    """
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    out, at = [], 0
+    while at < len(data):
+        part = data[at : at + stretch]
+        if at + stretch < len(data):
+            gaps = np.flatnonzero(_SPACE[part])
+            if len(gaps):
+                part = part[: gaps[-1] + 1]
+            else:
+                behind = np.flatnonzero(_SPACE[data[at + stretch :]])
+                part = data[at : at + stretch + (behind[0] if len(behind) else len(data))]
+        out.append(_words(part))
+        at += len(part)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(_SPACE[data], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers(_BASE, len(data) + 1), powers(_INVERSE, len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))

@@ -18,12 +18,11 @@ import json
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from .common import filesystem, id_crc, partitions, saved, text_of
+from .common import filesystem, id_crc, partitions, put_in_place, saved, text_of, word_hashes
 
 STRENGTH = 100.0  # M
 LEVELS = 1 << 12  # of quantised values
@@ -32,34 +31,14 @@ _STRETCH = 1 << 16
 _HASH_BITS = 48
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 400_000
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & int(_MASK)
+END, START = 0x5EED, 0xBEE5
 
 
-END, START = _hash(b""), _hash(b" ")  # no word is empty or has a space
-
-
-class Tokens:
-    """Word hashes of texts, A-Z in lower case, with one end each."""
-
-    def __init__(self):
-        self._known: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        parts = text.encode("utf-8", "replace").lower().split()
-        known = self._known
-        if len(known) > _CACHE:
-            known.clear()
-        for word in set(parts):
-            if word not in known:
-                known[word] = _hash(word)
-        out = np.empty(len(parts) + 1, np.uint64)
-        out[:-1] = [known[w] for w in parts]
-        out[-1] = END
-        return out
+def tokens(text: str) -> np.ndarray:
+    """Word hashes of a text and one end."""
+    return np.append(word_hashes(text) & _MASK, np.uint64(END))
 
 
 # --- sequences -------------------------------------------------------------------------------------
@@ -182,7 +161,7 @@ def write_levels(levels: dict[str, np.ndarray], path: str, attempt: str) -> None
         out.write(len(head).to_bytes(8, "little") + head)
         for array in levels.values():
             out.write(array.tobytes() + b"\0" * (-array.nbytes % 8))
-    system.move(f"{place}.{attempt}", place)
+    put_in_place(system, f"{place}.{attempt}", place)
 
 
 class Trie:
@@ -234,7 +213,7 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
     """(word, count) over the training documents."""
 
     def counted(batches):
-        tokens, parts, size = Tokens(), [], 0
+        parts, size = [], 0
         for batch in batches:
             for text, train in zip(text_of(batch), batch.column("train").to_pylist(), strict=True):
                 if train:
@@ -261,7 +240,7 @@ def _dealt(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
     def rows(batches):
         from pyspark import TaskContext
 
-        number, tokens = TaskContext.get().partitionId() << 24, Tokens()
+        number = TaskContext.get().partitionId() << 24
         texts: list[tuple] = []
         size = 0
         for batch in batches:
@@ -269,15 +248,15 @@ def _dealt(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
                 texts.append(row)
                 size += len(row[2])
                 if len(texts) == BATCH_DOCS or size > BATCH_CHARS:
-                    yield _shuffled(texts, number, tokens, shards, hot)
+                    yield _shuffled(texts, number, shards, hot)
                     number, texts, size = number + 1, [], 0
         if texts:
-            yield _shuffled(texts, number, tokens, shards, hot)
+            yield _shuffled(texts, number, shards, hot)
 
     return docs.mapInArrow(rows, "shard int, batch long, head binary, data binary")
 
 
-def _shuffled(texts: list[tuple], number: int, tokens: Tokens, shards: int, hot: np.ndarray) -> pa.RecordBatch:
+def _shuffled(texts: list[tuple], number: int, shards: int, hot: np.ndarray) -> pa.RecordBatch:
     each = [tokens(t) for _, _, t in texts]
     sizes = np.array([len(x) for x in each], np.int64)
     words = np.concatenate(each)
@@ -286,7 +265,7 @@ def _shuffled(texts: list[tuple], number: int, tokens: Tokens, shards: int, hot:
     before[np.cumsum(sizes) - sizes] = START
     before = ((before * _MIX) >> np.uint64(32)).astype(np.uint32)
     doc = np.repeat(np.arange(len(each)), sizes).astype(np.uint16)
-    spread = np.isin(words, hot)
+    spread = hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words if len(hot) else np.zeros(len(words), bool)
     shard = np.where(spread, (words ^ before.astype(np.uint64)) * _MIX >> np.uint64(40), words) % np.uint64(shards)
     order = np.argsort((shard << np.uint64(_HASH_BITS)) | words, kind="stable")
     words, before, doc, shard = words[order], before[order], doc[order], shard[order]
@@ -329,26 +308,34 @@ def _scored_shard(folder: str, hot: np.ndarray, hot_counts: np.ndarray, total: i
         rows = [_parsed(x) for x in table.column("data").to_pylist()]
         words, before = np.concatenate([r[2] for r in rows]), np.concatenate([r[4] for r in rows])
         train = np.concatenate([r[1][r[3]] for r in rows])
-        own, counts = np.unique(words[train], return_counts=True)
-        present = np.intersect1d(hot, words)
-        every = np.union1d(own, present)
-        every_counts = np.zeros(len(every), np.int64)
-        every_counts[np.searchsorted(every, own)] = counts
-        every_counts[np.searchsorted(every, present)] = hot_counts[np.searchsorted(hot, present)]
-        pairs, pair_counts = np.unique((np.searchsorted(every, words[train]).astype(np.uint64) << np.uint64(32)) | before[train], return_counts=True)
+        kinds_here, place = np.unique(words, return_inverse=True)
+        counts = np.bincount(place[train], minlength=len(kinds_here))
+        frequent = np.flatnonzero(np.isin(kinds_here, hot))
+        counts[frequent] = hot_counts[np.searchsorted(hot, kinds_here[frequent])]
+        known_here = counts > 0
+        every, every_counts = kinds_here[known_here], counts[known_here]
+        rank = np.cumsum(known_here) - 1
+        # every pair of the shard once, with its number in the training documents
+        asked, which = np.unique((place.astype(np.uint64) << np.uint64(32)) | before, return_inverse=True)
+        asked_counts = np.bincount(which[train], minlength=len(asked))
+        asked_word = (asked >> np.uint64(32)).astype(np.int64)
+        seen = asked_counts > 0
+        pairs = (rank[asked_word[seen]].astype(np.uint64) << np.uint64(32)) | (asked[seen] & np.uint64(0xFFFFFFFF))
         path = f"{folder}/shard-{table.column('shard')[0].as_py():06d}.trie"
-        write_levels(build_trie(every, every_counts, pairs, pair_counts, total, kinds), path, str(TaskContext.get().taskAttemptId()))
-        trie = Trie(path)
+        write_levels(build_trie(every, every_counts, pairs, asked_counts[seen], total, kinds), path, str(TaskContext.get().taskAttemptId()))
+        numerator, context, known = Trie(path).numerators(kinds_here[asked_word], (asked & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        numerator[~known] = np.log10(STRENGTH / (total + kinds + 1.0))
+        context[~known] = np.log10(STRENGTH)
+        context[kinds_here[asked_word] == np.uint64(END)] = 0  # nothing follows an end
+        value = (numerator - context)[which]
+        base = np.log10(counts + 1.0)[place]
+        known = known_here[place]
         out: list[tuple] = []
-        for (n, _, own_words, doc, own_before), batch, head in zip(rows, table.column("batch").to_pylist(), table.column("head").to_pylist(), strict=True):
-            numerator, context, known = trie.numerators(own_words, own_before)
-            numerator[~known] = np.log10(STRENGTH / (total + kinds + 1.0))
-            context[~known] = np.log10(STRENGTH)
-            context[own_words == np.uint64(END)] = 0  # nothing follows an end
-            c = np.zeros(len(own_words), np.int64)
-            if len(every):
-                c[known] = every_counts[np.searchsorted(every, own_words[known])]
-            sums = [np.bincount(doc, x, n) for x in (np.log10(c + 1.0), numerator - context, c > 0)]
+        at = 0
+        for (n, _, own_words, doc, _), batch, head in zip(rows, table.column("batch").to_pylist(), table.column("head").to_pylist(), strict=True):
+            own = slice(at, at + len(own_words))
+            at += len(own_words)
+            sums = [np.bincount(doc, x[own], n) for x in (base, value, known)]
             out.append((batch, head, sums[0].astype("<f8").tobytes(), sums[1].astype("<f4").tobytes(), sums[2].astype("<u4").tobytes()))
         names = ["batch", "head", "base", "score", "known"]
         types = [pa.int64(), *[pa.binary()] * 4]

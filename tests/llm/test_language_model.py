@@ -8,6 +8,7 @@ from llm_helpers import DOCS, EDGE_TEXTS, documents, stored, words
 
 from eventmart.llm import language_model as lm
 from eventmart.llm import queries
+from eventmart.llm.common import word_hashes
 
 
 @pytest.mark.parametrize("top", [3, 1 << 20, 1 << 55])
@@ -23,6 +24,19 @@ def test_elias_fano(top, monkeypatch):
     assert lm.EliasFano.opened(lm.EliasFano.parts(values[:0])).successors(targets).tolist() == [0] * len(targets)
 
 
+def test_word_hashes_follow_words():
+    texts = ["", " ", "a", " A\tb  a\x0b\x1cb é É", words(3, 400) + " " + "x" * 300 + "\n" + words(3, 400)]
+    seen = {}
+    for text in texts:
+        parts = text.encode().lower().split()
+        for stretch in (1 << 20, 50):
+            got = word_hashes(text, stretch).tolist()
+            assert len(got) == len(parts)
+            for part, h in zip(parts, got):
+                assert seen.setdefault(part, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def tokens(text):
     return [*(text or "").encode().lower().split(), None]
 
