@@ -24,17 +24,24 @@ TOGETHER = 500
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+def encoder(path: str, remember: int = KNOWN_WORDS) -> Encoder:
+    """The encoder of this worker process, which remembers so many words between tasks."""
+    if path not in _ENCODERS or _ENCODERS[path].remember != remember:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path, remember)
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Free what this worker remembers; another stage needs the memory."""
+    _ENCODERS.clear()
+
+
 class Encoder:
     """Encodes texts; the memory of what it remembers is bounded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = KNOWN_WORDS):
+        self.remember = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -95,7 +102,7 @@ class Encoder:
         parts.update(self._encoded([part for part, x in parts.items() if x is None]))
         made = {w: b"".join([parts[part] for part in row]) if len(row) != 1 else parts[row[0]] for w, row in zip(words, split)}
         parts.update((w, x) for w, x in made.items() if "\n" not in w)
-        if len(self._known) < KNOWN_WORDS and self._chars < KNOWN_CHARS:
+        if len(self._known) < self.remember and self._chars < KNOWN_CHARS:
             self._known.update(parts)
             self._chars += sum(map(len, parts))
         else:

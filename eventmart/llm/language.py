@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc, spread, text_of
+from .encoding import forget
 
 DIMENSIONS = 2048
 #: Documents of each language that the classifier is fitted on, in expectation.
@@ -133,6 +134,7 @@ def learn(docs: DataFrame, folds: int = 5, per_language: int = SAMPLE_PER_LANGUA
         keep = keep | ((F.col("lang").cast("string") == name) & (draw < int(rate * (1 << 30))))
 
     def rows(batches):
+        forget()
         for batch in batches:
             texts = text_of(batch)
             good = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -176,6 +178,7 @@ def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """``docs`` without documents whose language is undetermined or scored under ``least``; columns unchanged."""
 
     def good(batches):
+        forget()
         for batch in batches:
             texts = text_of(batch)
             keep = [model is not None and has_letter(t) for t in texts]

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small
 from .common import forest, partitions, saved, spread, text_of
 from .components import components
+from .encoding import forget
 
 BANDS, ROWS = 32, 5
 #: Bits of the odd sketch; samples that differ set about twice as many.
@@ -106,6 +107,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, class (hash of the set, NULL if empty), bands, odd."""
 
     def rows(batches):
+        forget()
         shingler = Shingler(words)
         for batch in batches:
             out: list[tuple] = []

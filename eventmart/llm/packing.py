@@ -17,19 +17,20 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import broadcast_if_small
 from .common import saved, spread, text_of
-from .encoding import encoder
+from .encoding import KNOWN_WORDS, encoder
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, remember: int = KNOWN_WORDS) -> DataFrame:
     """Token ids of every whole text plus ``end_id``, cut only where longer than ``capacity``.
 
     Columns doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit). NULL text is
     empty: one piece with the end id. A longer document has full pieces; its first may be shorter.
-    Repeated rows give repeated pieces.
+    Repeated rows give repeated pieces. ``remember`` bounds the words a worker keeps between tasks:
+    more take memory, fewer take time.
     """
 
     def cut(batches):
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, remember)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
