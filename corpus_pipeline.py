@@ -15,6 +15,8 @@ from eventmart.llm.common import saved
 #: Texts whose language is less sure than this are rejected; a guess between four scores 0.25.
 LEAST_SCORE = 0.3
 CAPACITY = 2048
+#: Words a worker remembers while it encodes; the stages before have filled the executors' heaps.
+REMEMBER = 250_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document in sequences of at most CAPACITY."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY), CAPACITY)
+    parts = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY, REMEMBER)
+    return packing.pack(parts, CAPACITY)
 
 
 STAGES = [
