@@ -26,7 +26,7 @@ from .common import partitions, saved, text_of
 
 GRAM = 32
 LARGE = 512
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 1_500_000
 _STRETCH = 1 << 19
 _SEEN = 300_000
 _LOW = -(1 << 63)
