@@ -222,7 +222,7 @@ def _told_apart(found: DataFrame, length: int) -> DataFrame:
 
     def rows(batches):
         last_h = last_b = None
-        pending, several = None, False
+        pending, before = None, 0  # first one of the only block so far, number of different blocks of the last anchor
         names = ["kind", "h", "b", "d", "e", "p", "m"]
         for batch in batches:
             if not batch.num_rows:
@@ -241,7 +241,7 @@ def _told_apart(found: DataFrame, length: int) -> DataFrame:
             group = np.cumsum(new_h)
             counts = np.bincount(group[first], minlength=int(group[-1]) + 1)
             carried = pending if not new_h[0] else None
-            counts[0] += (carried is not None) + (several and not new_h[0])
+            counts[0] += 0 if new_h[0] else before
             out = [np.stack([np.full(n.sum(), 1), h[n], b[n], d[n], e[n], p[n], s[n]]) for n, s in ((old, m), (again, p + (m >> 8) + length - 1))]
             many = first[counts[group[first]] > 1]
             out.append(np.stack([np.full(len(many), 2), h[many], b[many], d[many], e[many], p[many], m[many]]))
@@ -250,12 +250,12 @@ def _told_apart(found: DataFrame, length: int) -> DataFrame:
                 carried = None
             if old[-1]:
                 last_h = last_b = pending = None
-                several = False
+                before = 0
             else:
                 last_h, last_b = h[-1], b[-1]
                 own = first[group[first] == group[-1]]
-                several = bool(counts[group[-1]] > 1)
-                if several:
+                before = int(counts[group[-1]])
+                if before > 1:
                     pending = None
                 elif len(own):
                     k = own[-1]

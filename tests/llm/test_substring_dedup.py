@@ -99,3 +99,21 @@ def test_blocks_in_stretches(monkeypatch):
     cut = sd.blocks(data, 100)
     assert cut[3].sum() == whole[3].sum()
     assert set(whole[0].tolist()) == set(cut[0].tolist())
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 1000])
+def test_blocks_told_apart_over_small_batches(spark, size):
+    names = "kind int, h long, b long, d long, e long, p long, m long"
+    blocks = {4: [10, *[20] * 8, 30], 5: [10, 20, 20, 20, 20, 20, 20, 30, 30, 40], 6: [7] * 9, 8: [1, 1, 1, 1, 2], 9: [3, 4]}
+    rows = [(0, h, b, d, 0, 0, 1 << 8) for h, found in blocks.items() for d, b in enumerate(found)]
+    rows += [(1, 5, 0, d, 0, 0, 100) for d in range(20, 27)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        got = [tuple(r) for r in sd._told_apart(spark.createDataFrame(rows, names), 100).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r[1:3] for r in got if r[0] == 2) == [(4, 10), (4, 20), (4, 30), (5, 10), (5, 20), (5, 30), (5, 40), (8, 1), (8, 2), (9, 3), (9, 4)]
+    first = {(h, b): found.index(b) for h, found in blocks.items() for b in found}
+    assert all(r[3] == first[r[1], r[2]] for r in got if r[0] == 2)
+    assert sum(r[0] == 1 for r in got) == 7 + len(rows) - 7 - len(first)
