@@ -49,6 +49,27 @@ def test_sketch_estimates_containment_and_merges():
     assert set(both.tolist()) == set(a.tolist()) | set(fingerprints.sketch(other).tolist())
 
 
+def test_short_texts_have_fingerprints_of_their_own():
+    short = ["This.", "Anouble thwh.", "Thtion.", "x", "xx", *(words(k, 2 + k % 30) for k in range(60)), "ab" * 3000, "ba" * 3000]
+    marks = [fingerprints.fingerprint(t) for t in short]
+    assert len(set(marks)) == len(set(short))
+
+    def shingles(t):
+        return {t[i : i + 16] for i in range(max(1, len(t) - 15))}
+
+    for one, a in zip(short, marks):
+        for other, b in zip(short, marks):
+            x, y = sorted((shingles(one), shingles(other)), key=len)
+            assert fingerprints.likeness(a, b) == (1.0 if one == other else len(x & y) / len(x))
+    long = words(1, 3000)
+    for at in range(0, 2000, 100):
+        got = fingerprints.likeness(fingerprints.fingerprint(long[at : at + 20]), fingerprints.fingerprint(long))
+        assert got in (None, 1.0)
+    assert fingerprints.likeness(fingerprints.fingerprint("This."), fingerprints.fingerprint(long)) == 0.0
+    both = fingerprints.merged(*marks[:2])
+    assert fingerprints.likeness(both, marks[0]) == 1.0 and both != fingerprints.merged(*marks[1:3])
+
+
 def test_sketch_in_stretches(monkeypatch):
     text = words(3, 3000)
     whole = fingerprints.sketch(text)
