@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,8 @@ from ..operators.dedup import deduplicate_store
 KINDS = ("submission", "registrant")
 # Order key given to records of a legacy file: after everything ingested.
 _LAST = 2**62
+# What the Parquet reader says of a file that is none; every other failure of a read is raised.
+_NO_PARQUET = "is not a Parquet file"
 
 
 def parts_path(root: str, kind: str) -> str:
@@ -23,27 +27,74 @@ def parts_path(root: str, kind: str) -> str:
 def read_parquet_if_any(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """A Parquet folder, None when there is nothing to read.
 
-    Without ``schema`` the columns of all parts are merged and unreadable parts are
-    skipped; with it nothing is inferred, and an unreadable part is an error.
+    Without ``schema`` the columns of all parts are merged and files that are no Parquet files are
+    left out with a warning that names them (see :func:`skipped_parts`); any other failure to read is
+    an error. With it nothing is inferred, and an unreadable part is an error.
     """
+    if schema is not None:
+        return _if_any(lambda: spark.read.schema(schema).parquet(path))
+    found, skipped = _merged(spark, path)
+    if skipped:
+        warnings.warn(f"{path}: parts that cannot be read are left out: {', '.join(skipped)}", stacklevel=2)
+    return found
+
+
+def _if_any(read) -> DataFrame | None:
     try:
-        if schema is not None:
-            return spark.read.schema(schema).parquet(path)
-        return (
-            spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path)
-        )
+        return read()
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def _merged(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[str]]:
+    """A Parquet folder with the columns of all its files, and the files that are no Parquet files."""
+
+    def read(*paths):
+        return spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", False).parquet(*paths)
+
+    try:
+        return _if_any(lambda: read(path)), []
+    except Exception as error:
+        if _NO_PARQUET not in str(error):
+            raise
+    # a given schema lists the files without opening them
+    files = [unquote(f) for f in spark.read.schema("x int").parquet(path).inputFiles()]
+    skipped: list[str] = []
+
+    def look(some):
+        try:
+            read(*some)
+        except Exception as error:
+            if _NO_PARQUET not in str(error):
+                raise
+            if len(some) == 1:
+                skipped.extend(some)
+                return
+            for half in (some[: len(some) // 2], some[len(some) // 2 :]):
+                look(half)
+
+    look(files)
+    good = sorted(set(files) - set(skipped))
+    if not good:
+        return None, sorted(skipped)
+    return spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", False).option("basePath", path).parquet(*good), sorted(skipped)
+
+
+def skipped_parts(spark: SparkSession, root: str, kind: str, legacy: str | None = None) -> DataFrame:
+    """(path) of the files that :func:`read_store` leaves out because they are no Parquet files."""
+    paths = [parts_path(root, kind), *([legacy] if legacy else [])]
+    return spark.createDataFrame([(f,) for path in paths for f in _merged(spark, path)[1]], "path string")
+
+
 def read_store(
     spark: SparkSession, root: str, kind: str, legacy: str | None = None, deduplicate: bool = True
 ) -> DataFrame | None:
     """All parts of one kind and an optional legacy file, each identity once.
 
-    Parts may differ in columns and unreadable ones are skipped. Legacy records come
+    Parts may differ in columns; files that are no Parquet files are left out with a warning and
+    listed by :func:`skipped_parts`, any other failure to read is raised. Legacy records come
     after all parts in the keep-first order. None when nothing is stored.
     """
     parts = read_parquet_if_any(spark, parts_path(root, kind))

@@ -128,6 +128,28 @@ def test_store_skips_unreadable_parts_and_puts_legacy_last(spark, tmp_path):
     assert store.read_store(spark, str(tmp_path / "nothing"), "submission") is None
 
 
+def test_store_names_skipped_parts_and_raises_on_others(spark, tmp_path):
+    root = tmp_path / "a store+1"
+    parts = root / "submissions" / "parts"
+    for name in ("h1", "h2"):
+        data = [(name, "v" * 50, k, 1) for k in range(50)]
+        spark.createDataFrame(data, "_dedup_key string, v string, _row_no long, _ingest_seq long").coalesce(1).write.parquet(str(parts / f"_file_hash={name}"))
+    assert store.skipped_parts(spark, str(root), "submission").count() == 0
+    (parts / "_file_hash=h1" / "broken.parquet").write_bytes(b"not parquet")
+    with pytest.warns(UserWarning, match="broken.parquet"):
+        got = store.read_store(spark, str(root), "submission", deduplicate=False)
+    assert got.count() == 100 and {r[0] for r in got.select("_file_hash").distinct().collect()} == {"h1", "h2"}
+    assert [r.path.split("/")[-1] for r in store.skipped_parts(spark, str(root), "submission").collect()] == ["broken.parquet"]
+    # a part whose footer is whole and whose pages are not
+    hurt = next((parts / "_file_hash=h2").glob("*.parquet"))
+    content = bytearray(hurt.read_bytes())
+    content[4:200] = b"\xff" * 196
+    hurt.write_bytes(bytes(content))
+    (hurt.parent / f".{hurt.name}.crc").unlink()
+    with pytest.warns(UserWarning), pytest.raises(Exception):
+        store.read_store(spark, str(root), "submission", deduplicate=False).collect()
+
+
 def test_single_file(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_bytes(b"a|b\n1|\"x|y\"\n")
