@@ -33,15 +33,20 @@ CELLS = "_cells"
 FILE_SCHEMA = "uri string, path string, length long, content binary"
 
 
-def scan_files(spark: SparkSession, *folders: str, recursive: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, *folders: str, recursive: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Exports in the drop folders as (uri, path, length, content, file_name).
 
     Sub-folders are left out unless ``recursive``. The scan skips files without any
-    byte, so those are added from the file index, to be reported as unreadable.
+    byte, so those are added from the file index, to be reported as unreadable. Files above
+    ``max_bytes`` come without content, which the reader would refuse with an error.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]")
     raw = reader.option("recursiveFileLookup", recursive).load(list(folders))
-    full = raw.select(F.col("_metadata.file_path").alias("uri"), "path", "length", "content")
+    where = F.col("_metadata.file_path").alias("uri")
+    # the filter reaches the scan, so the content of other files is not read; the second scan reads none
+    full = raw.filter(F.col("length") <= max_bytes).select(where, "path", "length", "content")
+    large = raw.filter(F.col("length") > max_bytes).select(where, "path", "length", F.lit(None).cast("binary").alias("content"))
+    full = full.unionByName(large)
     listed = spark.createDataFrame([(u,) for u in raw.inputFiles()], "uri string")
     seen = full.select(_plain_uri(F.col("uri")).alias("_seen"))
     empty = listed.withColumn("_plain", _plain_uri(F.col("uri"))).join(seen, F.col("_plain") == F.col("_seen"), "left_anti")

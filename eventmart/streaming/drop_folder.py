@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..plans.ingest import ingest_files
-from ..sources.text_exports import named_files
+from ..sources.text_exports import scan_files
 
 _SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -26,11 +27,14 @@ def pick_up(
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
-        .select(F.col("_metadata.file_path").alias("uri"), "path", "length", "content")
+        .select("path")
     )
 
     def ingest(batch, _):
-        ingest_files(named_files(batch), store, ledger_path)
+        # at most files_per_batch paths; characters of patterns stand for themselves
+        paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r["path"]) for r in batch.collect()]
+        if paths:
+            ingest_files(scan_files(spark, *paths), store, ledger_path)
 
     query = (
         arrivals.writeStream.foreachBatch(ingest)

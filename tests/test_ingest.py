@@ -160,6 +160,29 @@ def test_single_file(spark, tmp_path):
         text_exports.load_file(spark, str(tmp_path / "e.csv"))
 
 
+def test_file_above_the_readers_limit_is_reported(spark, tmp_path, drop):
+    with open(drop / "large.csv", "wb") as out:  # sparse
+        out.write(b"User ID,Country,Skills\n1,FR,ml\n")
+        out.truncate(2_200_000_000)
+    report = ingest.ingest_folder(spark, str(drop), str(tmp_path / "store"), str(tmp_path / "ledger"))
+    by_name = {r.file_name: r for r in report.collect()}
+    assert (by_name["large.csv"].status, by_name["large.csv"].error) == ("failed", "File is too large")
+    assert {n for n, r in by_name.items() if r.status == "processed"} == {"a subs+1.csv", "b.csv", "c.CSV"}
+    state = {r.file_name: r.status for r in ledger.state(ledger.read(spark, str(tmp_path / "ledger"))).collect()}
+    assert state["large.csv"] == "failed" and state["b.csv"] == "completed"
+
+
+def test_stream_with_a_file_above_the_readers_limit(spark, tmp_path, drop):
+    with open(drop / "large.csv", "wb") as out:  # sparse
+        out.truncate(2_200_000_000)
+    (drop / "d[1].csv").write_bytes(PEOPLE.replace(b"13;", b"14;"))
+    where = (str(tmp_path / "store"), str(tmp_path / "ledger"))
+    pick_up(spark, str(drop), *where, str(tmp_path / "checkpoint"))
+    state = {r.file_name: r.status for r in ledger.state(ledger.read(spark, where[1])).collect()}
+    assert state["large.csv"] == "failed" and state["c.CSV"] == "completed"
+    assert "d[1].csv" in state
+
+
 def test_bundles(spark, tmp_path):
     full = spark.range(10).select("id", F.array(F.lit("a"), F.lit("b")).alias("names"))
     manifest = bundles.write_bundle(spark, {"My Table": full, "Empty": full.limit(0), "None": None}, str(tmp_path / "out" / "b1"), "csv")
