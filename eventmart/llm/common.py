@@ -43,9 +43,14 @@ def text_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def id_text(column: str = "doc_id") -> Column:
+    """An id written as text; a NULL id counts as empty text."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def id_crc(column: str = "doc_id") -> Column:
-    """crc32 of an id written as text; a NULL id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+    """crc32 of an id written as text."""
+    return F.crc32(id_text(column).cast("binary"))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
-def _jumped(parent: DataFrame) -> DataFrame:
-    """Follow ``parent`` pointers to their roots; each pass halves the depth."""
+def roots(parent: DataFrame) -> DataFrame:
+    """(node, parent) with ``parent`` pointers followed to their roots; each pass halves the depth."""
     while True:
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         parent = saved(
@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         hooked = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
-        parent = _jumped(hooked.select("node", F.least("node", "b").alias("parent")))
+        parent = roots(hooked.select("node", F.least("node", "b").alias("parent")))
         if labels is None:
             labels = parent.select("node", F.col("parent").alias("component"))
         else:
