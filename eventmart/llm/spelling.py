@@ -4,10 +4,10 @@ The bigrams of each word are put in one order for all words, rare ones first. It
 three bigrams and every further occurrence of the third; its *pivots* are two bigrams of the prefix that
 share no letter, chosen by dynamic programming so that the two are as rare as can be. One edit spoils one of
 two such bigrams at most, so of two words one letter apart, the one whose prefix ends earlier in the order
-has a pivot that is also in the other's prefix. The place of that bigram moves only as the edit
-allows: not at all where the lengths are equal, and by nothing or one in the direction of the longer
-word otherwise. Pivots therefore meet prefixes in an equality join on bigram, place and length; what
-meets is verified by its edit distance.
+has a pivot that is also in the other's prefix. Its place is limited by the edit: an edit before the right pivot
+leaves that pivot and all letters behind it, any other leaves the left pivot and all letters before it.
+Pivots with those letters therefore meet prefix bigrams with theirs in an equality join that also fixes
+the length; what meets is verified by its edit distance.
 
 Words are the maximal runs of A-Z, a-z and U+00C0 to U+00FF, with A-Z in lower case. Defined results: NULL,
 empty and wordless texts hold no words; repeated rows count as often as they are there; ties go to
@@ -137,23 +137,24 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # place in the order, place in the word and length tell which rows can meet
             out: list[tuple] = []
             for word in batch.column("word").to_pylist():
-                grams = prefix(word, order)
+                grams, size = prefix(word, order), len(word)
                 last = grams[-1][0]
-                out += [(False, g, at, len(word), last, word) for g, at in grams]
-                for g, at in pivots(grams, frequency):
-                    out += [(True, g, at, len(word), last, word)]
-                    for by in (-1, 1):
-                        out += [(True, g, at, len(word) + by, last, word), (True, g, at + by, len(word) + by, last, word)]
-            kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                for _, at in grams:
+                    out += [(False, True, size, word[: at + GRAM], last, word), (False, False, size, word[at:], last, word)]
+                (_, left), (_, right) = pivots(grams, frequency)
+                for its in (size - 1, size, size + 1):
+                    out += [(True, True, its, word[: left + GRAM], last, word), (True, False, its, word[right:], last, word)]
+            kinds = [pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.string()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=["pivot", "gram", "at", "size", "last", "word"])
+            yield pa.RecordBatch.from_arrays(columns, names=["pivot", "left", "size", "part", "last", "word"])
 
-    index = saved(words.select("word").mapInArrow(keys, "pivot boolean, gram int, at int, size int, last int, word string"), "spelling-grams")
-    asking = index.filter("pivot").select("gram", "at", "size", F.col("last").alias("ends"), F.col("word").alias("near"))
-    meeting = index.filter("not pivot").join(asking, ["gram", "at", "size"]).filter("ends <= last and word <> near")
+    grams = words.select("word").mapInArrow(keys, "pivot boolean, left boolean, size int, part string, last int, word string")
+    # parts that collide only meet in vain
+    index = saved(grams.select("pivot", F.xxhash64("left", "size", "part").alias("key"), "last", "word"), "spelling-grams")
+    asking = index.filter("pivot").select("key", F.col("last").alias("ends"), F.col("word").alias("near"))
+    meeting = index.filter("not pivot").join(asking, "key").filter("ends <= last and word <> near")
     close = meeting.filter(F.levenshtein("word", "near", 1) == 1).select("word", "near")
     both = close.unionByName(close.select(F.col("near").alias("word"), F.col("word").alias("near")))
     return saved(both.distinct(), "spelling-near")
