@@ -7,7 +7,8 @@ two such bigrams at most, so of two words one letter apart, the one whose prefix
 has a pivot that is also in the other's prefix. Its place is limited by the edit: an edit before the right pivot
 leaves that pivot and all letters behind it, any other leaves the left pivot and all letters before it.
 Pivots with those letters therefore meet prefix bigrams with theirs in an equality join that also fixes
-the length; what meets is verified by its edit distance.
+the length. Of what meets, words whose letters differ too much to be one edit apart are left out, and the
+rest is verified by its edit distance.
 
 Words are the maximal runs of A-Z, a-z and U+00C0 to U+00FF, with A-Z in lower case. Defined results: NULL,
 empty and wordless texts hold no words; repeated rows count as often as they are there; ties go to
@@ -127,6 +128,14 @@ def pivots(grams: list[tuple[int, int]], frequency: list[int]) -> list[tuple[int
     return [two[1], two[2]]
 
 
+def letters(word: str) -> int:
+    """One bit for each letter that occurs an odd number of times; one edit changes two bits at most."""
+    bits = 0
+    for c in map(ord, word):
+        bits ^= 1 << (c - 97 if 97 <= c < 123 else 26 + c % 37)
+    return bits
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near) of all pairs of words exactly one inserted, deleted or replaced letter apart, both ways round.
 
@@ -140,21 +149,22 @@ def near_words(words: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for word in batch.column("word").to_pylist():
                 grams, size = prefix(word, order), len(word)
-                last = grams[-1][0]
+                own = (grams[-1][0], letters(word), word)
                 for _, at in grams:
-                    out += [(False, True, size, word[: at + GRAM], last, word), (False, False, size, word[at:], last, word)]
+                    out += [(False, True, size, word[: at + GRAM], *own), (False, False, size, word[at:], *own)]
                 (_, left), (_, right) = pivots(grams, frequency)
                 for its in (size - 1, size, size + 1):
-                    out += [(True, True, its, word[: left + GRAM], last, word), (True, False, its, word[right:], last, word)]
-            kinds = [pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+                    out += [(True, True, its, word[: left + GRAM], *own), (True, False, its, word[right:], *own)]
+            kinds = [pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=["pivot", "left", "size", "part", "last", "word"])
+            yield pa.RecordBatch.from_arrays(columns, names=["pivot", "left", "size", "part", "last", "letters", "word"])
 
-    grams = words.select("word").mapInArrow(keys, "pivot boolean, left boolean, size int, part string, last int, word string")
+    schema = "pivot boolean, left boolean, size int, part string, last int, letters long, word string"
+    grams = words.select("word").mapInArrow(keys, schema)
     # parts that collide only meet in vain
-    index = saved(grams.select("pivot", F.xxhash64("left", "size", "part").alias("key"), "last", "word"), "spelling-grams")
-    asking = index.filter("pivot").select("key", F.col("last").alias("ends"), F.col("word").alias("near"))
-    meeting = index.filter("not pivot").join(asking, "key").filter("ends <= last and word <> near")
+    index = saved(grams.select("pivot", F.xxhash64("left", "size", "part").alias("key"), "last", "letters", "word"), "spelling-grams")
+    asking = index.filter("pivot").select("key", F.col("last").alias("ends"), F.col("letters").alias("its"), F.col("word").alias("near"))
+    meeting = index.filter("not pivot").join(asking, "key").filter("ends <= last and bit_count(letters ^ its) <= 2")
     close = meeting.filter(F.levenshtein("word", "near", 1) == 1).select("word", "near")
     both = close.unionByName(close.select(F.col("near").alias("word"), F.col("word").alias("near")))
     return saved(both.distinct(), "spelling-near")

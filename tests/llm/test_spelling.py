@@ -112,3 +112,13 @@ def test_roots_follow_long_ways(spark):
     assert got["abcdx"].form == "abcde" and got["abcdx"].root == "abcde" + "f" * 11
     with pytest.raises(ValueError):
         spelling.variants(spark.createDataFrame(rows, "word string, n long"), 1)
+
+
+def test_letters_differ_in_two_bits_at_most():
+    rng = random.Random(9)
+    alphabet = [chr(c) for c in (*range(97, 123), *range(0xC0, 0x100))]
+    for _ in range(500):
+        word = [rng.choice(alphabet) for _ in range(rng.randrange(5, 12))]
+        at, new = rng.randrange(len(word)), rng.choice([[], [rng.choice(alphabet)], [rng.choice(alphabet), word[0]]])
+        other = word[:at] + new + word[at + 1 :] if len(new) < 2 else word[:at] + new[:1] + word[at:]
+        assert (spelling.letters("".join(word)) ^ spelling.letters("".join(other))).bit_count() <= 2
