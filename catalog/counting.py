@@ -33,12 +33,12 @@ def top_technologies_all(spark, sf_dir):
 
 @query("doc_top_words", top_tokens_sql("documents", "text", " ", "Technology", 100, synonyms=False))
 def doc_top_words(spark, sf_dir):
-    return tokens.top_tokens(table(spark, sf_dir, "documents"), "text", " ", None, 100)
+    return tokens.top_tokens(table(spark, sf_dir, "documents"), "text", " ", None, 100, weighted=False)
 
 
 @query("doc_words_ranked", top_tokens_sql("documents", "text", " ", "Technology", None, synonyms=False))
 def doc_words_ranked(spark, sf_dir):
-    return tokens.top_tokens(table(spark, sf_dir, "documents"), "text", " ", None, None)
+    return tokens.top_tokens(table(spark, sf_dir, "documents"), "text", " ", None, None, weighted=False)
 
 
 @query(

@@ -8,7 +8,7 @@ from eventmart.operators import clean, ledger
 from eventmart.plans import ingest
 from eventmart.session import run_dir
 from eventmart.sinks.bundles import raw_export as export
-from eventmart.sinks.store import write_parts
+from eventmart.sinks.store import merge_records
 from eventmart.sources import store, text_exports
 from eventmart.streaming.drop_folder import pick_up
 from pyspark.sql import functions as F
@@ -191,7 +191,7 @@ def file_kinds(spark, sf_dir):
 
 
 def two_parts(spark, sf_dir, base):
-    """The submissions as two overlapping parts; the later one lacks a column."""
+    """The submissions merged from two overlapping sets; the later one lacks a column."""
     days = F.date_diff(F.col(f"`{S.CREATED}`").cast("date"), F.lit("1970-01-01").cast("date"))
     place = (days * 100 + F.coalesce(F.col(f"`{S.EXTRA_MEMBERS}`"), F.lit(50.0))).cast("long")
     rows = submissions(spark, sf_dir).withColumn(S.ROW_NO, place)
@@ -199,9 +199,8 @@ def two_parts(spark, sf_dir, base):
     bucket = F.substring(F.md5(F.col(f"`{S.URL}`").cast("binary")), 1, 1)
     first = keyed.filter(bucket >= "4").withColumns({S.FILE_HASH: F.lit("part1"), S.INGEST_SEQ: F.lit(1).cast("long")})
     second = keyed.filter(bucket < "8").withColumns({S.FILE_HASH: F.lit("part2"), S.INGEST_SEQ: F.lit(2).cast("long")})
-    for _ in range(2):
-        write_parts(first, base, "submission")
-    write_parts(second.drop(S.EXTRA_MEMBERS), base, "submission")
+    merge_records(first, base, "submission")
+    merge_records(second.drop(S.EXTRA_MEMBERS), base, "submission")
 
 
 

@@ -62,11 +62,13 @@ for _period in LABELS:
     _trend_cte("quarterly")
     + """, cells as (select p as "Period", t as "Technology", coalesce((select sum("Count") from trend where "Period" = p and "Technology" = t), 0)::bigint as n
  from (select distinct "Period" as p from trend), (select distinct "Technology" as t from trend))
-select * from (pivot cells on "Technology" using first(n) group by "Period")""",
+select "Period", "Technology", n as "Count" from cells""",
     ("sub",),
 )
 def tech_trend_pivot(spark, sf_dir):
-    return tokens.trend_pivot(materialise(technology_trend(spark, sf_dir, "quarterly")))
+    """The pivoted table cell by cell, because the names of its columns come from the data."""
+    wide = tokens.trend_pivot(materialise(technology_trend(spark, sf_dir, "quarterly")))
+    return wide.unpivot("Period", [c for c in wide.columns if c != "Period"], "Technology", "Count")
 
 
 @query(
@@ -74,11 +76,13 @@ def tech_trend_pivot(spark, sf_dir):
     _trend_cte("yearly")
     + """, cells as (select p as "Period", t as "Technology", coalesce((select sum("Count") from trend where "Period" = p and "Technology" = t), 0)::bigint as n
  from (select distinct "Period" as p from trend), (select distinct "Technology" as t from trend))
-select * from (pivot cells on "Period" using first(n) group by "Technology")""",
+select "Period", "Technology", n as "Count" from cells""",
     ("sub",),
 )
 def tech_trend_transposed(spark, sf_dir):
-    return tokens.trend_transposed(materialise(technology_trend(spark, sf_dir, "yearly")))
+    """The transposed table cell by cell."""
+    wide = tokens.trend_transposed(materialise(technology_trend(spark, sf_dir, "yearly")))
+    return wide.unpivot("Technology", [c for c in wide.columns if c != "Technology"], "Period", "Count")
 
 
 @query(

@@ -19,7 +19,7 @@ from .dedup import keep_first
 # Columns left out of samples.
 EXCLUDED = ["Hackathon Description", S.DEDUP_KEY]
 # Ours: bookkeeping columns of the store.
-INTERNAL = [S.FILE_HASH, S.INGEST_SEQ, S.ROW_NO]
+INTERNAL = [S.FILE_HASH, S.INGEST_SEQ, S.BLOCK, S.ROW_NO]
 # Metadata column -> name in the sample.
 METADATA = {
     "Organization Type": "Organization Type",

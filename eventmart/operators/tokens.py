@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import dates, numbers
 from ..functions.text import normalised_tokens, strip_punctuation
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, broadcast_if_small, materialise
 from .clean import quoted
 from .ranking import ranked, top
 
@@ -54,8 +54,20 @@ def explode_tokens(
     return rows.filter(F.col("token") != "") if synonyms else rows
 
 
-def token_counts(df, column, separator=",", synonyms=None, name="Technology", **options) -> DataFrame:
-    """Occurrences of each token over all records."""
+def distinct_lists(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column of delimited lists, with their number of records as ``_weight``."""
+    return df.groupBy(quoted(column).alias(column)).agg(F.count(F.lit(1)).alias("_weight"))
+
+
+def token_counts(df, column, separator=",", synonyms=None, name="Technology", weighted=True, **options) -> DataFrame:
+    """Occurrences of each token over all records.
+
+    Lists repeat, so each different one is split and normalised once and counts with its number of
+    records. Pass ``weighted=False`` for free text, where hardly a value repeats.
+    """
+    if weighted:
+        rows = explode_tokens(distinct_lists(df, column), column, separator, synonyms, keep={"_weight": F.col("_weight")}, **options)
+        return rows.groupBy(F.col("token").alias(name)).agg(F.sum("_weight").alias("Count"))
     rows = explode_tokens(df, column, separator, synonyms, **options)
     return rows.groupBy(F.col("token").alias(name)).agg(F.count(F.lit(1)).alias("Count"))
 
@@ -101,8 +113,8 @@ def token_trend(
 ) -> DataFrame:
     """Count per period of the ``top_n`` tokens overall; no rows for zero counts (AGG-12).
 
-    Tokens are counted per (period, token) once. The overall ranking adds up those
-    counts, undated records included, and selects the rows to keep.
+    The different lists are split once for the overall ranking, undated records included, and once
+    more for the leaders each of them holds. Records then only look their list up.
     """
     if not S.has_columns(df, column, created):
         from pyspark.sql import types as T
@@ -110,14 +122,17 @@ def token_trend(
         return S.empty(df.sparkSession, ("Period", T.StringType()), (name, T.StringType()), ("Count", T.LongType()))
     if period not in dates.PERIODS:
         period = "monthly"
-    label = dates.period_label(dates.as_timestamp(df, created), period)
-    rows = explode_tokens(df, column, separator, synonyms, keep={"Period": label})
-    counts = rows.groupBy("Period", F.col("token").alias(name)).agg(F.count(F.lit(1)).alias("Count"))
-    overall = counts.groupBy(name).agg(F.sum("Count").alias("Count"))
-    leaders = top(overall, "Count", name, top_n).select(name)
+    lists = materialise(distinct_lists(df, column))
+    held = explode_tokens(lists, column, separator, synonyms, keep={"_list": quoted(column), "_weight": F.col("_weight")})
+    overall = held.groupBy(F.col("token").alias(name)).agg(F.sum("_weight").alias("Count"))
+    leaders = top(overall, "Count", name, top_n).select(F.col(name).alias("token"))
     leaders = F.broadcast(leaders) if top_n <= BROADCAST_ROWS else leaders
-    kept = counts.filter(F.col("Period").isNotNull()).join(leaders, name, "left_semi")
-    return kept.select("Period", name, "Count").orderBy("Period", name)
+    # a list that names a leader twice keeps both rows
+    kept = materialise(held.join(leaders, "token", "left_semi").select("_list", F.col("token").alias(name)))
+    label = dates.period_label(dates.as_timestamp(df, created), period)
+    dated = df.select(label.alias("Period"), quoted(column).alias("_list")).filter(F.col("Period").isNotNull())
+    counts = dated.join(broadcast_if_small(kept), "_list").groupBy("Period", name).agg(F.count(F.lit(1)).alias("Count"))
+    return counts.select("Period", name, "Count").orderBy("Period", name)
 
 
 def uniform_skill_trend(

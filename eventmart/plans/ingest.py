@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import clean, ledger
 from ..operators.dedup import keep_first
-from ..session import materialise, run_dir
-from ..sinks.store import write_parts
+from ..session import materialise, remove_folder, run_dir
+from ..sinks.store import merge_records
+from ..sources import files as opened
 from ..sources import text_exports
 from ..sources.archives import unpack_archives
-from ..sources.store import parts_path, read_parquet_if_any
+from ..sources.store import read_parquet_if_any
 
 # Files handled per round; bounds the path list of one read and the table joined to it.
 FILES_PER_ROUND = 50_000
@@ -48,16 +49,18 @@ def ingest_archives(spark: SparkSession, archives: str, store: str, ledger_path:
     return ingest_files(files, store, ledger_path, **options)
 
 
+_DONE = "file_hash string, row_count long, error string"
 RESULT = "path string, file_name string, file_hash string, file_type string, status string, row_count long, error string"
 
 
 def ingest_files(files: DataFrame, store: str, ledger_path: str, max_experience: float = clean.MAX_EXPERIENCE) -> DataFrame:
-    """Ingest files given as (uri, path, length, content, file_name).
+    """Ingest files given as (uri, path, length, file_name).
 
-    Profiles all files in one job, leaves out content that was completed before or
-    occurs twice, and writes the rest: one job per record kind, however many files
-    and header layouts there are. What passes through the driver is file metadata
-    (paths and headers), never records.
+    Looks at all files in one job, leaves out content that was completed before or
+    occurs twice, and parses the rest once: one job per record kind, however many files
+    and header layouts there are, writes cleaned records to a staging table, whose figures
+    tell rows per file and files at fault; what is left is merged into the store. What passes
+    through the driver is file metadata (paths and headers), never records.
     """
     spark = files.sparkSession
     seq = time.time_ns() // 1000
@@ -72,23 +75,19 @@ def ingest_files(files: DataFrame, store: str, ledger_path: str, max_experience:
     ledger.append(ledger.event(rejected, "failed", seq, error=F.col("problem")), ledger_path)
     ledger.append(ledger.event(accepted, "processing", seq), ledger_path)
 
-    errors: dict[str, str] = {}
+    results = run_dir(spark, "ingest-results")
     try:
         for batch in _rounds(accepted):
-            errors |= _write_batch(spark, batch, store, seq, max_experience)
+            done = _write_batch(spark, batch, store, seq, max_experience)
+            spark.createDataFrame(done, _DONE).write.mode("append").parquet(results)
     except BaseException as error:
         # every started file gets a closing event
         ledger.append(ledger.event(accepted, "failed", seq + 1, error=F.lit(f"The run was broken off: {error}")), ledger_path)
         raise
 
-    failures = spark.createDataFrame(list(errors.items()), "file_hash string, error string")
-    counts = _written_rows(spark, store, accepted.select("file_hash"))
-    outcome = materialise(
-        accepted.join(failures, "file_hash", "left")
-        .join(counts, "file_hash", "left")
-        .withColumn("row_count", F.when(F.col("error").isNull(), F.coalesce("rows", F.lit(0))))
-        .drop("rows")
-    )
+    told = read_parquet_if_any(spark, results, _DONE)
+    told = spark.createDataFrame([], _DONE) if told is None else told
+    outcome = materialise(accepted.join(told, "file_hash", "left"))
     done, broken = outcome.filter(F.col("error").isNull()), outcome.filter(F.col("error").isNotNull())
     ledger.append(ledger.event(done, "completed", seq + 1, row_count=F.col("row_count")), ledger_path)
     ledger.append(ledger.event(broken, "failed", seq + 1, error=F.col("error")), ledger_path)
@@ -119,7 +118,7 @@ def run_totals(report: DataFrame) -> DataFrame:
 
 def _rounds(accepted: DataFrame):
     """File metadata in batches of bounded size, read partition by partition."""
-    columns = ["path", "uri", "file_hash", "file_type", "delimiter", "encoding", "header_rows", "names"]
+    columns = ["path", "uri", "file_hash", "file_type", "delimiter", "encoding", "header_rows", "whole_lines", "names"]
     batch = []
     for row in accepted.select(*columns).toLocalIterator():
         batch.append(row)
@@ -133,7 +132,7 @@ def _rounds(accepted: DataFrame):
 def _layouts(files) -> dict:
     layouts = defaultdict(list)
     for f in files:
-        layouts[f.file_type, f.delimiter, f.encoding, f.header_rows, tuple(f.names)].append(f)
+        layouts[f.file_type, f.delimiter, f.encoding, f.whole_lines, tuple(f.names)].append(f)
     return layouts
 
 
@@ -153,44 +152,62 @@ def _each_apart(spark, files, work, errors: dict[str, str]) -> None:
             _each_apart(spark, half, work, errors)
 
 
-def _write_batch(spark, files, store, seq, max_experience) -> dict[str, str]:
-    """Write one batch; returns the error text of each file hash that failed.
+def _write_batch(spark, files, store, seq, max_experience) -> list[tuple]:
+    """Parse and store one batch; returns (hash, rows, error) of each file.
 
     A file with records wider than its header is refused as a whole, so no cell is lost.
     """
     errors: dict[str, str] = {}
+    staged: list[tuple[str, str]] = []
 
-    def look(group):
-        found = [
-            text_exports.wide_files(_read(spark, layout, some), len(layout[-1]))
-            for layout, some in _layouts(group).items()
-        ]
-        wide = {r["_uri"]: r["problem"] for r in reduce(DataFrame.unionByName, found).collect()}
-        errors.update({f.file_hash: wide[f.uri] for f in group if f.uri in wide})
-
-    def write(group):
+    def stage(group):
         frames = defaultdict(list)
         for layout, some in _layouts(group).items():
             frames[layout[0]].append(_cleaned(spark, layout, some, seq, max_experience))
+        written = []
         for kind, parts in frames.items():
-            write_parts(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), store, kind)
+            path = run_dir(spark, f"staged-{kind}")
+            reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).write.parquet(path)
+            written.append((kind, path))
+        staged.extend(written)
 
     # files of one layout stay together, so that halves are read in few jobs
-    files = sorted(files, key=lambda f: (f.file_type, f.names, f.path))
-    _each_apart(spark, files, look, errors)
-    _each_apart(spark, [f for f in files if f.file_hash not in errors], write, errors)
-    return errors
-
-
-def _read(spark, layout, files) -> DataFrame:
-    _, delimiter, encoding, header_rows, names = layout
-    return text_exports.read_layout(spark, [f.path for f in files], list(names), delimiter, encoding, header_rows)
+    _each_apart(spark, sorted(files, key=lambda f: (f.file_type, f.names, f.path)), stage, errors)
+    by_hash = {f.file_hash: f for f in files}
+    counts: dict[str, int] = {}
+    for kind, path in staged:
+        rows = spark.read.parquet(path)
+        skipped = []
+        # one row per file of the round
+        for seen in text_exports.file_figures(rows, S.FILE_HASH).collect():
+            file = by_hash[seen[S.FILE_HASH]]
+            counts[file.file_hash] = seen["rows"] - (file.header_rows > 1)
+            if seen["wide"]:
+                errors[file.file_hash] = text_exports.wide_problem(len(file.names), seen["most"], seen["wide"])
+                skipped.append((file.file_hash, None, None))
+            elif file.header_rows > 1:
+                skipped.append((file.file_hash, *seen["first"]))
+        merge_records(_left(spark, rows, skipped).drop(text_exports.CELLS), store, kind, staged=True)
+        remove_folder(spark, path)
+    return [(h, None if h in errors else counts.get(h, 0), errors.get(h)) for h in by_hash]
+
+
+def _left(spark, rows: DataFrame, skipped: list[tuple]) -> DataFrame:
+    """``rows`` without the files and single records (file, block, row) of ``skipped``."""
+    if not skipped:
+        return rows
+    # at most FILES_PER_ROUND rows
+    out = F.broadcast(spark.createDataFrame(skipped, "_skipped string, _at long, _no long"))
+    same = (F.col("_skipped") == F.col(S.FILE_HASH)) & (
+        F.col("_at").isNull() | ((F.col("_at") == F.col(S.BLOCK)) & (F.col("_no") == F.col(S.ROW_NO)))
+    )
+    return rows.join(out, same, "left_anti")
 
 
 def _cleaned(spark, layout, files, seq, max_experience) -> DataFrame:
     """Records of one layout, cleaned and keyed."""
-    kind = layout[0]
-    rows = _read(spark, layout, files).drop(text_exports.CELLS)
+    kind, delimiter, encoding, whole_lines, names = layout
+    rows = text_exports.read_layout(spark, [f.path for f in files], list(names), delimiter, encoding, whole_lines)
     hashes = spark.createDataFrame([(f.uri, f.file_hash) for f in files], f"_uri string, {S.FILE_HASH} string")
     # at most FILES_PER_ROUND rows
     rows = rows.join(F.broadcast(hashes), "_uri").drop("_uri").withColumn(S.INGEST_SEQ, F.lit(seq))
@@ -201,20 +218,6 @@ def _cleaned(spark, layout, files, seq, max_experience) -> DataFrame:
     return clean.with_dedup_key(rows, kind)
 
 
-def _written_rows(spark, store, hashes: DataFrame) -> DataFrame:
-    """Rows stored per file of this run; only its partitions are listed, no footers are merged."""
-    counted = []
-    for kind in ("submission", "registrant"):
-        parts = read_parquet_if_any(spark, parts_path(store, kind), f"{S.ROW_NO} long, {S.FILE_HASH} string")
-        if parts is not None:
-            own = parts.select(F.col(S.FILE_HASH).alias("file_hash"))
-            own = own.join(hashes, "file_hash", "left_semi")
-            counted.append(own.groupBy("file_hash").agg(F.count(F.lit(1)).alias("rows")))
-    if not counted:
-        return spark.createDataFrame([], "file_hash string, rows long")
-    return reduce(DataFrame.unionByName, counted)
-
-
 def retry_failed(
     spark: SparkSession, store: str, ledger_path: str, hashes: DataFrame | None = None, names: DataFrame | None = None
 ) -> DataFrame:
@@ -223,26 +226,27 @@ def retry_failed(
     A file that is no longer there is reported as failed and stays failed.
     """
     jobs = ledger.state(ledger.read(spark, ledger_path))
-    wanted = materialise(ledger.retry_candidates(jobs, hashes, names))
-    folder = F.regexp_replace("retry_path", "/[^/]*$", "")
-    # one row per drop folder
-    folders = [r[0] for r in wanted.select(folder).distinct().collect() if r[0]]
-    present = None
-    for place in folders:
-        try:
-            files = text_exports.scan_files(spark, place)
-        except AnalysisException:
-            continue
-        present = files if present is None else present.unionByName(files)
+    wanted = ledger.retry_candidates(jobs, hashes, names).select(F.col("retry_path").alias("path"), "file_name", "file_hash", "file_type")
+    wanted = materialise(opened.present(wanted))
+    # fixed text
     missing = F.lit("Retry file not found. Please re-upload the file.")
-    columns = [
-        F.col("retry_path").alias("path"), "file_name", "file_hash", "file_type",
+    lost = wanted.filter("not found").select(
+        "path", "file_name", "file_hash", "file_type",
         F.lit("failed").alias("status"), F.lit(None).cast("long").alias("row_count"), missing.alias("error"),
-    ]
-    if present is None:
-        return wanted.select(*columns)
-    paths = wanted.select(F.col("retry_path").alias("path")).distinct()
-    again = present.join(paths, "path", "left_semi")
-    report = ingest_files(again, store, ledger_path)
-    lost = wanted.join(report.select(F.col("path").alias("retry_path")), "retry_path", "left_anti")
-    return report.unionByName(lost.select(*columns))
+    )
+    report = lost
+    for paths in _path_rounds(wanted.filter("found").select("path").distinct()):
+        report = report.unionByName(ingest_files(text_exports.scan_files(spark, *paths), store, ledger_path))
+    return report
+
+
+def _path_rounds(paths: DataFrame):
+    """Paths in lists of bounded size; characters of patterns stand for themselves."""
+    batch: list[str] = []
+    for row in paths.toLocalIterator():
+        batch.append(re.sub(r"([\\*?\[\]{}])", r"\\\1", row["path"]))
+        if len(batch) == FILES_PER_ROUND:
+            yield batch
+            batch = []
+    if batch:
+        yield batch

@@ -58,8 +58,10 @@ REGISTRANT_MARKERS = [
 DEDUP_KEY = "_dedup_key"
 FILE_HASH = "_file_hash"
 INGEST_SEQ = "_ingest_seq"
+BLOCK = "_block"
 ROW_NO = "_row_no"
-ARRIVAL = [INGEST_SEQ, FILE_HASH, ROW_NO]
+ARRIVAL = [INGEST_SEQ, FILE_HASH, BLOCK, ROW_NO]
+BUCKET = "_bucket"
 
 _text = T.StringType()
 

@@ -77,3 +77,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
+
+
+# ---- folders, in whatever file system Spark resolves their paths ----------------
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, sorted; empty where there is no folder."""
+    system, place = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library has written and nothing refers to any more."""
+    system, place = _hadoop(spark, path)
+    system.delete(place, True)

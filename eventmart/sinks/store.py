@@ -1,22 +1,125 @@
-"""Writing the stored tables (SNK-01)."""
+"""Writing the stored tables (SNK-01, AGG-01).
+
+The current table of a kind holds each identity once, so that readers need not look for repetitions.
+Records are merged into it when they are written: the first of each identity in the new records stays
+if the table has none yet. What came first therefore wins, as in a table that is
+deduplicated by order of arrival.
+
+Its rows lie in folders by hash of the identity; identity, order of arrival and source file are
+columns. One writer at a time: two at once could both add the same new identity, which
+:func:`compact` mends.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..sources.store import parts_path
+from ..operators.clean import quoted
+from ..operators.dedup import deduplicate_store
+from ..session import broadcast_if_small, child_names, materialise, remove_folder
+from ..sources import store as source
+
+# Folders of a new table; a table keeps the number it was made with.
+BUCKETS = 32
 
 
 def write_parts(df: DataFrame, root: str, kind: str) -> None:
-    """Write cleaned records, one partition per source file.
+    """Write cleaned records as parts, one partition per source file, without merging them.
 
-    Only the partitions present in ``df`` are replaced, so ingesting a file again
+    Only the partitions present in ``df`` are replaced, so writing a file again
     overwrites its own records and nothing else.
     """
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(S.FILE_HASH)
-        .parquet(parts_path(root, kind))
+        .parquet(source.parts_path(root, kind))
     )
+
+
+def _bucket(buckets: int) -> Column:
+    number = F.pmod(F.xxhash64(S.DEDUP_KEY), F.lit(buckets)).cast("int")
+    return F.format_string(f"%05d-of-{buckets:05d}", number).alias(S.BUCKET)
+
+
+def _buckets(spark: SparkSession, path: str, otherwise: int = BUCKETS) -> int:
+    names = [n for n in child_names(spark, path) if n.startswith(f"{S.BUCKET}=")]
+    return int(names[0].rsplit("-", 1)[1]) if names else otherwise
+
+
+def _with_schema(spark: SparkSession, root: str, kind: str, df: DataFrame) -> DataFrame:
+    """``df`` under the table's column names; columns new to the table are added to its schema."""
+    known = source.current_schema(spark, root, kind)
+    names = {f.name.lower(): f for f in (known.fields if known else [])}
+    for f in df.schema.fields:
+        have = names.get(f.name.lower())
+        if have is not None and have.dataType != f.dataType:
+            raise ValueError(f"{kind}: column {f.name} is {f.dataType.simpleString()}, the store has {have.dataType.simpleString()}")
+    df = df.select(*[quoted(c).alias(names[c.lower()].name if c.lower() in names else c) for c in df.columns])
+    new = [f for f in df.schema.fields if f.name.lower() not in names]
+    if new:
+        fields = [T.StructField(f.name, f.dataType, True) for f in [*names.values(), *new]]
+        source.write_schema(spark, root, kind, T.StructType(fields))
+    return df
+
+
+def merge_records(df: DataFrame, root: str, kind: str, staged: bool = False, buckets: int = BUCKETS) -> None:
+    """Add the records whose identity the current table lacks, each once, the first by arrival.
+
+    Of the table only the identities are read. Records written by a run that broke off are found again
+    and not added twice. A new table gets ``buckets`` folders.
+
+    A ``staged`` frame is cheap to read again and has a place of its own for each record (the columns
+    of arrival). Then only identities and places are shuffled and only the folders they fall into
+    are looked at; the records themselves are filtered by the places to leave out, which are few where
+    most records are new. Otherwise records are reduced by identity in each task and shuffled once.
+    """
+    spark = df.sparkSession
+    path = source.current_path(spark, root, kind)
+    buckets = _buckets(spark, path, buckets) if path else buckets
+    df = _with_schema(spark, root, kind, df)
+    same = F.col(S.DEDUP_KEY).eqNullSafe(F.col("_stored"))
+    stored = None
+    if path:
+        stored = spark.read.schema(f"{S.DEDUP_KEY} string, {S.BUCKET} string").parquet(path)
+        if staged:
+            # at most one row per folder
+            touched = [r[0] for r in df.select(_bucket(buckets)).distinct().collect()]
+            stored = stored.filter(F.col(S.BUCKET).isin(touched))
+        stored = stored.select(F.col(S.DEDUP_KEY).alias("_stored"))
+    if staged:
+        places = df.select(S.DEDUP_KEY, F.struct(*S.ARRIVAL).alias("_place"))
+        firsts = places.groupBy(S.DEDUP_KEY).agg(F.min("_place").alias("_first"))
+        firsts = firsts if stored is None else firsts.join(stored, same, "left_anti")
+        firsts = firsts.withColumnRenamed(S.DEDUP_KEY, "_stored")
+        # no place comes before the first of its identity
+        left_out = places.join(firsts, same & (F.col("_place") <= F.col("_first")), "left_anti").select("_place.*")
+        fresh = df.join(broadcast_if_small(materialise(left_out)), S.ARRIVAL, "left_anti")
+    else:
+        fresh = deduplicate_store(df)
+        fresh = fresh if stored is None else fresh.join(stored, same, "left_anti")
+    target = path or source.generation_path(root, kind, 1)
+    fresh.withColumn(S.BUCKET, _bucket(buckets)).write.mode("append").partitionBy(S.BUCKET).parquet(target)
+
+
+def compact(spark: SparkSession, root: str, kind: str, buckets: int | None = None) -> None:
+    """Write the current table anew with one file per folder, sorted by identity, and continue with that.
+
+    The new generation counts once it is complete. The one before stays for readers that have begun
+    with it; older ones are deleted. ``buckets`` changes the number of folders.
+    """
+    path = source.current_path(spark, root, kind)
+    if path is None:
+        return
+    rows = source.read_current(spark, root, kind)
+    number = source.generation(path)
+    shaped = deduplicate_store(rows).withColumn(S.BUCKET, _bucket(buckets or _buckets(spark, path)))
+    shaped = shaped.repartition(S.BUCKET).sortWithinPartitions(S.BUCKET, S.DEDUP_KEY)
+    # what a run that broke off has left of this generation is replaced
+    shaped.write.mode("overwrite").partitionBy(S.BUCKET).parquet(source.generation_path(root, kind, number + 1))
+    for old in source.generations(spark, root, kind):
+        if old < number:
+            remove_folder(spark, source.generation_path(root, kind, old))

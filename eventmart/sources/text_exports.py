@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.text import collapse, strip
 from ..operators.clean import header_is_broken, quoted, repaired_header
+from ..session import materialise
+from .files import LINE, decoded, looked_at
 
 # Delimiters looked for, in order of preference on ties.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -19,39 +21,27 @@ MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-# A file is hashed as one value, so it must fit one (the reader's own limit is 2 GB).
-MAX_FILE_BYTES = 2_000_000_000
 # Start of the message for a file of neither kind; such a file can still be loaded.
 UNKNOWN_KIND = "Unknown file type"
-# Bytes in which the first two records are looked for before the rest of a file is.
-_HEAD = 65_536
 _RECORD = r'^([^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+)'
 
 # Number of cells of a record with more cells than the header.
 CELLS = "_cells"
 
-FILE_SCHEMA = "uri string, path string, length long, content binary"
-
-
-def scan_files(spark: SparkSession, *folders: str, recursive: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Exports in the drop folders as (uri, path, length, content, file_name).
+def scan_files(spark: SparkSession, *folders: str, recursive: bool = False) -> DataFrame:
+    """Exports in the drop folders as (uri, path, length, file_name); no content is read.
 
     Sub-folders are left out unless ``recursive``. The scan skips files without any
-    byte, so those are added from the file index, to be reported as unreadable. Files above
-    ``max_bytes`` come without content, which the reader would refuse with an error.
+    byte, so those are added from the file index, to be reported as unreadable.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]")
     raw = reader.option("recursiveFileLookup", recursive).load(list(folders))
-    where = F.col("_metadata.file_path").alias("uri")
-    # the filter reaches the scan, so the content of other files is not read; the second scan reads none
-    full = raw.filter(F.col("length") <= max_bytes).select(where, "path", "length", "content")
-    large = raw.filter(F.col("length") > max_bytes).select(where, "path", "length", F.lit(None).cast("binary").alias("content"))
-    full = full.unionByName(large)
+    full = raw.select(F.col("_metadata.file_path").alias("uri"), "path", "length")
     listed = spark.createDataFrame([(u,) for u in raw.inputFiles()], "uri string")
     seen = full.select(_plain_uri(F.col("uri")).alias("_seen"))
     empty = listed.withColumn("_plain", _plain_uri(F.col("uri"))).join(seen, F.col("_plain") == F.col("_seen"), "left_anti")
     path = F.url_decode(F.replace("_plain", F.lit("+"), F.lit("%2B")))
-    empty = empty.select("uri", path.alias("path"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    empty = empty.select("uri", path.alias("path"), F.lit(0).cast("long").alias("length"))
     return named_files(full.unionByName(empty))
 
 
@@ -85,16 +75,6 @@ def _delimiter(record: Column, delimiters: list[str]) -> Column:
     return F.array_max(F.array(*counted)).getField("d")
 
 
-def _decoded(content: Column, utf8: Column) -> Column:
-    return F.when(utf8, content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
-
-
-def _two_records(text: Column) -> Column:
-    """Whether a text holds two whole records with a line break behind each."""
-    bare = F.regexp_replace(text, "^\ufeff?[\r\n]*", "")
-    return bare.rlike(_RECORD + r"[\r\n]+" + _RECORD[1:] + r"[\r\n]")
-
-
 def classify(names: Column, file_name: Column) -> Column:
     """submission, registrant or unknown, from the headers and then the file name (VAL-05)."""
     known = F.transform(names, lambda n: F.lower(collapse(n)))
@@ -113,20 +93,16 @@ def classify(names: Column, file_name: Column) -> Column:
     )
 
 
-def profile(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, delimiters: list[str] = DELIMITERS) -> DataFrame:
+def profile(files: DataFrame, delimiters: list[str] = DELIMITERS) -> DataFrame:
     """One row per file: hash, encoding, delimiter, headers, kind, and what is wrong with it.
 
-    The first two records are read to their end, however long they are. The content
-    itself is not passed on.
+    Each file is read once as a stream, whatever its size. ``whole_lines`` says that every line break
+    ends a record, so that the file can be read in several tasks.
     """
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    head = F.substring("content", 1, _HEAD)
-    sized = files.withColumns({
-        "file_hash": F.when(F.col("length") <= max_bytes, F.sha2("content", 256)),
-        "encoding": F.when(utf8, "UTF-8").otherwise("ISO-8859-1"),
-        "_text": _decoded(F.when(_two_records(_decoded(head, utf8)), head).otherwise(F.col("content")), utf8),
-    }).drop("content")
-    opened = sized.withColumn("_text", F.regexp_replace("_text", "^\ufeff?[\r\n]*", ""))
+    opened = looked_at(files).withColumns({
+        "encoding": F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1"),
+        "_text": decoded(F.coalesce("head", F.lit(b"")), F.col("utf8")),
+    })
     opened = opened.withColumn("_first", F.regexp_extract("_text", _RECORD, 1))
     rest = F.regexp_replace(F.substr("_text", F.length("_first") + 1), r"^[\r\n]+", "")
     opened = opened.withColumn("_second", F.regexp_extract(rest, _RECORD, 1))
@@ -148,7 +124,8 @@ def profile(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, delimiters: list[
     })
     shaped = shaped.withColumn("file_type", classify(F.col("names"), F.col("file_name")))
     problem = (
-        F.when(F.col("length") > max_bytes, F.lit("File is too large"))
+        F.when(F.col("head").isNull(), F.lit("The first records do not end"))
+        .when(F.col("longest") > LINE, F.lit(f"A line is longer than {LINE} bytes"))
         .when(F.col("_c2").isNull(), F.lit("Empty or unreadable file"))
         .when(
             F.col("file_type") == "unknown",
@@ -157,7 +134,7 @@ def profile(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, delimiters: list[
     )
     return shaped.select(
         "uri", "path", "file_name", "length", "file_hash", "encoding", "delimiter", "names",
-        "header_rows", "file_type", problem.alias("problem"),
+        "header_rows", "file_type", "whole_lines", problem.alias("problem"),
     )
 
 
@@ -165,13 +142,14 @@ def profile(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, delimiters: list[
 
 
 def read_layout(
-    spark: SparkSession, paths: list[str], names: list[str], delimiter: str, encoding: str, header_rows: int = 1
+    spark: SparkSession, paths: list[str], names: list[str], delimiter: str, encoding: str, whole_lines: bool = False
 ) -> DataFrame:
     """Files that share one layout, every column as text, with their origin.
 
-    ``_uri`` is the file and ``_row_no`` grows along each file. Quoted line breaks
-    make a file one task; a set of files spreads over the cluster. ``_cells`` is the number of
-    cells of a record that has more of them than the header, which no column holds.
+    ``_uri`` is the file; ``_block`` and then ``_row_no`` grow along each file. Files of ``whole_lines`` are
+    read line by line, so large ones are cut into several tasks; in others quoted line breaks
+    make a file one task. ``_cells`` is the number of cells of a record that has more of them than the
+    header, which no column holds. A second header line is the first record; the caller leaves it out.
     """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     schema = schema.add("_raw", T.StringType())
@@ -180,7 +158,7 @@ def read_layout(
         .option("header", True)
         .option("sep", delimiter)
         .option("encoding", encoding)
-        .option("multiLine", True)
+        .option("multiLine", not whole_lines)
         .option("columnNameOfCorruptRecord", "_raw")
         .option("columnPruning", False)
         .option("quote", '"')
@@ -191,27 +169,25 @@ def read_layout(
         F.when(~quoted(f"c{i}").isin(*MISSING), quoted(f"c{i}")).alias(name) for i, name in enumerate(names)
     ]
     found = F.size(_cells(F.col("_raw"), delimiter))
-    rows = raw.select(
-        *cells, F.when(F.col("_raw").isNotNull() & (found > len(names)), found).alias(CELLS), F.col("_metadata.file_path").alias("_uri"), F.monotonically_increasing_id().alias(S.ROW_NO)
+    return raw.select(
+        *cells,
+        F.when(F.col("_raw").isNotNull() & (found > len(names)), found).alias(CELLS),
+        F.col("_metadata.file_path").alias("_uri"),
+        F.col("_metadata.file_block_start").alias(S.BLOCK),
+        F.monotonically_increasing_id().alias(S.ROW_NO),
     )
-    if header_rows > 1:
-        # one row per path given
-        second = rows.groupBy("_uri").agg(F.min(S.ROW_NO).alias("_header"), _any_cell(rows)).filter("_filled >= 0").drop("_filled")
-        second = F.broadcast(second)
-        rows = rows.join(second, "_uri").filter(F.col(S.ROW_NO) > F.col("_header")).drop("_header")
-    return rows
 
 
-def _any_cell(rows: DataFrame) -> Column:
-    """The reader wants a column of the file beside the raw record."""
-    return F.count(quoted(next(c for c in rows.columns if c not in ("_uri", CELLS, S.ROW_NO)))).alias("_filled")
+def file_figures(rows: DataFrame, file: str) -> DataFrame:
+    """Per file: rows, its first record (_block, _row_no), records wider than the header and their most cells."""
+    place = F.struct(S.BLOCK, S.ROW_NO)
+    return rows.groupBy(file).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(place).alias("first"), F.count(CELLS).alias("wide"), F.max(CELLS).alias("most")
+    )
 
 
-def wide_files(rows: DataFrame, width: int) -> DataFrame:
-    """(_uri, problem) of the files of :func:`read_layout` that have records wider than the header."""
-    wide = rows.groupBy("_uri").agg(F.count(CELLS).alias("n"), F.max(CELLS).alias("most"), _any_cell(rows)).filter("n > 0 and _filled >= 0")
-    text = F.format_string(f"Rows wider than the header: expected {width} cells, saw up to %d (%d rows)", "most", "n")
-    return wide.select("_uri", text.alias("problem"))
+def wide_problem(width: int, most: int, wide: int) -> str:
+    return f"Rows wider than the header: expected {width} cells, saw up to {most} ({wide} rows)"
 
 
 def load_file(spark: SparkSession, path: str) -> DataFrame:
@@ -221,8 +197,10 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path}: no such export")
     if info.problem and not info.problem.startswith(UNKNOWN_KIND):
         raise ValueError(f"{path}: {info.problem}")
-    rows = read_layout(spark, [info.path], info.names, info.delimiter, info.encoding, info.header_rows)
-    wide = wide_files(rows, len(info.names)).first()
-    if wide is not None:
-        raise ValueError(f"{path}: {wide.problem}")
-    return rows.drop("_uri", S.ROW_NO, CELLS)
+    rows = materialise(read_layout(spark, [info.path], info.names, info.delimiter, info.encoding, info.whole_lines))
+    seen = file_figures(rows, "_uri").first()
+    if seen is not None and seen.wide:
+        raise ValueError(f"{path}: {wide_problem(len(info.names), seen.most, seen.wide)}")
+    if seen is not None and info.header_rows > 1:
+        rows = rows.filter(F.struct(S.BLOCK, S.ROW_NO) > F.struct(F.lit(seen["first"][0]), F.lit(seen["first"][1])))
+    return rows.drop("_uri", S.BLOCK, S.ROW_NO, CELLS)

@@ -19,7 +19,7 @@ def pick_up(
 
     The stream remembers which files it has seen in ``checkpoint`` (a shared folder);
     a batch that is repeated after a failure changes nothing, because the ledger skips
-    completed content and parts are overwritten by hash.
+    completed content and the store holds each identity once.
     """
     arrivals = (
         spark.readStream.format("binaryFile")

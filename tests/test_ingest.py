@@ -1,5 +1,7 @@
 """Ingest of messy exports end to end."""
 
+import hashlib
+import random
 import zipfile
 
 import pytest
@@ -10,7 +12,8 @@ from eventmart import schemas as S
 from eventmart.operators import ledger
 from eventmart.plans import ingest
 from eventmart.sinks import bundles
-from eventmart.sources import store, text_exports
+from eventmart.sinks import store as sink
+from eventmart.sources import files, store, text_exports
 from eventmart.sources.archives import unpack_archives
 from eventmart.streaming.drop_folder import pick_up
 
@@ -160,18 +163,99 @@ def test_single_file(spark, tmp_path):
         text_exports.load_file(spark, str(tmp_path / "e.csv"))
 
 
-def test_file_above_the_readers_limit_is_reported(spark, tmp_path, drop):
+def test_line_no_value_can_hold_is_reported(spark, tmp_path, drop):
     with open(drop / "large.csv", "wb") as out:  # sparse
         out.write(b"User ID,Country,Skills\n1,FR,ml\n")
         out.truncate(2_200_000_000)
     report = ingest.ingest_folder(spark, str(drop), str(tmp_path / "store"), str(tmp_path / "ledger"))
     by_name = {r.file_name: r for r in report.collect()}
-    assert (by_name["large.csv"].status, by_name["large.csv"].error) == ("failed", "File is too large")
+    assert by_name["large.csv"].status == "failed" and by_name["large.csv"].error.startswith("A line is longer than")
     assert {n for n, r in by_name.items() if r.status == "processed"} == {"a subs+1.csv", "b.csv", "c.CSV"}
     state = {r.file_name: r.status for r in ledger.state(ledger.read(spark, str(tmp_path / "ledger"))).collect()}
     assert state["large.csv"] == "failed" and state["b.csv"] == "completed"
 
 
+def test_file_of_three_gigabytes(spark, tmp_path):
+    folder, count, hole = tmp_path / "drop", 100_000, 1 << 15
+    folder.mkdir()
+    with open(folder / "large.csv", "wb") as out:  # sparse
+        out.write(b"User ID,Hackathon Name,Country,Skills\n")
+        for k in range(count):
+            out.write(b"%d,Ev,FR,x" % k)
+            out.seek(hole, 1)
+            out.write(b"y\n")
+    assert (folder / "large.csv").stat().st_size > 3_000_000_000
+    info = text_exports.profile(text_exports.scan_files(spark, str(folder))).first()
+    assert info.whole_lines and info.problem is None and info.length > 3_000_000_000
+    digest = hashlib.sha256()
+    with open(folder / "large.csv", "rb") as source:
+        while chunk := source.read(1 << 24):
+            digest.update(chunk)
+    assert info.file_hash == digest.hexdigest()
+    parts = text_exports.read_layout(spark, [info.path], info.names, info.delimiter, info.encoding, True)
+    assert parts.rdd.getNumPartitions() > 8
+    report = ingest.ingest_folder(spark, str(folder), str(tmp_path / "store"), str(tmp_path / "ledger")).collect()
+    assert [(r.status, r.row_count) for r in report] == [("processed", count)]
+    people = store.read_store(spark, str(tmp_path / "store"), "registrant")
+    assert people.select(S.USER).distinct().count() == count
+
+
+def plain_lines(content):
+    """Whether both ways of reading must agree: judged by splitting at quotes one by one."""
+    inside, cell_start, sure = False, True, True
+    for k, c in enumerate(content):
+        if c == '"':
+            if not inside and not (cell_start or content[k - 1] == '"'):
+                sure = False
+            inside, cell_start = not inside, False
+        else:
+            if inside and c in "\r\n":
+                sure = False
+            cell_start = not inside and c in ",;\t|\n\r"
+    lines = content.replace("\r\n", "\n").split("\n")
+    return sure and not inside and "\r" not in content.replace("\r\n", "") and not any(x and not x.strip() for x in lines)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_line_test_in_chunks(size):
+    rng = random.Random(size)
+    seen = set()
+    for _ in range(1500):
+        content = "".join(rng.choice(["a", "b,", '"', '"x",', '""', "\n", "\r\n", "\r" if rng.random() < 0.1 else "c", " ", "\t"]) for _ in range(rng.randrange(12)))
+        test = files.LineTest()
+        for at in range(0, len(content), size):
+            test.add(content[at : at + size].encode())
+        got = test.result()
+        seen.add(got)
+        if got:  # it may doubt more than it must, never less
+            assert plain_lines(content), repr(content)
+        assert max(test.longest, test.line) >= max(map(len, content.split("\n")))
+    assert seen == {True, False}
+
+
+def test_lines_in_several_tasks_give_the_same_rows(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [f'{k},"Ev, ""{k % 7}""",{rng.choice(["FR", "N/A", "", " x "])},{"s" * (k % 50)}' for k in range(5000)]
+    lines[100] += ",more,cells"
+    text = "User ID,Hackathon Name,Country,Skills\n\n" + "\n".join(lines) + "\n"
+    path = tmp_path / "x.csv"
+    path.write_bytes(text.replace("\n", "\r\n").encode())
+    names = ["User ID", "Hackathon Name", "Country", "Skills"]
+    assert files.look(str(path))["whole_lines"]
+    def shown(whole):
+        rows = text_exports.read_layout(spark, [str(path)], names, ",", "UTF-8", whole)
+        return rows.rdd.getNumPartitions(), [tuple(r) for r in rows.orderBy(S.BLOCK, S.ROW_NO).select(*[f"`{n}`" for n in names], text_exports.CELLS).collect()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        tasks, split = shown(True)
+        one, whole = shown(False)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks > 5 and one == 1 and split == whole and len(split) == 5000
+    assert [r[-1] for r in split if r[-1]] == [6]
+
+
 def test_stream_with_a_file_above_the_readers_limit(spark, tmp_path, drop):
     with open(drop / "large.csv", "wb") as out:  # sparse
         out.truncate(2_200_000_000)
@@ -224,3 +308,81 @@ def test_repeated_headers_get_free_numbers(spark):
 
     df = spark.createDataFrame([(["a", "A", "a.1", "a"],)], "names array<string>")
     assert df.select(repaired_header(df["names"], ingest.F.lit(None).cast("array<string>"))).first()[0] == ["a", "A.2", "a.1", "a.3"]
+
+
+# ---- the current table ----------------------------------------------------------
+
+
+RECORDS = "_dedup_key string, v string, _ingest_seq long, _file_hash string, _block long, _row_no long"
+
+
+def records(spark, seq, pairs, file="f"):
+    return spark.createDataFrame([(k, v, seq, file, 0, n) for n, (k, v) in enumerate(pairs)], RECORDS)
+
+
+def stored(spark, root, **options):
+    found = store.read_store(spark, root, "submission", **options)
+    return sorted(("-" if r._dedup_key is None else r._dedup_key, r.v) for r in found.collect())
+
+
+def test_current_table_keeps_the_first_of_each_identity(spark, tmp_path):
+    root = str(tmp_path / "s")
+    assert store.read_store(spark, root, "submission") is None
+    first = records(spark, 1, [("a", "1"), ("b", "1"), ("a", "2"), (None, "1"), (None, "2"), ("", "1")])
+    for _ in range(2):  # again changes nothing
+        sink.merge_records(first, root, "submission", buckets=3)
+    second = records(spark, 2, [("b", "9"), ("c", "9"), (None, "9")], "g").withColumn("Extra", F.lit(1)).withColumnRenamed("v", "V")
+    sink.merge_records(second, root, "submission", staged=True)
+    want = [("", "1"), ("-", "1"), ("a", "1"), ("b", "1"), ("c", "9")]
+    assert stored(spark, root) == want
+    found = store.read_store(spark, root, "submission")
+    assert S.BUCKET not in found.columns and {r.Extra for r in found.collect()} == {None, 1}
+    assert [n.split("-of-")[1] for n in store.child_names(spark, store.current_path(spark, root, "submission")) if "=" in n] == ["00003"] * 3
+    for number in (2, 3, 4):
+        sink.compact(spark, root, "submission", buckets=2)
+        assert stored(spark, root) == want and store.current_path(spark, root, "submission").endswith(f"{number:06d}")
+    assert store.generations(spark, root, "submission") == [3, 4]
+    sink.merge_records(records(spark, 5, [("c", "0"), ("d", "0")]), root, "submission", staged=True)
+    assert stored(spark, root) == [*want, ("d", "0")]
+    with pytest.raises(ValueError):
+        sink.merge_records(first.withColumn("v", F.lit(1)), root, "submission")
+
+
+def test_generation_that_broke_off_does_not_count(spark, tmp_path):
+    root = str(tmp_path / "s")
+    sink.merge_records(records(spark, 1, [("a", "1")]), root, "submission")
+    half = store.generation_path(root, "submission", 2)
+    records(spark, 1, [("z", "1")]).write.parquet(half)
+    (tmp_path / "s" / "submissions" / "current" / "generation-000002" / "_SUCCESS").unlink()
+    assert stored(spark, root) == [("a", "1")]
+    sink.compact(spark, root, "submission")
+    assert stored(spark, root) == [("a", "1")]
+
+
+def test_older_parts_come_first_and_legacy_last(spark, tmp_path):
+    root, legacy = str(tmp_path / "s"), str(tmp_path / "legacy")
+    sink.write_parts(records(spark, 1, [("a", "part"), ("a", "part2"), ("b", "part")]), root, "submission")
+    sink.merge_records(records(spark, 2, [("b", "now"), ("c", "now")]), root, "submission")
+    spark.createDataFrame([("c", "old"), ("d", "old")], "_dedup_key string, v string").write.parquet(legacy)
+    assert stored(spark, root, legacy=legacy) == [("a", "part"), ("b", "part"), ("c", "now"), ("d", "old")]
+
+
+def test_reading_one_column_reads_one_column(spark, tmp_path):
+    root = str(tmp_path / "s")
+    sink.merge_records(records(spark, 1, [("a", "1"), ("b", "2")]), root, "submission")
+    plan = store.read_store(spark, root, "submission").select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<v:string>" in plan
+    for word in ("Aggregate", "Sort", "Exchange", "Join"):
+        assert word not in plan
+
+
+def test_retry_looks_at_paths_and_not_at_folders(spark, tmp_path, drop):
+    where = (str(tmp_path / "store"), str(tmp_path / "ledger"))
+    ingest.ingest_folder(spark, str(drop), *where)
+    jobs = ledger.state(ledger.read(spark, where[1]))
+    events = jobs.filter("file_name = 'a subs+1.csv'").withColumn("path", F.col("retry_path"))
+    ledger.append(ledger.event(events, "failed", 2**60, error=F.lit("x")), where[1])
+    (drop / "new.csv").write_bytes(PEOPLE.replace(b"13;", b"15;"))
+    report = {r.file_name: r.status for r in ingest.retry_failed(spark, *where).collect()}
+    assert "new.csv" not in report and report["a subs+1.csv"] == "processed"
+    assert store.read_store(spark, where[0], "submission").count() == 2
