@@ -22,8 +22,8 @@ from ..operators.dedup import deduplicate_store
 from ..session import broadcast_if_small, child_names, materialise, remove_folder
 from ..sources import store as source
 
-# Folders of a new table; a table keeps the number it was made with.
-BUCKETS = 32
+# Folders of a new table; a table keeps the number it was made with until it is compacted with another.
+BUCKETS = 8
 
 
 def write_parts(df: DataFrame, root: str, kind: str) -> None:
