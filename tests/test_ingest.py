@@ -337,7 +337,7 @@ def test_current_table_keeps_the_first_of_each_identity(spark, tmp_path):
     assert stored(spark, root) == want
     found = store.read_store(spark, root, "submission")
     assert S.BUCKET not in found.columns and {r.Extra for r in found.collect()} == {None, 1}
-    assert [n.split("-of-")[1] for n in store.child_names(spark, store.current_path(spark, root, "submission")) if "=" in n] == ["00003"] * 3
+    assert {n.split("-of-")[1] for n in store.child_names(spark, store.current_path(spark, root, "submission")) if "=" in n} == {"00003"}
     for number in (2, 3, 4):
         sink.compact(spark, root, "submission", buckets=2)
         assert stored(spark, root) == want and store.current_path(spark, root, "submission").endswith(f"{number:06d}")
