@@ -38,6 +38,22 @@ def put_in_place(system: pafs.FileSystem, temporary: str, final: str) -> None:
     system.move(temporary, final)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = "_" + name
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column name that holds dots or back-quotes, as an expression reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch; NULL reads as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

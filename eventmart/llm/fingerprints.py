@@ -1,10 +1,10 @@
 """Threshold-scaled sketches: every shingle hash below a fixed fraction of the hash range is kept.
 
 The sketch of a union is the union of the sketches, and containment can be estimated between texts of
-very unequal length. Shingles are 16 code points; a shorter text is one shingle, which is always kept.
-Texts with at most SHORT distinct shingles keep the other hashes too, so two of them are compared exactly.
-A fingerprint is the number of shingles, a hash of the whole text (64 bits, hexadecimal), the retained hashes
-(ascending, 32 bits each, little-endian) in base64 and, for short texts, the other hashes alike, with colons between.
+very unequal length. Shingles are 16 code points, a shorter text is one shingle, and the same fraction of
+hashes is kept of texts of every length.
+A fingerprint is the number of shingles, a hash of the whole text (64 bits, hexadecimal) and the retained hashes
+(ascending, 32 bits each, little-endian) in base64, with colons between.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from .common import partitions, spread, text_of
 
 WIDTH = 16
-FRACTION = 16  # one hash in so many is kept
-SHORT = 256  # distinct shingles up to which all hashes are kept
+FRACTION = 4  # one hash in so many is kept
 _STRETCH = 1 << 20
 _M1, _M2, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,101 +31,63 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def sketches(text: str) -> tuple[np.ndarray, np.ndarray | None]:
-    """Distinct retained hashes, ascending, and the other ones if the text is short (None if not)."""
+def sketch(text: str) -> np.ndarray:
+    """Distinct retained hashes, ascending."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     if not len(points):
-        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint32)
     limit = np.uint64((1 << 64) // FRACTION)
-    found, rest = [], np.zeros(0, np.uint64)
+    found = []
     for at in range(0, max(1, len(points) - WIDTH + 1), _STRETCH):
         part = points[at : at + _STRETCH + WIDTH - 1].astype(np.uint64) + np.uint64(1)
-        padded = len(part) < WIDTH  # only a text that is shorter itself
-        if padded:
+        if len(part) < WIDTH:  # only a text that is shorter itself
             part = np.concatenate([part, np.zeros(WIDTH - len(part), np.uint64)])
         power, size = int(_BASE), 1
         while size < WIDTH:
             part = part[:-size] * np.uint64(power) + part[size:]
             power, size = power * power % (1 << 64), size * 2
         h = _mixed(part)
-        if padded:
-            h = h // np.uint64(FRACTION)
-        found.append(np.unique(h[h < limit]))
-        if rest is not None:
-            rest = np.unique(np.concatenate([rest, h[: 4 * SHORT]]))
-            if len(rest) <= SHORT:
-                rest = np.unique(np.concatenate([rest, h[4 * SHORT :]]))
-            rest = rest if len(rest) <= SHORT else None
-    kept = np.unique((np.concatenate(found) >> np.uint64(28)).astype(np.uint32))
-    return kept, None if rest is None else np.unique((rest[rest >= limit] >> np.uint64(28)).astype(np.uint32))
-
-
-def sketch(text: str) -> np.ndarray:
-    """Distinct retained hashes, ascending."""
-    return sketches(text)[0]
-
-
-def _coded(hashes: np.ndarray) -> str:
-    return base64.b64encode(hashes.astype("<u4").tobytes()).decode()
+        found.append(np.unique((h[h < limit] // np.uint64((1 << 32) // FRACTION)).astype(np.uint32)))
+    return np.unique(np.concatenate(found))
 
 
-def _mark(shingles: int, whole: int, kept: np.ndarray, others: np.ndarray | None) -> str:
-    return f"{shingles}:{whole:016x}:{_coded(kept)}" + ("" if others is None else f":{_coded(others)}")
+def _mark(shingles: int, whole: int, kept: np.ndarray) -> str:
+    return f"{shingles}:{whole:016x}:{base64.b64encode(kept.astype('<u4').tobytes()).decode()}"
 
 
-def fingerprint(text: str, found: tuple[np.ndarray, np.ndarray | None] | None = None) -> str:
-    found = sketches(text) if found is None else found
+def fingerprint(text: str, kept: np.ndarray | None = None) -> str:
     shingles = 0 if not text else max(1, len(text) - WIDTH + 1)
     whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return _mark(shingles, int.from_bytes(whole, "little"), *found)
-
-
-def parts(mark: str) -> tuple[np.ndarray, np.ndarray | None]:
-    """The sketches that a fingerprint holds."""
-    coded = mark.split(":")[2:]
-    found = [np.frombuffer(base64.b64decode(c), "<u4") for c in coded]
-    return found[0], found[1] if len(found) > 1 else None
+    return _mark(shingles, int.from_bytes(whole, "little"), sketch(text) if kept is None else kept)
 
 
 def values(mark: str) -> np.ndarray:
-    return parts(mark)[0]
+    """The sketch that a fingerprint holds."""
+    return np.frombuffer(base64.b64decode(mark.split(":")[2]), "<u4")
 
 
 def merged(*marks: str) -> str:
     """Fingerprint of texts taken together; shingle numbers and hashes of whole texts add up."""
-    found = [parts(m) for m in marks]
-    kept, others = np.unique(np.concatenate([a for a, _ in found])), None
-    if all(b is not None for _, b in found):
-        others = np.unique(np.concatenate([b for _, b in found]))
-        others = others if len(kept) + len(others) <= SHORT else None
     fields = [m.split(":") for m in marks]
-    return _mark(sum(int(f[0]) for f in fields), sum(int(f[1], 16) for f in fields) % (1 << 64), kept, others)
+    kept = np.unique(np.concatenate([values(m) for m in marks]))
+    return _mark(sum(int(f[0]) for f in fields), sum(int(f[1], 16) for f in fields) % (1 << 64), kept)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the first one's shingles that the second has."""
+    """Estimated share of the first one's shingles that the second has; 0 if the first retains none."""
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
 
 
-def likeness(one: str, other: str, a: tuple | None = None, b: tuple | None = None) -> float | None:
-    """Containment of the smaller sketch in the larger; 1 for equal texts, 0 if one is empty.
+def likeness(one: str, other: str, a: np.ndarray | None = None, b: np.ndarray | None = None) -> float:
+    """Containment of the smaller sketch in the larger, from 0 to 1; 1 for equal texts.
 
-    Exact between short texts, otherwise estimated from the retained hashes; None if the short one of a short and
-    a long text retains none of them, so that nothing is known.
+    The standard error is sqrt(3 c (1 - c) / n) for a containment c of n distinct shingles. A sketch without
+    hashes gives 0; a text of n distinct shingles has none with chance 0.75^n.
     """
     if one == other:
         return 1.0
-    if one.startswith("0:") or other.startswith("0:"):
-        return 0.0
-    (a, rest), (b, others) = parts(one) if a is None else a, parts(other) if b is None else b
-    if rest is not None and others is not None:
-        smaller, larger = sorted(((a, rest), (b, others)), key=lambda x: len(x[0]) + len(x[1]))
-        shared = sum(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(smaller, larger))
-        return shared / (len(smaller[0]) + len(smaller[1]))
-    # a short text has fewer distinct shingles than one that is not
-    if rest is not None or others is None and len(a) <= len(b):
-        return containment(a, b) if len(a) else None
-    return containment(b, a) if len(b) else None
+    a, b = values(one) if a is None else a, values(other) if b is None else b
+    return containment(a, b) if len(a) <= len(b) else containment(b, a)
 
 
 def edited(text: str, other: str) -> str:
@@ -139,7 +100,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edit with the next document and how alike they are.
 
     The next document is the one below in id order, after the last the first; NULL ids come last,
-    repeated ids by text. NULL text is empty. Texts are shuffled once: ranges of ids are fixed
+    repeated ids by text. NULL text is empty. Texts of any length are taken in stretches, other columns are
+    not looked at. Texts are shuffled once: ranges of ids are fixed
     from their quantiles, and the first document of each range also goes to the range before it.
     """
     spark = docs.sparkSession
@@ -178,14 +140,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             )
 
     def marked(batches):
-        waiting = None  # (slot, doc_id, text, sketches) whose next document is still to come
+        waiting = None  # (slot, doc_id, text, sketch) whose next document is still to come
         rows: list[tuple] = []
         for batch in batches:
             slots_, after = batch.column("_slot").to_pylist(), batch.column("_after").to_pylist()
             for slot, late, doc_id, text in zip(slots_, after, batch.column("doc_id").to_pylist(), text_of(batch), strict=True):
                 if late and waiting is None:
                     continue  # a further row with the id of the first of the next range
-                kept = sketches(text)
+                kept = sketch(text)
                 if waiting is not None:
                     rows.append(_compared(*waiting[1:], text, kept))
                 waiting = None if late else (slot, doc_id, text, kept)
@@ -204,9 +166,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compared(doc_id, text: str, kept: tuple, following: str, following_kept: tuple) -> tuple:
+def _compared(doc_id, text: str, kept: np.ndarray, following: str, following_kept: np.ndarray) -> tuple:
     changed = edited(text, following)
-    changed_kept = sketches(changed)
+    changed_kept = sketch(changed)
     own, its, nexts = fingerprint(text, kept), fingerprint(changed, changed_kept), fingerprint(following, following_kept)
     return (
         doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, its,

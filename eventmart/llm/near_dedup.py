@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import forest, partitions, saved, spread, text_of
+from .common import forest, free_names, partitions, quoted, saved, spread, text_of, word_hashes
 from .components import components
 from .encoding import forget
 
@@ -36,7 +36,8 @@ ROUNDS = 2
 PIVOTS = 3
 BLOCK = 1024
 CHUNK = 256
-_CACHE = 400_000
+#: Shingles of the texts in a block of confirmation, beside BLOCK texts.
+BLOCK_SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,19 +50,11 @@ class Shingler:
 
     def __init__(self, words: int):
         self._words = words
-        self._known: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        parts = text.encode("utf-8", "replace").lower().split()
-        if not parts:
-            return np.zeros(0, np.uint64)
-        known = self._known
-        if len(known) > _CACHE:
-            known.clear()
-        for word in set(parts):
-            if word not in known:
-                known[word] = xxhash.xxh3_64_intdigest(word)
-        h = np.array([known[w] for w in parts], np.uint64)
+        h = word_hashes(text)
+        if not len(h):
+            return h
         k = min(self._words, len(h))
         out = np.full(len(h) - k + 1, np.uint64(k))
         for j in range(k):
@@ -173,18 +166,22 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _cells(members: DataFrame, block: int) -> DataFrame:
+def _cells(members: DataFrame, block: int, shingles: int | None = None) -> DataFrame:
     """(key, kind, i, j, node, side) rows that bring together all members of a key in different components.
 
     The largest component of a key is cut into blocks that meet only the other members (kind 0,
     sides "o" and "m"); those meet one another block by block (kind 1, their blocks i <= j as side).
+    A block has about ``block`` members at most and, if given, so many ``shingles`` (column ``size``) of them.
     """
-    sizes = saved(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
+    size = F.lit(0) if shingles is None else F.col("size")
+    sizes = saved(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("w")), "near-sizes")
+    largest = F.struct("n", "component")
     keys = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("g"), (F.sum("n") - F.max("n")).alias("l")
+        F.max_by("component", largest).alias("major"), F.max("n").alias("g"), (F.sum("n") - F.max("n")).alias("l"),
+        F.max_by("w", largest).alias("gw"), (F.sum("w") - F.max_by("w", largest)).alias("lw"),
     ).filter("l > 0")
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    dealt = members.join(keys, "key").select("key", "node", (F.col("component") == F.col("major")).alias("in_major"), blocks("g").alias("gs"), blocks("l").alias("ls"))
+    blocks = lambda n, w: F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(w) / (shingles or 1))).cast("int")
+    dealt = members.join(keys, "key").select("key", "node", (F.col("component") == F.col("major")).alias("in_major"), blocks("g", "gw").alias("gs"), blocks("l", "lw").alias("ls"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("in_major"), F.col("gs")).otherwise(F.col("ls"))).cast("int"))
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -232,7 +229,7 @@ def _sketches_near(percent: int):
 def _sets_near(words: int, percent: int):
     def prepared(table: pa.Table):
         shingler = Shingler(words)
-        sets = [shingler(t or "") for t in table.column("text").to_pylist()]
+        sets = [shingler(t.as_py() or "") for t in table.column("text")]
         sizes = np.array([len(s) for s in sets])
 
         def near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -303,8 +300,8 @@ def _links(members: DataFrame, families: DataFrame, docs: DataFrame, words: int,
     A family is first compared with pivots, at first with the member that shares most buckets; then what
     still lies in different components meets in cells.
     """
-    degrees = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("node").agg(F.sum("m").alias("degree"))
-    people = saved(families.join(degrees, "node").select(F.col("family").alias("key"), "node", "degree"), "near-people")
+    degrees = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("node").agg(F.sum("m").alias("degree"), F.first("size").alias("size"))
+    people = saved(families.join(degrees, "node").select(F.col("family").alias("key"), "node", "size", "degree"), "near-people")
     labels, links = None, []
     for turn in range(PIVOTS + 1):
         known = _with(people, labels)
@@ -321,7 +318,7 @@ def _links(members: DataFrame, families: DataFrame, docs: DataFrame, words: int,
                 break
             new = _confirmed(pairs, docs, words, percent)
         else:
-            cells = saved(_cells(known, BLOCK), "near-cells")
+            cells = saved(_cells(known, BLOCK, BLOCK_SHINGLES), "near-cells")
             if cells.limit(1).count() == 0:
                 break
             cells = cells.join(_texts(docs, cells), "node")
@@ -344,10 +341,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = saved(_sketched(docs, words), "near-sketches")
     classes = saved(
         rows.filter("class is not null and doc_id is not null").groupBy("class")
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
         "near-classes",
     )
-    banded = classes.select("node", "odd", F.explode("bands").alias("key"))
+    banded = classes.select("node", "size", "odd", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = saved(banded.join(shared, "key"), "near-members")
 
@@ -387,12 +384,17 @@ def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     Of rows that repeat an id, one stays (the smallest text). Rows with a NULL id all stay.
     """
-    found = near_duplicates(docs, words, percent).filter("doc_id is not null and kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(found, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
-    again = docs.groupBy(F.col("doc_id").cast("long").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_kept_id is not null and _n > 1")
+    kept_id, number, row = free_names(docs, "kept_id", "n", "row")
+    own = F.col("doc_id").cast("long").alias(kept_id)
+    found = near_duplicates(docs, words, percent).filter("doc_id is not null and kept").select(own).distinct()
+    same = F.col("doc_id").cast("long") == F.col(kept_id)
+    rows = docs.join(found, same, "left_semi")
+    again = docs.groupBy(own).agg(F.count(F.lit(1)).alias(number)).filter(F.col(kept_id).isNotNull() & (F.col(number) > 1)).select(kept_id)
     if again.limit(1).count():
-        repeated = rows.join(again, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+        # written, so that the grouping does not rely on how the input was partitioned
+        repeated = saved(rows.join(again, same, "left_semi"), "near-repeated")
         # all columns decide, so that the choice does not depend on the order of rows
-        single = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), *docs.columns)).alias("_row")).select("_row.*")
-        rows = rows.join(again, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_anti").unionByName(single)
+        every = [F.col(quoted(c)) for c in docs.columns]
+        single = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*every), F.struct(F.coalesce("text", F.lit("")), *every)).alias(row)).select(f"{row}.*")
+        rows = rows.join(again, same, "left_anti").unionByName(single)
     return rows.unionByName(docs.filter("doc_id is null"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import broadcast_if_small
-from .common import saved, spread, text_of
+from .common import free_names, quoted, saved, spread, text_of
 from .encoding import KNOWN_WORDS, encoder
 
 
@@ -135,6 +135,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     """
     items = items.drop("sequence_id", "offset")
     names = items.columns
+    part_, rank_, number, shift = free_names(items, "part", "rank", "n", "before")
 
     def numbered(batches):
         from pyspark import TaskContext
@@ -149,27 +150,27 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             own[order] = np.arange(len(size)) - np.searchsorted(size[order], size[order])
             rank = own + seen[size]
             seen += np.bincount(size, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part), pa.int32()), pa.array(rank)], names=[*names, "_part", "_rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part), pa.int32()), pa.array(rank)], names=[*names, part_, rank_])
 
     # ranks in two steps: inside each task as the pieces are written, then shifted by the tasks before
-    schema = StructType([*items.schema.fields, StructField("_part", IntegerType()), StructField("_rank", LongType())])
+    schema = StructType([*items.schema.fields, StructField(part_, IntegerType()), StructField(rank_, LongType())])
     ranked = saved(items.mapInArrow(numbered, schema), "pack-items")
-    sizes = ranked.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = saved(sizes.select("length", "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "pack-sizes")
-    histogram = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    sizes = ranked.groupBy("length", part_).agg(F.count(F.lit(1)).alias(number))
+    before = Window.partitionBy("length").orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = saved(sizes.select("length", part_, number, F.coalesce(F.sum(number).over(before), F.lit(0)).alias(shift)), "pack-sizes")
+    histogram = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum(number).alias("n")).collect()}
     steps = sorted(plan(histogram, capacity))
     keys = np.array([(s << 44) | r0 for s, r0, *_ in steps], np.int64)
     table = np.array(steps, np.int64).reshape(-1, 6)
     ranked = (
-        ranked.join(broadcast_if_small(offsets.drop("_n"), 500_000), ["length", "_part"])
-        .withColumn("_rank", F.col("_rank") + F.col("_before")).select(*[F.col(f"`{c}`") for c in names], "_rank")
+        ranked.join(broadcast_if_small(offsets.drop(number), 500_000), ["length", part_])
+        .withColumn(rank_, F.col(rank_) + F.col(shift)).select(*[F.col(quoted(c)) for c in names], rank_)
     )
 
     def place(batches):
         for batch in batches:
             size = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64)
+            rank = batch.column(rank_).to_numpy(zero_copy_only=False).astype(np.int64)
             step = table[np.searchsorted(keys, (size << 44) | rank, "right") - 1]
             at = rank - step[:, 1]
             yield pa.RecordBatch.from_arrays(

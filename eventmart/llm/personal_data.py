@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free_names, quoted, saved
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, possessive where nothing can be given back and started only where a run of
@@ -155,13 +155,16 @@ def spans(docs: DataFrame) -> DataFrame:
     every = saved(_matches(docs.dropDuplicates(["key"])), "pii-matches")
     base = saved(every.filter((F.col("kind") != "token") & _valid(F.col("kind"), F.col("surface"))), "pii-base")
     # tokens that do not touch a base span of their text
-    ordered = Window.partitionBy("key").orderBy("start", "end")
+    # nearest base spans on both sides; each frame runs from the first row, so that it grows by a row at a time
+    token = F.col("surface").isNotNull()
+    forth = Window.partitionBy("key").orderBy("start", "end", token).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("key").orderBy(F.desc("start"), F.desc("end"), token).rowsBetween(Window.unboundedPreceding, 0)
     marks = base.select("key", "start", "end", F.col("end").alias("base_end"), F.col("start").alias("base_start"), F.lit(None).cast("string").alias("surface"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"))
     tokens = every.filter("kind = 'token'").select("key", "start", "end", F.lit(None).cast("long").alias("base_end"), F.lit(None).cast("long").alias("base_start"), "surface", "left", "right")
     beside = (
         marks.unionByName(tokens)
-        .withColumn("before", F.max("base_end").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("after", F.min("base_start").over(ordered.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("before", F.max("base_end").over(forth))
+        .withColumn("after", F.min("base_start").over(back))
     )
     free = saved(
         beside.filter("surface is not null and coalesce(before, 0) <= start and coalesce(after, end) >= end")
@@ -210,31 +213,32 @@ def find(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` follows if there is one.
 
-    Spans that overlap become one, named after the kind that starts first.
+    Spans that overlap become one, named after the kind that starts first. Other columns stay, whatever their names.
     """
-    keyed = docs.withColumn("_key", _key(docs))
-    every = spans(keyed.select(F.col("_key").alias("key"), "text"))
+    own, found = free_names(docs, "key", "spans")
+    keyed = docs.withColumn(own, _key(docs))
+    every = spans(keyed.select(F.col(own).alias("key"), "text"))
     ordered = Window.partitionBy("key").orderBy("start", "end", "kind")
     upto = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     merged = (
         every.withColumn("new", (F.coalesce(upto, F.lit(-1)) <= F.col("start")).cast("int"))
         .withColumn("group", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
-        .groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
+        .groupBy(F.col("key").alias(own)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(found))
     )
-    size = F.size("_spans")
+    size = F.size(found)
     pieces = F.transform(
         F.sequence(F.lit(1), size + 1),
         lambda k: F.concat(
             F.substring(
                 F.col("text"),
-                (F.when(k == 1, F.lit(0)).otherwise(F.get("_spans", k - 2)["end"]) + 1).cast("int"),
-                (F.when(k <= size, F.get("_spans", k - 1)["start"]).otherwise(F.length("text").cast("long")) - F.when(k == 1, F.lit(0)).otherwise(F.get("_spans", k - 2)["end"])).cast("int"),
+                (F.when(k == 1, F.lit(0)).otherwise(F.get(F.col(found), k - 2)["end"]) + 1).cast("int"),
+                (F.when(k <= size, F.get(F.col(found), k - 1)["start"]).otherwise(F.length("text").cast("long")) - F.when(k == 1, F.lit(0)).otherwise(F.get(F.col(found), k - 2)["end"])).cast("int"),
             ),
-            F.when(k <= size, F.concat(F.lit("<"), F.upper(F.get("_spans", k - 1)["kind"]), F.lit(">"))).otherwise(F.lit("")),
+            F.when(k <= size, F.concat(F.lit("<"), F.upper(F.get(F.col(found), k - 1)["kind"]), F.lit(">"))).otherwise(F.lit("")),
         ),
     )
-    out = keyed.join(merged, "_key", "left").withColumn("text", F.when(F.col("_spans").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text")))
+    out = keyed.join(merged, own, "left").withColumn("text", F.when(F.col(found).isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(found).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(quoted(c)) for c in docs.columns])

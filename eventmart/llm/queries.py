@@ -64,17 +64,24 @@ def fingerprint_query(spark, sf_dir):
     """
 with sizes as (
   select source, sum(coalesce(length(text), 0) + 1)::double as size from documents group by 1
-), rated as (
+), rates as (
   select source, (1.0::double / (select count(*) from sizes)) * (select sum(size) from sizes) / size as rate from sizes
+), rated as (
+  select source, greatest(1, ceil(rate / 1024))::bigint as blocks, rate / greatest(1, ceil(rate / 1024)) as mean from rates
 ), terms as (
-  select source, rate, k, -rate + sum(case when k = 0 then 0 else ln(rate / greatest(k, 1)) end) over (partition by source order by k) as l
-  from rated, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 31)::bigint)) as t(k)
+  select source, mean, k, -mean + sum(case when k = 0 then 0 else ln(mean / greatest(k, 1)) end) over (partition by source order by k) as l
+  from rated, unnest(range(0, (ceil(mean + 12 * sqrt(mean)) + 31)::bigint)) as t(k)
 ), cdf as (
   select source, k, sum(exp(l)) over (partition by source order by k) as c from terms
+), numbered as (
+  select *, row_number() over () as r from documents
 ), drawn as (
-  select *, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|copies'), 1, 15))::bigint / 1152921504606846976::double as u from documents
+  select d.*, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|copies' || case when b = 1 then '' else '|' || b end), 1, 15))::bigint / 1152921504606846976::double as u
+  from numbered d join rated on rated.source is not distinct from d.source, unnest(range(1, blocks + 1)) as t(b)
+), parts as (
+  select *, (select count(*) from cdf where cdf.source is not distinct from drawn.source and c <= u) as n from drawn
 ), counted as (
-  select d.doc_id, d.source, d.text, d.n_chars, d.lang, (select count(*) from cdf where cdf.source is not distinct from d.source and c <= u) as n from drawn d
+  select any_value(doc_id) as doc_id, any_value(source) as source, any_value(text) as text, any_value(n_chars) as n_chars, any_value(lang) as lang, sum(n)::bigint as n from parts group by r
 )
 select doc_id, text, lang, source, n_chars, copy::int as copy,
        ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || copy), 1, 15))::bigint as shuffle_key

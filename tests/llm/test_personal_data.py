@@ -78,3 +78,20 @@ def test_masking(spark):
     assert [by_id[k]["text"] for k in range(5)] == [None, "", "mail <EMAIL>, from <IP>!", "😀 <PHONE> x", "plain 12"]
     assert by_id[3]["n_chars"] == len("😀 <PHONE> x")
     assert personal_data.masked(documents(spark, [])).count() == 0
+
+
+def test_text_of_very_many_numbers(spark):
+    """Work grows with the tokens of a text, not with their square."""
+    count = 20_000
+    text = " ".join(str(k % 7) for k in range(count)) + " a@b.cd " + "10.0.0.1 " * 3 + "x9 " * count
+    rows = personal_data.find(documents(spark, [text, "plain 12", None])).collect()
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[0]["n_email"] == 1 and by_id[0]["n_ip"] == 3 and by_id[1]["spans"] == by_id[2]["spans"] == ""
+    check(by_id[0], text)
+
+
+def test_tokens_that_coincide_with_base_spans(spark):
+    """A token that is itself a base span counts once, whichever is looked at first."""
+    texts = [f"{words(k, 4)} write to u{k}@mail.example.org now" for k in range(20)]
+    for r in personal_data.find(documents(spark, texts)).collect():
+        assert r["n_email"] == 1 and r["spans"].count(":") == 2

@@ -1,12 +1,13 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from check_oracle import compare, connect
 from llm_helpers import DOCS, EDGE_TEXTS, documents, stored, words
 
-from eventmart.llm import fingerprints, language, mixing, queries
+from eventmart.llm import fingerprints, language, mixing, near_dedup, personal_data, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,25 +50,36 @@ def test_sketch_estimates_containment_and_merges():
     assert set(both.tolist()) == set(a.tolist()) | set(fingerprints.sketch(other).tolist())
 
 
-def test_short_texts_have_fingerprints_of_their_own():
+def test_texts_have_fingerprints_of_their_own():
     short = ["This.", "Anouble thwh.", "Thtion.", "x", "xx", *(words(k, 2 + k % 30) for k in range(60)), "ab" * 3000, "ba" * 3000]
     marks = [fingerprints.fingerprint(t) for t in short]
     assert len(set(marks)) == len(set(short))
-
-    def shingles(t):
-        return {t[i : i + 16] for i in range(max(1, len(t) - 15))}
-
-    for one, a in zip(short, marks):
-        for other, b in zip(short, marks):
-            x, y = sorted((shingles(one), shingles(other)), key=len)
-            assert fingerprints.likeness(a, b) == (1.0 if one == other else len(x & y) / len(x))
-    long = words(1, 3000)
-    for at in range(0, 2000, 100):
-        got = fingerprints.likeness(fingerprints.fingerprint(long[at : at + 20]), fingerprints.fingerprint(long))
-        assert got in (None, 1.0)
-    assert fingerprints.likeness(fingerprints.fingerprint("This."), fingerprints.fingerprint(long)) == 0.0
-    both = fingerprints.merged(*marks[:2])
-    assert fingerprints.likeness(both, marks[0]) == 1.0 and both != fingerprints.merged(*marks[1:3])
+    both = fingerprints.merged(*marks[3:5])
+    assert both != fingerprints.merged(*marks[4:6])
+
+
+@pytest.mark.parametrize("length", [1, 15, 16, 20, 60, 200, 1000, 10_000])
+def test_likeness_is_near_containment_at_every_length(length):
+    """Mean error within two standard errors of a sample of one hash in four; every value from 0 to 1."""
+    off, counts = [], []
+    for seed in range(40):
+        text = words(seed, 3000)[:length]
+        other = fingerprints.edited(text, words(1000 + seed, 3000)[:length])
+        x, y = ({t[i : i + 16] for i in range(max(1, len(t) - 15))} for t in (text, other))
+        got = fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(other))
+        assert 0.0 <= got <= 1.0 and (text != other or got == 1.0)
+        if text != other and len(fingerprints.sketch(text)) and len(fingerprints.sketch(other)):
+            off.append(abs(got - len(x & y) / min(len(x), len(y))))
+            counts.append(min(len(x), len(y)))
+    if off:
+        assert np.mean(off) <= 2 * np.sqrt(3 * 0.25 / np.mean(counts))
+
+
+def test_likeness_of_empty_sketches():
+    empty = next(t for t in map(str, range(100)) if not len(fingerprints.sketch(t)))
+    kept = next(t for t in map(str, range(100)) if len(fingerprints.sketch(t)))
+    marks = [fingerprints.fingerprint(t) for t in ("", empty, kept)]
+    assert [fingerprints.likeness(a, b) for a in marks for b in marks] == [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
 def test_sketch_in_stretches(monkeypatch):
@@ -161,3 +173,39 @@ def test_poisson_distribution(spark):
     cdf = mixing.rates(documents(spark, ["x"] * 10)).collect()[0]
     assert cdf["rate"] == 1.0
     assert abs(cdf["cdf"][0] - np.exp(-1)) < 1e-15 and abs(cdf["cdf"][2] - 2.5 * np.exp(-1)) < 1e-15
+
+
+def test_mixing_of_a_tiny_source(spark, tmp_path):
+    """A source of one document beside a large one: some thousand copies, drawn in blocks, as in SQL."""
+    df = documents(spark, ["x" * 3999] * 8, source="big").unionByName(documents(spark, ["y"], 50, source="tiny"))
+    folder = stored(spark, tmp_path, df)
+    rates = {r["source"]: (r["rate"], r["blocks"]) for r in mixing.rates(df).collect()}
+    assert rates["tiny"][1] > 1 and rates["tiny"][0] / rates["tiny"][1] <= mixing.BLOCK_MEAN and rates["big"][1] == 1
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    expected = con.execute(queries.SQL["op4_poisson_mixing"]).fetchall()
+    got = queries.QUERIES["op4_poisson_mixing"](spark, folder).select("doc_id", "text", "lang", "source", "n_chars", "copy", "shuffle_key").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+    tiny = sorted(r["copy"] for r in got if r["source"] == "tiny")
+    assert tiny == list(range(1, len(tiny) + 1)) and abs(len(tiny) - rates["tiny"][0]) < 6 * rates["tiny"][0] ** 0.5
+
+
+def test_mixing_of_a_source_that_repeats_very_often(spark):
+    df = documents(spark, ["x" * 39_999] * 8, source="big").unionByName(documents(spark, [""], 50, source="tiny"))
+    got = mixing.mix(df, {"big": 0, "tiny": 1}).agg(queries.F.count("*"), queries.F.max("copy"), queries.F.countDistinct("shuffle_key")).collect()[0]
+    assert abs(got[0] - 320_001) < 6 * 320_001**0.5 and got[0] == got[1] == got[2]
+
+
+def test_stages_keep_columns_named_like_helpers(spark):
+    names = ["_key", "key", "_spans", "spans", "_n", "n", "_u", "_source", "_cdf", "_blocks", "_first", "_kept_id", "_row", "a.b", "class", "node", "kept"]
+    df = documents(spark, ["mail a@b.cd today", "the same words in two rows here", "the same words in two rows here", None, ""])
+    df = df.unionByName(documents(spark, ["the same words in two rows here"], 1))
+    for name in names:
+        df = df.withColumn(name, queries.F.lit(f"mine {name}"))
+    for stage in (personal_data.masked, near_dedup.distinct_documents, lambda d: mixing.mix(d).drop("copy", "shuffle_key")):
+        out = stage(df)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"mine {n}" for r in rows for n in names)
+        if stage is near_dedup.distinct_documents:
+            assert sorted(r["doc_id"] for r in rows) == [0, 1, 3, 4]

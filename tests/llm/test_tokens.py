@@ -131,3 +131,14 @@ def test_packing_nothing_and_extra_columns(spark):
     got = packing.pack(df, 8)
     assert got.columns == ["length", "note", "sequence_id", "offset"]
     assert check_packing(got.collect(), 8) == 4
+
+
+def test_packing_keeps_columns_named_like_helpers(spark):
+    names = ["_part", "_rank", "_n", "_before", "n", "length"]
+    items = spark.createDataFrame([(k % 7 + 1,) for k in range(200)], "length int")
+    for name in names[:-1]:
+        items = items.withColumn(name, queries.F.lit(f"mine {name}"))
+    got = packing.pack(items, 10)
+    assert got.columns == [*items.columns, "sequence_id", "offset"]
+    rows = got.collect()
+    assert len(rows) == 200 and all(r[n] == f"mine {n}" for r in rows for n in names[:-1])
