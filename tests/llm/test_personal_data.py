@@ -81,7 +81,7 @@ def test_masking(spark):
 
 
 def test_text_of_very_many_numbers(spark):
-    """Work grows with the tokens of a text, not with their square."""
+    """Tens of thousands of tokens in one text."""
     count = 20_000
     text = " ".join(str(k % 7) for k in range(count)) + " a@b.cd " + "10.0.0.1 " * 3 + "x9 " * count
     rows = personal_data.find(documents(spark, [text, "plain 12", None])).collect()
