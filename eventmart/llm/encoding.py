@@ -1,8 +1,9 @@
-"""Whole texts to ids of a public tokenizer; words met before are looked up instead of encoded again.
+"""Whole texts to ids of a public tokenizer; the different words of a stretch of texts are encoded once.
 
 Both vocabularies never join a word with what stands before the single space in front of it, so the
-ids of a text are those of its words, each with its space, put together. Words that are new are
-encoded many at a time, with a separator between them whose id marks where each ends.
+ids of a text are those of its words, each with its space, put together. Texts are cut into words and
+the words numbered by Arrow, ids are gathered by numpy; only different words that are not remembered
+reach the tokenizer, many at a time, with a separator between them whose id marks where each ends.
 """
 
 from __future__ import annotations
@@ -11,15 +12,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 _RUN = re.compile(r"\s\s")
 # A key is a word that follows a space; these marks make keys of other parts.
 _BARE, _WHOLE = "\0", "\1"
-#: Words remembered for the life of a worker, their characters, and words remembered for a while.
-KNOWN_WORDS, KNOWN_CHARS, RECENT_WORDS = 1_200_000, 14_000_000, 100_000
-BATCH_CHARS = 2_000_000
-TOGETHER = 500
+#: Words remembered for the life of a worker (those met twice in a stretch), and their characters.
+KNOWN_WORDS, KNOWN_CHARS = 400_000, 6_000_000
+#: Characters of the texts whose words are numbered together, unless one text is longer.
+STRETCH = 8_000_000
+TOGETHER = 50
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -47,7 +51,6 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
-        self._recent: dict[str, bytes] = {}
         self._chars = 0
         self._separator, self._mark = "\n", self._alone("\n")
         if len(self._mark) != 4:  # white space is dropped
@@ -62,54 +65,62 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, batch, size = [], [], 0
+        out, stretch, size = [], [], 0
         for text in texts:
-            batch.append(text)
+            stretch.append(text)
             size += len(text)
-            if size > BATCH_CHARS:
-                out += self._some(batch)
-                batch, size = [], 0
-        return out + self._some(batch)
+            if size > STRETCH:
+                out += self._some(stretch)
+                stretch, size = [], 0
+        return out + self._some(stretch) if stretch else out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        rows, holes, new = [], [], set()
-        known, recent = self._known.get, self._recent.get
-        for text in texts:
-            words = keys(text)
-            ids = list(map(known, words))
-            k = -1
-            for _ in range(ids.count(None)):
-                k = ids.index(None, k + 1)
-                ids[k] = recent(words[k])
-                if ids[k] is None:
-                    ids[k] = words[k]
-                    holes.append((ids, k))
-                    new.add(words[k])
-            rows.append(ids)
-        if holes:
-            made = self._made(list(new))
-            for ids, k in holes:
-                ids[k] = made[ids[k]]
-        return [b"".join(ids) for ids in rows]
+        words, ends, order = _words(texts)
+        numbered = words.dictionary_encode()
+        del words
+        place = numbered.indices.to_numpy()
+        made = self._of(numbered.dictionary.to_pylist(), place)
+        del numbered
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        starts = np.cumsum(lengths) - lengths
+        ids = np.frombuffer(b"".join(made), "<u4")
+        each = lengths[place]
+        stops = np.cumsum(each)
+        total = int(stops[-1]) if len(stops) else 0
+        wide = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        at = np.repeat((starts[place] - stops + each).astype(wide), each)
+        at += np.arange(total, dtype=wide)
+        cuts = np.concatenate([[0], stops])[ends].tolist()
+        data, out = memoryview(ids[at]).cast("B"), [b""] * len(texts)
+        for text, start, stop in zip(order, [0, *cuts], cuts):
+            out[text] = bytes(data[4 * start : 4 * stop])
+        return out
+
+    def _of(self, words: list[str], place: np.ndarray) -> list[bytes]:
+        """Ids of different keys; those that occur twice in ``place`` are remembered while there is room."""
+        ids = list(map(self._known.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
+        made = self._made([words[k] for k in new])
+        often = np.bincount(place, minlength=len(words)) > 1
+        for k in new:
+            ids[k] = made[words[k]]
+            if often[k] and len(self._known) < self.remember and self._chars < KNOWN_CHARS:
+                self._known[words[k]] = ids[k]
+                self._chars += len(words[k])
+        return ids
 
     def _made(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new keys, from their smaller parts where those are known."""
-        known, recent = self._known.get, self._recent.get
-        split = list(map(split_word, words))
-        parts = {part: None for row in split for part in row}
-        for part in parts:
-            parts[part] = known(part) or recent(part)
+        """Ids of new keys; a stop or comma after letters is apart from them."""
+        stops = [w for w in words if w[-1:] in (".", ",") and w[w[:1] == _BARE : -1].isalpha()]
+        parts = dict.fromkeys(words)
+        for word in stops:
+            del parts[word]
+        ends = {word: (word[:-1], _BARE + word[-1]) for word in stops}
+        parts.update((part, self._known.get(part)) for pair in ends.values() for part in pair)
         parts.update(self._encoded([part for part, x in parts.items() if x is None]))
-        made = {w: b"".join([parts[part] for part in row]) if len(row) != 1 else parts[row[0]] for w, row in zip(words, split)}
-        parts.update((w, x) for w, x in made.items() if "\n" not in w)
-        if len(self._known) < self.remember and self._chars < KNOWN_CHARS:
-            self._known.update(parts)
-            self._chars += sum(map(len, parts))
-        else:
-            if len(self._recent) > RECENT_WORDS:
-                self._recent.clear()
-            self._recent.update((w, x) for w, x in parts.items() if len(w) < 64)
-        return made
+        for word, (body, stop) in ends.items():
+            parts[word] = parts[body] + parts[stop]
+        return parts
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         plain, shown, out = [], [], {}
@@ -136,29 +147,26 @@ class Encoder:
         return out
 
 
+def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray, list[int]]:
+    """Keys of all texts one after the other, where each text ends, and which text it is."""
+    plain, odd, rows = [], [], []
+    for k, text in enumerate(texts):
+        if _BARE in text or _WHOLE in text or _RUN.search(text):
+            odd.append(k)
+            rows.append(keys(text))
+        else:
+            plain.append(k)
+    # marks make the parts around a line break keys of their own
+    marked = [_BARE + texts[k].replace("\n", f" {_WHOLE}\n {_BARE}") for k in plain]
+    lists = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+    counts = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False), [len(row) for row in rows]])
+    words = pa.concat_arrays([lists.flatten(), pa.array([key for row in rows for key in row], pa.large_string())])
+    return words, np.cumsum(counts, dtype=np.int64), plain + odd
+
+
 def keys(text: str) -> list[str]:
-    """Keys of the parts of a text, in order; the ids of the parts joined are those of the text."""
+    """Keys of the parts of a text that has runs of white space or marks; their ids joined are those of the text."""
     if _BARE in text or _WHOLE in text:
         return [_WHOLE + text]
-    if _RUN.search(text):
-        first, *rest = _BOUNDARY.split(text)
-        return [_WHOLE + first, *(part[1:] if part.isprintable() and part.count(" ") == 1 else _WHOLE + part for part in rest)]
-    words = text.split(" ")
-    words[0] = _BARE + words[0]
-    return words
-
-
-def split_word(word: str) -> list[str]:
-    """Keys of the smaller parts of a key: lines, and a stop or comma after letters."""
-    if word[:1] == _WHOLE:
-        return [word]
-    out = []
-    for k, line in enumerate(word.split("\n")):
-        if k:
-            out.append(_WHOLE + "\n")
-            line = _BARE + line
-        if line[-1:] in (".", ",") and line[line[:1] == _BARE : -1].isalpha():
-            out += [line[:-1], _BARE + line[-1]]
-        elif line != _BARE:
-            out.append(line)
-    return out
+    first, *rest = _BOUNDARY.split(text)
+    return [_WHOLE + first, *(part[1:] if part.isprintable() and part.count(" ") == 1 else _WHOLE + part for part in rest)]

@@ -133,7 +133,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     Sequences are numbered from 0 and filled without holes from offset 0. Input columns of those two
     names are replaced. Equal rows take different places. Only the histogram of lengths reaches the driver.
     """
-    items = items.drop("sequence_id", "offset")
+    # written first, so that the workers that make the items are not also those that rank them
+    items = saved(items.drop("sequence_id", "offset"), "pack-pieces")
     names = items.columns
     part_, rank_, number, shift = free_names(items, "part", "rank", "n", "before")
 
@@ -152,7 +153,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             seen += np.bincount(size, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part), pa.int32()), pa.array(rank)], names=[*names, part_, rank_])
 
-    # ranks in two steps: inside each task as the pieces are written, then shifted by the tasks before
+    # ranks in two steps: inside each task as the pieces are written again, then shifted by the tasks before
     schema = StructType([*items.schema.fields, StructField(part_, IntegerType()), StructField(rank_, LongType())])
     ranked = saved(items.mapInArrow(numbered, schema), "pack-items")
     sizes = ranked.groupBy("length", part_).agg(F.count(F.lit(1)).alias(number))
