@@ -51,12 +51,12 @@ def submissions_by_event(spark, sf_dir):
     return distribution.group_statistics(submissions(spark, sf_dir, S.TITLE, S.PROJECT, S.ORG))
 
 
-_TEAM = """with counts as (select cast(trunc(coalesce(extra, 0)) as bigint) + 1 as v, count(*) as n from sub group by 1)
+TEAM_SQL = """with counts as (select cast(trunc(coalesce(extra, 0)) as bigint) + 1 as v, count(*) as n from sub group by 1)
 select v as "Team Size", n as "Count", round_even(n::double / (select sum(n) from counts) * 100, 2) as "Percentage"
 from counts"""
 
 
-@query("team_size_distribution", _TEAM, ("sub",))
+@query("team_size_distribution", TEAM_SQL, ("sub",))
 def team_size_distribution(spark, sf_dir):
     return distribution.team_size_distribution(submissions(spark, sf_dir, S.EXTRA_MEMBERS))
 
@@ -81,7 +81,7 @@ def event_type_distribution(spark, sf_dir):
     return distribution.value_distribution(table(spark, sf_dir, "events"), "event_type", limit=50)
 
 
-_EXPERIENCE = """with v as (select case when experience <= 50 then experience end as x from reg),
+EXPERIENCE_SQL = """with v as (select case when experience <= 50 then experience end as x from reg),
 n as (select * from (select count(*) filter (x > 0 and x <= 2) as a, count(*) filter (x > 2 and x <= 5) as b,
   count(*) filter (x > 5 and x <= 10) as c, count(*) filter (x > 10 and x <= 50) as d from v)),
 bins as (select '0-2 years' as label, a as n from n union all select '3-5 years', b from n
@@ -90,7 +90,7 @@ select label as "Experience Range", n as "Count",
   coalesce(round_even(n::double / nullif((select sum(n) from bins), 0) * 100, 2), 0) as "Percentage" from bins"""
 
 
-@query("work_experience_distribution", _EXPERIENCE, ("reg",))
+@query("work_experience_distribution", EXPERIENCE_SQL, ("reg",))
 def work_experience_distribution(spark, sf_dir):
     return distribution.binned_histogram(registrants(spark, sf_dir, S.EXPERIENCE))
 
@@ -118,13 +118,13 @@ def summary_statistics(spark, sf_dir):
     return summary(spark, sf_dir)
 
 
-_LISTING = _SUMMARY + " " + " union all ".join(
+LISTING_SQL = _SUMMARY + " " + " union all ".join(
     f"select '{label}' as \"Metric\", cast({field} as varchar) as \"Value\" from summary"
     for field, label in distribution.SUMMARY_LABELS.items()
 )
 
 
-@query("summary_listing", _LISTING, ("sub", "reg"))
+@query("summary_listing", LISTING_SQL, ("sub", "reg"))
 def summary_listing(spark, sf_dir):
     return distribution.summary_listing(summary(spark, sf_dir))
 

@@ -10,8 +10,9 @@ from eventmart.session import run_dir
 from eventmart.sinks.bundles import export_history, write_bundle
 from pyspark.sql import functions as F
 
+from .counting import EXPERIENCE_SQL, LISTING_SQL, TEAM_SQL
 from .entities import LOOKUP_SQL, SHORT_SQL, dimension, short_entries
-from .registry import SYNONYMS, query, tokens_sql
+from .registry import SYNONYMS, distribution_sql, query, tokens_sql, top_tokens_sql
 
 
 def tables(spark, sf_dir):
@@ -69,6 +70,60 @@ for _key, _build, _expected in (
     )
 
 
+#: Columns of each table of the combined report that hold a row's name and its two figures.
+_CELLS = {
+    "Top Technologies": ("Technology", "Count", "Percentage"),
+    "Top Skills": ("Skill", "Count", "Percentage"),
+    "Submissions by Hackathon": ("Hackathon", "Submissions", "Organizations"),
+    "Team Size Distribution": ("Team Size", "Count", "Percentage"),
+    "Country Distribution": (S.COUNTRY, "Count", "Percentage"),
+    "Occupation Breakdown": (S.OCCUPATION, "Count", "Percentage"),
+    "Specialty Distribution": (S.SPECIALTY, "Count", "Percentage"),
+    "Work Experience": ("Experience Range", "Count", "Percentage"),
+    "Time Trends": ("Date", "Submissions", "Cumulative"),
+}
+_CELLS_SQL = {
+    "Top Technologies": top_tokens_sql("sub", "built_with", ",", "v", 50),
+    "Top Skills": top_tokens_sql("reg", "skills", ";", "v", 50),
+    "Submissions by Hackathon": 'select title as v, count(project) as "Count", count(distinct org) as "Percentage" from sub where title is not null group by 1',
+    "Team Size Distribution": TEAM_SQL.replace('"Team Size"', "v"),
+    "Country Distribution": distribution_sql("reg", "country", "v", 50),
+    "Occupation Breakdown": distribution_sql("reg", "occupation", "v", 50),
+    "Specialty Distribution": distribution_sql("reg", "specialty", "v", None),
+    "Work Experience": EXPERIENCE_SQL.replace('"Experience Range"', "v"),
+    "Time Trends": """select strftime(d, '%Y-%m-%d') as v, n as "Count", sum(n) over (order by d) as "Percentage"
+ from (select cast(created as date) as d, count(*) as n from sub where created is not null group by 1)""",
+}
+
+
+@query(
+    "report_combined_cells",
+    " union all ".join(
+        f"""select '{name}' as "table", cast(v as varchar) as name, cast("Count" as bigint) as n, cast("Percentage" as double) as figure, null as text from ({sql})"""
+        for name, sql in _CELLS_SQL.items()
+    )
+    + f""" union all select 'Summary Statistics', "Metric", null, null, "Value" from ({LISTING_SQL})""",
+    ("sub", "reg"),
+)
+def report_combined_cells(spark, sf_dir):
+    """The combined report written, read back and compared cell by cell."""
+    manifest = write_bundle(spark, reports.combined(tables(spark, sf_dir)), f"{run_dir(spark, 'bundles')}/cells")
+    every = None
+    for row in manifest.collect():
+        written = spark.read.parquet(row["path"])
+        if row["table"] in _CELLS:
+            name, n, figure = (F.col(f"`{c}`") for c in _CELLS[row["table"]])
+            text = F.lit(None).cast("string")
+        else:
+            name, n, figure, text = F.col("Metric"), F.lit(None), F.lit(None), F.col("Value")
+        part = written.select(
+            F.lit(row["table"]).alias("table"), name.cast("string").alias("name"), n.cast("long").alias("n"),
+            figure.cast("double").alias("figure"), text.alias("text"),
+        )
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
 def event_tables(spark, sf_dir):
     subs = submissions(spark, sf_dir, S.TITLE, S.PROJECT, S.URL)
     return subs, registrants(spark, sf_dir, S.EVENT, S.USER), nation_events(spark, sf_dir)
@@ -113,11 +168,17 @@ def sample_bundles(spark, sf_dir):
     return listing(spark, batch | single, "samples")
 
 
-@query("export_manifest")
+@query(
+    "export_manifest",
+    """select 'countries' as "Filename", cast(1 as bigint) as "Tables", count(distinct country) as "Rows", true as sized, true as dated from reg
+ union all select 'teams', 1, (select count(distinct coalesce(extra, 0)) from sub), true, true""",
+    ("sub", "reg"),
+)
 def export_manifest(spark, sf_dir):
-    """Two bundles written, then listed with time and size."""
+    """Two bundles written, then listed from the log of the writes."""
     base = run_dir(spark, "exports")
     t = tables(spark, sf_dir)
     write_bundle(spark, {"Country Distribution": t.values(S.COUNTRY)}, f"{base}/countries")
     write_bundle(spark, {"Team Size Distribution": t.team_sizes()}, f"{base}/teams", "csv")
-    return export_history(spark, base)
+    done = export_history(spark, base)
+    return done.select("Filename", "Tables", "Rows", (F.col("Size (KB)") > 0).alias("sized"), F.col("Created At").isNotNull().alias("dated"))

@@ -13,18 +13,20 @@ from .clean import quoted
 
 
 def calendar_counts(
-    df: DataFrame, created: str = S.CREATED, bucket: str = "daily", name: str = "Submissions"
+    df: DataFrame, created: str = S.CREATED, bucket: str = "daily", name: str = "Submissions", weight: str | None = None
 ) -> DataFrame:
     """Rows per day, week or month with a running total (AGG-10, WIN-01).
 
     The running total is a window without partitions, over the aggregated series:
-    at most one row per calendar day, whatever the number of records.
+    at most one row per calendar day, whatever the number of records. ``weight`` is the
+    column with the number of records of a row, if ``df`` has been counted already.
     """
     if created not in df.columns:
         return S.empty(df.sparkSession, ("Date", T.DateType()), (name, T.LongType()), ("Cumulative", T.LongType()))
     moment = dates.as_timestamp(df, created)
-    days = df.select(dates.bucket_start(moment, bucket).alias("Date")).filter(F.col("Date").isNotNull())
-    series = days.groupBy("Date").agg(F.count(F.lit(1)).alias(name))
+    records = F.lit(1).cast("long") if weight is None else F.col(weight)
+    days = df.select(dates.bucket_start(moment, bucket).alias("Date"), records.alias("_records")).filter(F.col("Date").isNotNull())
+    series = days.groupBy("Date").agg(F.sum("_records").alias(name))
     running = Window.orderBy("Date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return series.withColumn("Cumulative", F.sum(name).over(running)).orderBy("Date")
 

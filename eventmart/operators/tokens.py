@@ -59,14 +59,16 @@ def distinct_lists(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(quoted(column).alias(column)).agg(F.count(F.lit(1)).alias("_weight"))
 
 
-def token_counts(df, column, separator=",", synonyms=None, name="Technology", weighted=True, **options) -> DataFrame:
+def token_counts(df, column, separator=",", synonyms=None, name="Technology", weighted=True, weight=None, **options) -> DataFrame:
     """Occurrences of each token over all records.
 
     Lists repeat, so each different one is split and normalised once and counts with its number of
-    records. Pass ``weighted=False`` for free text, where hardly a value repeats.
+    records. Pass ``weighted=False`` for free text, where hardly a value repeats, and ``weight``, the column
+    with the number of records, if ``df`` has been counted already.
     """
-    if weighted:
-        rows = explode_tokens(distinct_lists(df, column), column, separator, synonyms, keep={"_weight": F.col("_weight")}, **options)
+    if weighted or weight:
+        lists = df.withColumnRenamed(weight, "_weight") if weight else distinct_lists(df, column)
+        rows = explode_tokens(lists, column, separator, synonyms, keep={"_weight": F.col("_weight")}, **options)
         return rows.groupBy(F.col("token").alias(name)).agg(F.sum("_weight").alias("Count"))
     rows = explode_tokens(df, column, separator, synonyms, **options)
     return rows.groupBy(F.col("token").alias(name)).agg(F.count(F.lit(1)).alias("Count"))

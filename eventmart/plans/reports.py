@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 
 from .. import schemas as S
 from ..operators import distribution, samples, timeseries, tokens
 from ..operators.clean import quoted
+from ..operators.counted import COUNTED, WEIGHT, registrant_sets, submission_sets
 
 _SUBMISSION_FIELDS = [
     "total_submissions", "unique_hackathons", "unique_organizations", "date_start", "date_end",
@@ -18,40 +21,47 @@ _REGISTRANT_FIELDS = ["total_registrants", "most_popular_skill", "top_country"]
 class Tables:
     """The tables of the catalogue over one pair of record tables.
 
-    Holds frames and dictionaries only; every table is a lazy frame.
+    The records of a kind are counted once, when the first of its tables is asked for, and the counts are
+    written to the shared folder; every table is a lazy frame over these counts.
     """
 
     def __init__(self, submissions: DataFrame, registrants: DataFrame, technologies=None, skills=None):
         self.submissions, self.registrants = submissions, registrants
         self.technologies_map, self.skills_map = technologies, skills
 
+    @cached_property
+    def _subs(self):
+        return submission_sets(self.submissions)
+
+    @cached_property
+    def _people(self):
+        return registrant_sets(self.registrants)
+
     def technologies(self, limit=50):
-        return tokens.top_tokens(self.submissions, S.BUILT_WITH, ",", self.technologies_map, limit)
+        return tokens.top_tokens(self._subs["lists"], S.BUILT_WITH, ",", self.technologies_map, limit, weight=WEIGHT)
 
     def skills(self, limit=50):
-        return tokens.top_tokens(self.registrants, S.SKILLS, ";", self.skills_map, limit, "Skill")
+        return tokens.top_tokens(self._people[S.SKILLS], S.SKILLS, ";", self.skills_map, limit, "Skill", weight=WEIGHT)
 
     def by_event(self, limit=None):
-        counts = distribution.group_statistics(self.submissions)
+        counts = distribution.group_statistics(self._subs["events"], weight=COUNTED)
         return counts if limit is None else counts.limit(limit)
 
     def team_sizes(self):
-        return distribution.team_size_distribution(self.submissions)
+        return distribution.team_size_distribution(self._subs["teams"], weight=WEIGHT)
 
     def values(self, column, limit=None):
-        return distribution.value_distribution(self.registrants, column, limit=limit)
+        return distribution.value_distribution(self._people[column], column, limit=limit, weight=WEIGHT)
 
     def experience(self):
-        return distribution.binned_histogram(self.registrants)
+        return distribution.binned_histogram(self._people[S.EXPERIENCE], weight=WEIGHT)
 
     def trend(self, bucket="daily", limit=None):
-        series = timeseries.calendar_counts(self.submissions, bucket=bucket)
+        series = timeseries.calendar_counts(self._subs["days"], bucket=bucket, weight=WEIGHT)
         return series if limit is None else series.limit(limit)
 
     def summary(self, fields=None):
-        row = distribution.summary_statistics(
-            self.submissions, self.registrants, self.technologies_map, self.skills_map
-        )
+        row = distribution.summary_of(self._subs, self._people, self.technologies_map, self.skills_map)
         return distribution.summary_listing(row, fields)
 
 

@@ -97,3 +97,9 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder this library has written and nothing refers to any more."""
     system, place = _hadoop(spark, path)
     system.delete(place, True)
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Size of what a folder holds, from the file system's records."""
+    system, place = _hadoop(spark, path)
+    return int(system.getContentSummary(place).getLength())

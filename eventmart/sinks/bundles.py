@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import re
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql import types as T
 
 from ..functions import dates, numbers
+from ..session import folder_bytes, remove_folder
+from ..sources.store import read_parquet_if_any
 
 _MANIFEST = "table string, rows long, columns int, path string"
+#: Folder beside the bundles with one record per table written.
+LOG = "export_log"
+_LOGGED = T.StructType([
+    T.StructField("bundle", T.StringType()),
+    T.StructField("table", T.StringType()),
+    T.StructField("rows", T.LongType()),
+    T.StructField("columns", T.IntegerType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("bytes", T.LongType()),
+    T.StructField("written", T.TimestampNTZType()),
+])
 
 
 def _folder(name: str) -> str:
@@ -48,45 +61,45 @@ PARALLEL_TABLES = 4
 def write_bundle(spark: SparkSession, tables: dict[str, DataFrame | None], path: str, fmt: str = "parquet") -> DataFrame:
     """Write named tables below ``path``, leaving out empty ones; returns the manifest (SNK-03).
 
-    Each table is computed once: looking for its first row and writing it share the
-    same persisted blocks, which may spill to disk. A few tables run side by side,
-    because most of them are small aggregates that do not fill a cluster.
+    Each table is computed once, by the write that also counts its rows; the folder of a table without
+    rows is removed again. A few tables run side by side, because most of them are small
+    aggregates that do not fill a cluster. One record per table goes to the log beside the bundle.
     """
+    base, _, bundle = path.rstrip("/").rpartition("/")
+    started = datetime.now(UTC).replace(tzinfo=None)
+
     def write(item):
         name, df = item
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if kept.isEmpty():
-                return None
-            target = f"{path.rstrip('/')}/{_folder(name)}"
-            return name, _write(kept, target, fmt), len(df.columns), target
-        finally:
-            kept.unpersist()
+        target = f"{path.rstrip('/')}/{_folder(name)}"
+        rows = _write(df, target, fmt)
+        if not rows:
+            remove_folder(spark, target)
+            return None
+        return name, rows, len(df.columns), target, folder_bytes(spark, target)
 
     given = [(name, df) for name, df in tables.items() if df is not None]
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
         written = [row for row in pool.map(write, given) if row is not None]
-    return spark.createDataFrame(written, _MANIFEST)
+    logged = [(bundle, *row, started) for row in written] or [(bundle, None, 0, 0, path, 0, started)]
+    spark.createDataFrame(logged, _LOGGED).coalesce(1).write.mode("append").parquet(f"{base}/{LOG}")
+    return spark.createDataFrame([row[:4] for row in written], _MANIFEST)
 
 
 def export_history(spark: SparkSession, folder: str) -> DataFrame:
-    """Bundles below a folder: name, time, size in KB, newest first (SNK-08).
+    """Bundles written below a folder: name, time, size in KB, tables and rows, newest first (SNK-08).
 
-    Reads file names and sizes only, never content.
+    Comes from the log of the writes alone; no file is listed. A bundle written again shows its last state.
     """
-    base = unquote(folder.rstrip("/")).split(":", 1)[-1].lstrip("/")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("path", "length", "modificationTime")
-    )
-    name = F.regexp_extract(F.col("path"), "/" + re.escape(base) + "/([^/]+)", 1)
-    return (
-        files.groupBy(name.alias("Filename"))
-        .agg(
-            dates.stamp(F.max("modificationTime")).alias("Created At"),
-            numbers.round_half_even(F.sum("length") / 1024).alias("Size (KB)"),
-        )
-        .orderBy(F.desc("Created At"), "Filename")
+    log = read_parquet_if_any(spark, f"{folder.rstrip('/')}/{LOG}", _LOGGED)
+    log = spark.createDataFrame([], _LOGGED) if log is None else log
+    runs = log.groupBy("bundle", "written").agg(
+        F.sum("bytes").alias("bytes"), F.count("table").alias("tables"), F.sum("rows").alias("rows")
     )
+    last = runs.groupBy("bundle").agg(F.max(F.struct("written", "bytes", "tables", "rows")).alias("run"))
+    return last.select(
+        F.col("bundle").alias("Filename"),
+        dates.stamp(F.col("run.written")).alias("Created At"),
+        numbers.round_half_even(F.col("run.bytes") / 1024).alias("Size (KB)"),
+        F.col("run.tables").alias("Tables"),
+        F.col("run.rows").alias("Rows"),
+    ).orderBy(F.desc("Created At"), "Filename")

@@ -274,7 +274,16 @@ def test_bundles(spark, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "out" / "b1" / "my_table"))
     assert back.count() == 10 and back.first().names == "a, b"
     history = bundles.export_history(spark, str(tmp_path / "out")).first()
-    assert history.Filename == "b1" and history["Size (KB)"] > 0
+    assert (history.Filename, history.Tables, history.Rows) == ("b1", 1, 10) and history["Size (KB)"] > 0
+    assert not (tmp_path / "out" / "b1" / "empty").exists()
+    # what turns out empty while it runs, a table written again, a bundle without tables
+    late = full.groupBy("id").agg(F.sum("id").alias("n")).filter("n < 0")
+    again = bundles.write_bundle(spark, {"My Table": full.limit(3), "Late": late}, str(tmp_path / "out" / "b1"))
+    assert [(r.table, r.rows) for r in again.collect()] == [("My Table", 3)]
+    bundles.write_bundle(spark, {"Late": late}, str(tmp_path / "out" / "b2"))
+    found = {r.Filename: (r.Tables, r.Rows) for r in bundles.export_history(spark, str(tmp_path / "out")).collect()}
+    assert found == {"b1": (1, 3), "b2": (0, 0)}
+    assert bundles.export_history(spark, str(tmp_path / "none")).count() == 0
     assert bundles.raw_export(full, str(tmp_path / "raw"), "parquet") == {"rows": 10, "columns": 2}
     with pytest.raises(ValueError):
         bundles.raw_export(full, str(tmp_path / "raw"), "xlsx")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventmart import schemas as S
 from eventmart.operators import (
-    clean, dedup, distribution, entities, filters, ledger, organizers, ranking, reconcile, samples, timeseries, tokens,
+    clean, counted, dedup, distribution, entities, filters, ledger, organizers, ranking, reconcile, samples, timeseries, tokens,
 )
 from eventmart.sources import lists, text_exports
 from eventmart.sources.event_list import normalise_events
@@ -369,3 +369,22 @@ def test_against_plain_pandas_counting(spark):
     counted = pd.Series([v for v in values if v]).str.lower().str.split(",").explode().str.strip().str.strip("()").value_counts()
     got = {r.Technology: r.Count for r in tokens.token_counts(texts(spark, S.BUILT_WITH, values), S.BUILT_WITH).collect()}
     assert got == counted.to_dict()
+
+
+def test_counted_sets(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "x", None), ("a", None, 3), (None, None, 4)], "k string, v string, c int")
+    sets = counted.counted_sets(df, {"both": ["k", "v"], "v": ["v"], "gone": ["z"], "again": ["v", "z"]}, "c")
+    order = lambda name: sorted((tuple(r) for r in sets[name].collect()), key=str)
+    assert order("both") == sorted([("a", "x", 2, 1), ("a", None, 1, 1), (None, None, 1, 1)], key=str)
+    assert order("v") == order("again") == sorted([("x", 2, 1), (None, 2, 2)], key=str)
+    assert order("gone") == [(4, 3)]
+    for empty in counted.counted_sets(df.limit(0), {"v": ["v"], "gone": ["z"]}).values():
+        assert empty.agg(F.coalesce(F.sum(counted.WEIGHT), F.lit(0))).first()[0] == 0
+
+
+def test_summary_of_tables_without_columns(spark):
+    bare = spark.range(3).select(F.col("id").alias("other"))
+    row = distribution.summary_statistics(bare, bare.limit(2)).first()
+    assert (row.total_submissions, row.total_registrants, row.unique_hackathons, row.date_start, row.avg_team_size) == (3, 2, 0, None, 0.0)
+    empty = distribution.summary_statistics(bare.limit(0), bare.limit(0)).first()
+    assert (empty.total_submissions, empty.total_registrants, empty.most_popular_skill) == (0, 0, None)

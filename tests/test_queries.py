@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 # These write whole tables; the ingest tests cover the same paths on small files.
 SLOW = {
-    "ingest_folder", "ingest_mixed", "ingest_report", "ingest_zip", "ingest_stream", "file_manifest", "export_manifest", "report_combined",
+    "ingest_folder", "ingest_mixed", "ingest_report", "ingest_zip", "ingest_stream", "file_manifest", "export_manifest", "report_combined", "report_combined_cells",
     "report_submission", "report_registrant", "report_preview", "dashboard_tables", "sample_bundles", "sample_export_all",
 }
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
