@@ -6,7 +6,7 @@ from adapters import nation_events, registrants, submissions
 from eventmart import schemas as S
 from eventmart.operators import entities, reconcile, samples
 from eventmart.plans import reports
-from eventmart.session import run_dir
+from eventmart.session import materialise, run_dir
 from eventmart.sinks.bundles import export_history, write_bundle
 from pyspark.sql import functions as F
 
@@ -160,11 +160,13 @@ def organizer_bundle(spark, sf_dir):
 def sample_bundles(spark, sf_dir):
     subs = submissions(spark, sf_dir, S.ORG, S.TITLE, S.PROJECT, S.URL, S.CREATED)
     entries = short_entries(spark, sf_dir)
-    drawn = samples.sample_events(entries, subs, 30, 7)
-    batch = reports.batch_bundle(drawn, samples.batch_summary(entries, dimension(spark, sf_dir), 30))
+    # all four look events up in it: counted once
+    events = materialise(dimension(spark, sf_dir))
+    drawn = samples.sample_events(entries, subs, 30, 7, dimension=events)
+    batch = reports.batch_bundle(drawn, samples.batch_summary(entries, events, 30))
     one = spark.range(1).select(F.col("id").alias("idx"), F.lit("https://nation-6.devpost.com/x").alias("url"))
-    figures = entities.lookup(one.select(F.col("url").alias("identifier")), dimension(spark, sf_dir))
-    single = reports.sample_bundle(samples.sample_events(one, subs, 30, 7), figures, 30, 7)
+    figures = entities.lookup(one.select(F.col("url").alias("identifier")), events)
+    single = reports.sample_bundle(samples.sample_events(one, subs, 30, 7, dimension=events), figures, 30, 7)
     return listing(spark, batch | single, "samples")
 
 

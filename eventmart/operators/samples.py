@@ -36,12 +36,17 @@ def ticket(seed: Column, key: Column) -> Column:
 def smallest_n(df: DataFrame, group: list[str], by: str, n: int) -> DataFrame:
     """Exactly the ``n`` rows with the smallest ticket per group, or all if there are fewer.
 
-    Tickets are counted per hash range, whole ranges are kept up to the one that
-    crosses ``n``, and only inside a range are rows ranked, so no task ranks a hot group.
+    Up to the bound for which Spark cuts the rows of each task to ``n`` a group before it shuffles them,
+    ``df`` is read once and ranked. Beyond it tickets are counted per hash range, whole ranges are kept up
+    to the one that crosses ``n``, and only inside a range are rows ranked. Either way no task ranks a hot group.
     """
     if n <= 0:
         return df.limit(0)
     keys = [quoted(g) for g in group]
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        known = df.dropna(subset=[*group, by])
+        ranked = known.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
+        return ranked.filter(F.col("_place") <= n).drop("_place")
     ranged = df.withColumn("_range", F.conv(F.substring(by, 1, 4), 16, 10).cast("int"))
     counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,6 +67,7 @@ def sample_events(
     key: str | None = None,
     order: list[str] | None = None,
     host: str = HOST,
+    dimension: DataFrame | None = None,
 ) -> DataFrame:
     """Sampled submissions of every list entry in one job (SMP-01..03).
 
@@ -69,11 +75,13 @@ def sample_events(
     seed one is drawn here, so the returned frame still shows one fixed sample. The
     matched events are written to the checkpoint folder and their size is checked:
     a short list is broadcast and the submissions are filtered where they are read.
+    Pass a written ``dimension`` (see :func:`entities.event_dimension`) of the same submissions if there is one.
     """
     key = key or (S.DEDUP_KEY if S.DEDUP_KEY in submissions.columns else S.URL)
     seed = random.randrange(2**31) if seed is None else seed
     asked = entries.withColumn("identifier", strip(F.col("url"))).filter(F.col("identifier") != "")
-    dimension = materialise(entities.event_dimension(submissions, order=order, host=host))
+    if dimension is None:
+        dimension = materialise(entities.event_dimension(submissions, order=order, host=host))
     matches = materialise(entities.match_events(asked.select("identifier"), dimension, host))
     figures = entities.lookup(asked.select("identifier"), dimension, matches, host)
     picked = asked.select("idx", "identifier").join(

@@ -312,6 +312,22 @@ def test_smallest_tickets_are_drawn(spark):
     assert {r.t for r in few.collect() if r.g == 0} == set(sorted(t for g, t in expected if g == 0)[:3])
 
 
+def test_few_tickets_are_cut_before_the_shuffle(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.md5(F.col("id").cast("string").cast("binary")).alias("t"))
+    few = samples.smallest_n(df.unionByName(spark.createDataFrame([(None, "0"), (1, None)], "g long, t string")), ["g"], "t", 3)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Range (0, 3000") == 1
+    assert len(rows(few)) == 6 and not {r for r in rows(few) if None in r}
+
+
+def test_sample_uses_the_dimension_it_is_given(spark, monkeypatch):
+    subs, listed = submissions(spark), entries(spark, ["alpha", "beta"])
+    dimension = entities.event_dimension(subs)
+    expected = sorted(map(str, rows(samples.sample_events(listed, subs, 3, 1))))
+    monkeypatch.setattr(entities, "event_dimension", None)
+    assert sorted(map(str, rows(samples.sample_events(listed, subs, 3, 1, dimension=dimension)))) == expected
+
+
 def test_sample_metadata_takes_first_entry(spark):
     meta = spark.createDataFrame(
         [(0, "https://Alpha.devpost.com", "X"), (1, "https://Alpha.devpost.com", "Y")], f"idx int, `{S.SRC_URL}` string, `Organization Type` string"
