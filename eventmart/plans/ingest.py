@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators import clean, ledger
 from ..operators.dedup import keep_first
-from ..session import materialise, remove_folder, run_dir
-from ..sinks.store import merge_records
+from ..session import materialise, run_dir
+from ..sinks.store import merge_staged, stage_records
 from ..sources import files as opened
 from ..sources import text_exports
 from ..sources.archives import unpack_archives
@@ -158,7 +158,7 @@ def _write_batch(spark, files, store, seq, max_experience) -> list[tuple]:
     A file with records wider than its header is refused as a whole, so no cell is lost.
     """
     errors: dict[str, str] = {}
-    staged: list[tuple[str, str]] = []
+    staged: list[tuple[str, str, DataFrame]] = []
 
     def stage(group):
         frames = defaultdict(list)
@@ -166,17 +166,15 @@ def _write_batch(spark, files, store, seq, max_experience) -> list[tuple]:
             frames[layout[0]].append(_cleaned(spark, layout, some, seq, max_experience))
         written = []
         for kind, parts in frames.items():
-            path = run_dir(spark, f"staged-{kind}")
-            reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).write.parquet(path)
-            written.append((kind, path))
+            frame = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            written.append((kind, *stage_records(frame, store, kind)))
         staged.extend(written)
 
     # files of one layout stay together, so that halves are read in few jobs
     _each_apart(spark, sorted(files, key=lambda f: (f.file_type, f.names, f.path)), stage, errors)
     by_hash = {f.file_hash: f for f in files}
     counts: dict[str, int] = {}
-    for kind, path in staged:
-        rows = spark.read.parquet(path)
+    for kind, path, rows in staged:
         skipped = []
         # one row per file of the round
         for seen in text_exports.file_figures(rows, S.FILE_HASH).collect():
@@ -187,21 +185,20 @@ def _write_batch(spark, files, store, seq, max_experience) -> list[tuple]:
                 skipped.append((file.file_hash, None, None))
             elif file.header_rows > 1:
                 skipped.append((file.file_hash, *seen["first"]))
-        merge_records(_left(spark, rows, skipped).drop(text_exports.CELLS), store, kind, staged=True)
-        remove_folder(spark, path)
+        merge_staged(path, rows, store, kind, _refused(spark, skipped), (text_exports.CELLS,))
     return [(h, None if h in errors else counts.get(h, 0), errors.get(h)) for h in by_hash]
 
 
-def _left(spark, rows: DataFrame, skipped: list[tuple]) -> DataFrame:
-    """``rows`` without the files and single records (file, block, row) of ``skipped``."""
+def _refused(spark, skipped: list[tuple]):
+    """A function that picks the files and single records (file, block, row) of ``skipped``; None without any."""
     if not skipped:
-        return rows
+        return None
     # at most FILES_PER_ROUND rows
-    out = F.broadcast(spark.createDataFrame(skipped, "_skipped string, _at long, _no long"))
+    out = F.broadcast(spark.createDataFrame(skipped, "_skipped string, _from long, _no long"))
     same = (F.col("_skipped") == F.col(S.FILE_HASH)) & (
-        F.col("_at").isNull() | ((F.col("_at") == F.col(S.BLOCK)) & (F.col("_no") == F.col(S.ROW_NO)))
+        F.col("_from").isNull() | ((F.col("_from") == F.col(S.BLOCK)) & (F.col("_no") == F.col(S.ROW_NO)))
     )
-    return rows.join(out, same, "left_anti")
+    return lambda rows: rows.join(out, same, "left_semi")
 
 
 def _cleaned(spark, layout, files, seq, max_experience) -> DataFrame:

@@ -12,6 +12,10 @@ columns. One writer at a time: two at once could both add the same new identity,
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +23,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..operators.clean import quoted
 from ..operators.dedup import deduplicate_store
-from ..session import broadcast_if_small, child_names, materialise, remove_folder
+from ..session import broadcast_if_small, child_names, materialise, move_files, remove_folder
 from ..sources import store as source
 
 # Folders of a new table; a table keeps the number it was made with until it is compacted with another.
@@ -41,8 +45,8 @@ def write_parts(df: DataFrame, root: str, kind: str) -> None:
 
 
 def _bucket(buckets: int) -> Column:
-    number = F.pmod(F.xxhash64(S.DEDUP_KEY), F.lit(buckets)).cast("int")
-    return F.format_string(f"%05d-of-{buckets:05d}", number).alias(S.BUCKET)
+    number = F.pmod(F.xxhash64(S.DEDUP_KEY), F.lit(buckets)).cast("string")
+    return F.concat(F.repeat(F.lit("0"), 5 - F.length(number)), number, F.lit(f"-of-{buckets:05d}")).alias(S.BUCKET)
 
 
 def _buckets(spark: SparkSession, path: str, otherwise: int = BUCKETS) -> int:
@@ -50,20 +54,26 @@ def _buckets(spark: SparkSession, path: str, otherwise: int = BUCKETS) -> int:
     return int(names[0].rsplit("-", 1)[1]) if names else otherwise
 
 
-def _with_schema(spark: SparkSession, root: str, kind: str, df: DataFrame) -> DataFrame:
-    """``df`` under the table's column names; columns new to the table are added to its schema."""
+def _named(spark: SparkSession, root: str, kind: str, df: DataFrame) -> DataFrame:
+    """``df`` under the table's column names."""
     known = source.current_schema(spark, root, kind)
     names = {f.name.lower(): f for f in (known.fields if known else [])}
     for f in df.schema.fields:
         have = names.get(f.name.lower())
         if have is not None and have.dataType != f.dataType:
             raise ValueError(f"{kind}: column {f.name} is {f.dataType.simpleString()}, the store has {have.dataType.simpleString()}")
-    df = df.select(*[quoted(c).alias(names[c.lower()].name if c.lower() in names else c) for c in df.columns])
-    new = [f for f in df.schema.fields if f.name.lower() not in names]
+    return df.select(*[quoted(c).alias(names[c.lower()].name if c.lower() in names else c) for c in df.columns])
+
+
+def _add_columns(spark: SparkSession, root: str, kind: str, df: DataFrame) -> None:
+    """Add the columns of ``df`` that are new to the table to its schema."""
+    known = source.current_schema(spark, root, kind)
+    fields = known.fields if known else []
+    names = {f.name.lower() for f in fields}
+    new = [f for f in _named(spark, root, kind, df).schema.fields if f.name.lower() not in names]
     if new:
-        fields = [T.StructField(f.name, f.dataType, True) for f in [*names.values(), *new]]
+        fields = [T.StructField(f.name, f.dataType, True) for f in [*fields, *new]]
         source.write_schema(spark, root, kind, T.StructType(fields))
-    return df
 
 
 def merge_records(df: DataFrame, root: str, kind: str, staged: bool = False, buckets: int = BUCKETS) -> None:
@@ -72,37 +82,120 @@ def merge_records(df: DataFrame, root: str, kind: str, staged: bool = False, buc
     Of the table only the identities are read. Records written by a run that broke off are found again
     and not added twice. A new table gets ``buckets`` folders.
 
-    A ``staged`` frame is cheap to read again and has a place of its own for each record (the columns
-    of arrival). Then only identities and places are shuffled and only the folders they fall into
-    are looked at; the records themselves are filtered by the places to leave out, which are few where
-    most records are new. Otherwise records are reduced by identity in each task and shuffled once.
+    Records are reduced by identity in each task and shuffled once. A ``staged`` frame, of which most records are new, is
+    written in the layout of the table first and merged from there (see :func:`merge_staged`).
     """
     spark = df.sparkSession
+    if staged:
+        written, rows = stage_records(df, root, kind, buckets)
+        return merge_staged(written, rows, root, kind)
     path = source.current_path(spark, root, kind)
     buckets = _buckets(spark, path, buckets) if path else buckets
-    df = _with_schema(spark, root, kind, df)
-    same = F.col(S.DEDUP_KEY).eqNullSafe(F.col("_stored"))
-    stored = None
+    df = _named(spark, root, kind, df)
+    _add_columns(spark, root, kind, df)
+    fresh = deduplicate_store(df)
     if path:
-        stored = spark.read.schema(f"{S.DEDUP_KEY} string, {S.BUCKET} string").parquet(path)
-        if staged:
-            # at most one row per folder
-            touched = [r[0] for r in df.select(_bucket(buckets)).distinct().collect()]
-            stored = stored.filter(F.col(S.BUCKET).isin(touched))
-        stored = stored.select(F.col(S.DEDUP_KEY).alias("_stored"))
-    if staged:
-        places = df.select(S.DEDUP_KEY, F.struct(*S.ARRIVAL).alias("_place"))
-        firsts = places.groupBy(S.DEDUP_KEY).agg(F.min("_place").alias("_first"))
-        firsts = firsts if stored is None else firsts.join(stored, same, "left_anti")
-        firsts = firsts.withColumnRenamed(S.DEDUP_KEY, "_stored")
-        # no place comes before the first of its identity
-        left_out = places.join(firsts, same & (F.col("_place") <= F.col("_first")), "left_anti").select("_place.*")
-        fresh = df.join(broadcast_if_small(materialise(left_out)), S.ARRIVAL, "left_anti")
-    else:
-        fresh = deduplicate_store(df)
-        fresh = fresh if stored is None else fresh.join(stored, same, "left_anti")
+        stored = spark.read.schema(f"{S.DEDUP_KEY} string").parquet(path).select(F.col(S.DEDUP_KEY).alias("_stored"))
+        fresh = fresh.join(stored, F.col(S.DEDUP_KEY).eqNullSafe(F.col("_stored")), "left_anti")
+    _write(fresh.withColumn(S.BUCKET, _bucket(buckets)), path or source.generation_path(root, kind, 1), buckets)
+
+
+def stage_records(df: DataFrame, root: str, kind: str, buckets: int = BUCKETS) -> tuple[str, DataFrame]:
+    """Write records beside the current table, in folders like its own; returns the path and what can be read there."""
+    spark = df.sparkSession
+    path = source.current_path(spark, root, kind)
+    buckets = _buckets(spark, path, buckets) if path else buckets
+    staged = source.staging_path(root, kind)
+    df = _named(spark, root, kind, df).withColumn(S.BUCKET, _bucket(buckets))
+    _write(df, staged, buckets)
+    return staged, spark.read.schema(df.schema).parquet(staged)
+
+
+# Folders up to which a task keeps a file open in each; with more its records are sorted first.
+OPEN_FILES = 32
+
+
+def _write(df: DataFrame, path: str, buckets: int) -> None:
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, buckets if buckets <= OPEN_FILES else 0)
+    try:
+        df.write.mode("append").option("compression", "zstd").partitionBy(S.BUCKET).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
+def merge_staged(
+    staged: str, rows: DataFrame, root: str, kind: str, refused: Callable[[DataFrame], DataFrame] | None = None, leave: tuple = ()
+) -> None:
+    """Add staged records to the current table, without those that ``refused`` picks and the columns ``leave``.
+
+    Files of which every record is new become files of the table by being moved, so their records
+    are written once. Only hashes of identities are shuffled to find repetitions, and identities and places where a hash
+    repeats; files with records to leave out are written again without them.
+    """
+    spark = rows.sparkSession
+    path = source.current_path(spark, root, kind)
     target = path or source.generation_path(root, kind, 1)
-    fresh.withColumn(S.BUCKET, _bucket(buckets)).write.mode("append").partitionBy(S.BUCKET).parquet(target)
+    _add_columns(spark, root, kind, rows.drop(S.BUCKET, *leave))
+    out = _left_out(rows, path, refused)
+    # at most one row per staged file
+    touched = {f"{S.BUCKET}={r[0]}/{unquote(r[1])}" for r in out.select(S.BUCKET, "_file").distinct().collect()}
+    if path is None:
+        remove_folder(spark, target)  # what a run that broke off has left
+    if touched:
+        names = [f"{staged}/{name}" for name in sorted(touched)]
+        some = spark.read.schema(rows.schema).option("basePath", staged).parquet(*[re.sub(r"([\\*?\[\]{}])", r"\\\1", n) for n in names])
+        kept = _located(some).join(broadcast_if_small(out), [S.BUCKET, *PLACE], "left_anti")
+        _write(kept.drop(*PLACE, *leave), target, _buckets(spark, staged))
+    folders = [n for n in child_names(spark, staged) if n.startswith(f"{S.BUCKET}=")]
+    files = [f"{folder}/{name}" for folder in folders for name in child_names(spark, f"{staged}/{folder}") if name.endswith(".parquet")]
+    move_files(spark, [f for f in files if f not in touched], staged, target)
+    remove_folder(spark, staged)
+
+
+# The place of a staged record in its folder.
+PLACE = ["_file", "_at"]
+
+
+def _located(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")})
+
+
+def _left_out(rows: DataFrame, path: str | None, refused) -> DataFrame:
+    """(folder, file, row) of staged records that are refused or have an identity that is stored or came before."""
+    spark = rows.sparkSession
+    located = _located(rows)
+    where = [S.BUCKET, *PLACE]
+    bad = None
+    if refused is not None:
+        bad = materialise(refused(located).select(*where))
+        located = located.join(broadcast_if_small(bad), where, "left_anti")
+    order = [c for c in S.ARRIVAL if c in rows.columns] or [c for c in rows.columns if c not in (S.DEDUP_KEY, S.BUCKET)]
+    own = located.select(S.DEDUP_KEY, F.struct(*[quoted(c) for c in order], *PLACE).alias("_place"), *where)
+    number = F.xxhash64(S.DEDUP_KEY).alias("_number")
+    hashes = own.select(number, F.lit(1).alias("new"))
+    stored = None
+    if path:
+        # at most one row per folder
+        folders = [r[0] for r in rows.select(S.BUCKET).distinct().collect()]
+        stored = spark.read.schema(f"{S.DEDUP_KEY} string, {S.BUCKET} string").parquet(path).filter(F.col(S.BUCKET).isin(folders))
+        hashes = hashes.unionByName(stored.select(number, F.lit(0).alias("new")))
+    seen = hashes.groupBy("_number").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).filter("n > 1 and new = 1")
+    doubtful = broadcast_if_small(materialise(seen.select("_number")))
+    own = own.withColumn("_number", number).join(doubtful, "_number", "left_semi")
+    every = own.select("_number", S.DEDUP_KEY, "_place")
+    if stored is not None:
+        held = stored.select(number, S.DEDUP_KEY).join(doubtful, "_number", "left_semi")
+        none = F.lit(None).cast(own.schema["_place"].dataType)
+        every = every.unionByName(held.select("_number", S.DEDUP_KEY, none.alias("_place")))
+    # a stored identity has no first place among the new ones
+    firsts = every.groupBy("_number", S.DEDUP_KEY).agg(
+        F.min("_place").alias("_first"), F.max(F.col("_place").isNull()).alias("_held")
+    ).withColumnsRenamed({S.DEDUP_KEY: "_stored", "_number": "_same"})
+    same = (F.col("_number") == F.col("_same")) & F.col(S.DEDUP_KEY).eqNullSafe(F.col("_stored"))
+    later = own.join(firsts, same).filter(F.col("_held") | (F.col("_place") > F.col("_first"))).select(*where)
+    return materialise(later if bad is None else later.unionByName(bad))
 
 
 def compact(spark: SparkSession, root: str, kind: str, buckets: int | None = None) -> None:

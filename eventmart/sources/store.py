@@ -6,6 +6,7 @@ once, and there may be parts of an older layout and a legacy file, which are ded
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from functools import reduce
 from urllib.parse import unquote
@@ -104,6 +105,11 @@ def generation_path(root: str, kind: str, number: int) -> str:
     return f"{_current(root, kind)}/generation-{number:06d}"
 
 
+def staging_path(root: str, kind: str) -> str:
+    """A new place for records that are to be merged; readers do not look at it."""
+    return f"{_current(root, kind)}/staged-{uuid.uuid4().hex[:12]}"
+
+
 def generation(path: str) -> int:
     return int(path.rsplit("-", 1)[1])
 

@@ -357,6 +357,26 @@ def test_current_table_keeps_the_first_of_each_identity(spark, tmp_path):
         sink.merge_records(first.withColumn("v", F.lit(1)), root, "submission")
 
 
+def below(path):
+    return {f"{f.parent.name}/{f.name}" for f in path.rglob("*.parquet")}
+
+
+def test_new_records_are_written_once(spark, tmp_path):
+    root, current = str(tmp_path / "s"), tmp_path / "s" / "submissions" / "current" / "generation-000001"
+    staged, rows = sink.stage_records(records(spark, 1, [(k, "1") for k in "abcdefgh"]).coalesce(1), root, "submission")
+    first = {f"{r[0]}/{r[1]}" for r in sink._located(rows).select(F.concat(F.lit(f"{S.BUCKET}="), S.BUCKET), "_file").distinct().collect()}
+    sink.merge_staged(staged, rows, root, "submission")
+    assert len(first) > 1 and below(current) == first
+    # one stored already, one twice, one refused
+    more = records(spark, 2, [("a", "2"), ("x", "1"), ("x", "2"), ("no", "1"), *((f"n{k}", "1") for k in range(30))], "g")
+    staged, rows = sink.stage_records(more.withColumn("_cells", F.lit(9)).coalesce(1), root, "submission")
+    sink.merge_staged(staged, rows, root, "submission", lambda r: r.filter(f"{S.DEDUP_KEY} = 'no'"), ("_cells",))
+    want = [*((k, "1") for k in "abcdefgh"), *((f"n{k}", "1") for k in range(30)), ("x", "1")]
+    assert stored(spark, root) == sorted(want)
+    assert below(current) > first and not list(current.parent.glob("staged-*"))
+    assert "_cells" not in store.read_store(spark, root, "submission").columns
+
+
 def test_generation_that_broke_off_does_not_count(spark, tmp_path):
     root = str(tmp_path / "s")
     sink.merge_records(records(spark, 1, [("a", "1")]), root, "submission")
