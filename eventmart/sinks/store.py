@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..operators.clean import quoted
-from ..operators.dedup import deduplicate_store
+from ..operators.dedup import deduplicate_store, keep_first
 from ..session import broadcast_if_small, child_names, materialise, move_files, remove_folder
 from ..sources import store as source
 
@@ -93,10 +93,17 @@ def merge_records(df: DataFrame, root: str, kind: str, staged: bool = False, buc
     buckets = _buckets(spark, path, buckets) if path else buckets
     df = _named(spark, root, kind, df)
     _add_columns(spark, root, kind, df)
-    fresh = deduplicate_store(df)
+    # identities often begin alike, so they are sorted by a hash first, in the aggregate and in the join
+    order = [c for c in S.ARRIVAL if c in df.columns] or [c for c in df.columns if c != S.DEDUP_KEY]
+    fresh = keep_first(df.withColumn("_hash", F.xxhash64(S.DEDUP_KEY)), ["_hash", S.DEDUP_KEY], order)
     if path:
         stored = spark.read.schema(f"{S.DEDUP_KEY} string").parquet(path).select(F.col(S.DEDUP_KEY).alias("_stored"))
-        fresh = fresh.join(stored, F.col(S.DEDUP_KEY).eqNullSafe(F.col("_stored")), "left_anti")
+        stored = stored.withColumn("_number", F.xxhash64("_stored"))
+        # plain equality, so that the records stay where the aggregate has put them; NULL is looked up apart
+        if not stored.filter(F.col("_stored").isNull()).isEmpty():
+            fresh = fresh.filter(F.col(S.DEDUP_KEY).isNotNull())
+        fresh = fresh.join(stored, (F.col("_hash") == F.col("_number")) & (F.col(S.DEDUP_KEY) == F.col("_stored")), "left_anti")
+    fresh = fresh.drop("_hash")
     _write(fresh.withColumn(S.BUCKET, _bucket(buckets)), path or source.generation_path(root, kind, 1), buckets)
 
 

@@ -377,6 +377,20 @@ def test_new_records_are_written_once(spark, tmp_path):
     assert "_cells" not in store.read_store(spark, root, "submission").columns
 
 
+def test_new_identities_are_shuffled_once(spark, tmp_path, monkeypatch):
+    root, plans = str(tmp_path / "s"), []
+    sink.merge_records(records(spark, 1, [("a", "1")]), root, "submission")
+    monkeypatch.setattr(sink, "_write", lambda df, *_: plans.append(df._jdf.queryExecution().executedPlan().toString()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sink.merge_records(records(spark, 2, [("a", "2"), ("b", "2")]), root, "submission")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the records once and the stored identities once, sorted by hash and not by text that begins alike
+    assert plans[0].count("Exchange hashpartitioning") == 2 and "Sort [_hash" in plans[0]
+
+
 def test_generation_that_broke_off_does_not_count(spark, tmp_path):
     root = str(tmp_path / "s")
     sink.merge_records(records(spark, 1, [("a", "1")]), root, "submission")
