@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, spread, text_of
+from .common import id_crc, released, spread, text_of
 from .encoding import forget
 
 DIMENSIONS = 2048
@@ -145,7 +145,7 @@ def learn(docs: DataFrame, folds: int = 5, per_language: int = SAMPLE_PER_LANGUA
             )
 
     chosen = train.filter(keep).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sample = chosen.mapInArrow(rows, "lang string, x binary").collect()
+    sample = chosen.mapInArrow(released(rows), "lang string, x binary").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     names = sorted({r["lang"] for r in sample})
     if not names:
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 
-    return spread(docs).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return spread(docs).mapInArrow(released(rows), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
@@ -189,4 +189,4 @@ def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
                     keep[i] = bool(s >= least)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.mapInArrow(released(good), docs.schema)

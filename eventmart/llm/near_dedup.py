@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import forest, free_names, partitions, quoted, saved, spread, text_of, word_hashes
+from .common import forest, free_names, partitions, quoted, release, released, saved, spread, text_of, word_hashes
 from .components import components
 from .encoding import forget
 
@@ -117,7 +117,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "class", "bands", "odd"],
             )
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, class binary, bands array<long>, odd binary")
+    return docs.mapInArrow(released(rows), "doc_id long, n_shingles long, class binary, bands array<long>, odd binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return (
         rows.repartition(partitions(docs.sparkSession), "a", "chunk")
         .sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-        .mapInArrow(linked, "a long, b long")
+        .mapInArrow(released(linked), "a long, b long")
     )
 
 
@@ -207,6 +207,8 @@ def _in_cells(near):
         p, q = np.nonzero(near(table)(left, right)) if len(left) and len(right) else (np.zeros(0, int),) * 2
         label = forest(left[p], right[q], len(node))
         moved = np.flatnonzero(label != np.arange(len(node)))
+        if table.nbytes > 1 << 20:
+            release()
         return pa.table({"a": node[moved], "b": node[label[moved]]})
 
     return forest_of

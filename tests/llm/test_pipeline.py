@@ -64,3 +64,18 @@ def test_run_and_empty_tables(spark, tmp_path):
     sf_dir = stored(spark, tmp_path, spark.createDataFrame([], DOCS))
     assert entry.queries()["pipeline"](spark, sf_dir).count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
+    from eventmart.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    each = common.released(lambda batches: (b + 1 for b in batches))
+    assert list(each([1, 2])) == [2, 3] and calls == [1]
+    broken = common.released(lambda batches: (1 // b for b in batches))
+    try:
+        list(broken([1, 0]))
+    except ZeroDivisionError:
+        calls.append(2)
+    assert calls == [1, 1, 2]
