@@ -17,6 +17,8 @@ LEAST_SCORE = 0.3
 CAPACITY = 2048
 #: Words a worker remembers while it encodes; the stages before have filled the executors' heaps.
 REMEMBER = 250_000
+#: Text a worker holds as words and ids at a time, for the same reason.
+STRETCH = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document in sequences of at most CAPACITY."""
-    parts = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY, REMEMBER)
-    return packing.pack(parts, CAPACITY)
+    parts = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY, REMEMBER, STRETCH)
+    return packing.pack(parts, CAPACITY, free=True)
 
 
 STAGES = [

@@ -23,16 +23,17 @@ _BARE, _WHOLE = "\0", "\1"
 KNOWN_WORDS, KNOWN_CHARS = 400_000, 6_000_000
 #: Characters of the texts whose words are numbered together, unless one text is longer.
 STRETCH = 8_000_000
-TOGETHER = 50
+#: Words encoded together, and such groups given to the tokenizer at a time: its encodings take many times the memory of their ids.
+TOGETHER, GROUPS = 50, 100
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, remember: int = KNOWN_WORDS) -> Encoder:
+def encoder(path: str, remember: int = KNOWN_WORDS, stretch: int = STRETCH) -> Encoder:
     """The encoder of this worker process, which remembers so many words between tasks."""
-    if path not in _ENCODERS or _ENCODERS[path].remember != remember:
+    if path not in _ENCODERS or (_ENCODERS[path].remember, _ENCODERS[path].stretch) != (remember, stretch):
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path, remember)
+        _ENCODERS[path] = Encoder(path, remember, stretch)
     return _ENCODERS[path]
 
 
@@ -44,8 +45,8 @@ def forget() -> None:
 class Encoder:
     """Encodes texts; the memory of what it remembers is bounded."""
 
-    def __init__(self, path: str, remember: int = KNOWN_WORDS):
-        self.remember = remember
+    def __init__(self, path: str, remember: int = KNOWN_WORDS, stretch: int = STRETCH):
+        self.remember, self.stretch = remember, stretch
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,7 +70,7 @@ class Encoder:
         for text in texts:
             stretch.append(text)
             size += len(text)
-            if size > STRETCH:
+            if size > self.stretch:
                 out += self._some(stretch)
                 stretch, size = [], 0
         return out + self._some(stretch) if stretch else out
@@ -134,16 +135,18 @@ class Encoder:
         sep = self._separator
         joined = [sep.join(shown[at : at + TOGETHER]) + sep for at in range(0, len(shown), TOGETHER)]
         mark = int.from_bytes(self._mark, "little")
-        for at, got in enumerate(self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            group = plain[at * TOGETHER : (at + 1) * TOGETHER]
-            ids = np.array(got.ids, "<u4")
-            ends = np.flatnonzero(ids == mark).tolist()
-            if len(ends) != len(group):
-                raise ValueError("the separator was not kept apart")
-            data, start = ids.tobytes(), 0
-            for word, end in zip(group, ends):
-                out[word] = data[4 * start : 4 * end]
-                start = end + 1
+        for first in range(0, len(joined), GROUPS):
+            some = self._tokenizer.encode_batch_fast(joined[first : first + GROUPS], add_special_tokens=False)
+            for at, got in enumerate(some, first):
+                group = plain[at * TOGETHER : (at + 1) * TOGETHER]
+                ids = np.array(got.ids, "<u4")
+                ends = np.flatnonzero(ids == mark).tolist()
+                if len(ends) != len(group):
+                    raise ValueError("the separator was not kept apart")
+                data, start = ids.tobytes(), 0
+                for word, end in zip(group, ends):
+                    out[word] = data[4 * start : 4 * end]
+                    start = end + 1
         return out
 
 

@@ -16,40 +16,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import broadcast_if_small
-from .common import free_names, quoted, saved, spread, text_of
-from .encoding import KNOWN_WORDS, encoder
+from .common import free_names, parts_of, quoted, released, saved, spread, text_of
+from .encoding import KNOWN_WORDS, STRETCH, encoder, forget
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, remember: int = KNOWN_WORDS) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, remember: int = KNOWN_WORDS, stretch: int = STRETCH
+) -> DataFrame:
     """Token ids of every whole text plus ``end_id``, cut only where longer than ``capacity``.
 
     Columns doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit). NULL text is
     empty: one piece with the end id. A longer document has full pieces; its first may be shorter.
-    Repeated rows give repeated pieces. ``remember`` bounds the words a worker keeps between tasks:
-    more take memory, fewer take time.
+    Repeated rows give repeated pieces. ``remember`` bounds the words a worker keeps between tasks,
+    ``stretch`` the text it holds as words and ids at a time: more take memory, fewer take time.
     """
 
     def cut(batches):
-        own = encoder(tokenizer, remember)
+        own = encoder(tokenizer, remember, stretch)
         end = int(end_id).to_bytes(4, "little")
+        kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), own.encode(text_of(batch)), strict=True):
-                data += end
-                n = len(data) // 4
-                first = n if n <= capacity else n % capacity or capacity
-                at, piece = 0, 0
-                while at < n:
-                    stop = first if piece == 0 else at + capacity
-                    rows.append((doc_id, piece, at, stop - at, data[4 * at : 4 * stop]))
-                    at, piece = stop, piece + 1
-            if rows:
-                kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds]
-                )
-
-    return spread(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+            for part in parts_of(batch, stretch):
+                rows: list[tuple] = []
+                for doc_id, data in zip(part.column("doc_id").to_pylist(), own.encode(text_of(part)), strict=True):
+                    data += end
+                    n = len(data) // 4
+                    first = n if n <= capacity else n % capacity or capacity
+                    at, piece = 0, 0
+                    while at < n:
+                        stop = first if piece == 0 else at + capacity
+                        rows.append((doc_id, piece, at, stop - at, data[4 * at : 4 * stop]))
+                        at, piece = stop, piece + 1
+                if rows:
+                    made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)]
+                    del rows
+                    yield pa.RecordBatch.from_arrays(made, names=[n for n, _ in kinds])
+
+    return spread(docs).mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -127,11 +130,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return steps
 
 
-def pack(items: DataFrame, capacity: int) -> DataFrame:
+def pack(items: DataFrame, capacity: int, free: bool = False) -> DataFrame:
     """``items`` (any columns, one of them ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
     Sequences are numbered from 0 and filled without holes from offset 0. Input columns of those two
     names are replaced. Equal rows take different places. Only the histogram of lengths reaches the driver.
+    ``free`` drops what workers remember of a tokenizer before they rank; an encoder used again must then learn anew.
     """
     # written first, so that the workers that make the items are not also those that rank them
     items = saved(items.drop("sequence_id", "offset"), "pack-pieces")
@@ -141,6 +145,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     def numbered(batches):
         from pyspark import TaskContext
 
+        if free:
+            forget()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             size = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -155,7 +161,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 
     # ranks in two steps: inside each task as the pieces are written again, then shifted by the tasks before
     schema = StructType([*items.schema.fields, StructField(part_, IntegerType()), StructField(rank_, LongType())])
-    ranked = saved(items.mapInArrow(numbered, schema), "pack-items")
+    ranked = saved(items.mapInArrow(released(numbered), schema), "pack-items")
     sizes = ranked.groupBy("length", part_).agg(F.count(F.lit(1)).alias(number))
     before = Window.partitionBy("length").orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
     offsets = saved(sizes.select("length", part_, number, F.coalesce(F.sum(number).over(before), F.lit(0)).alias(shift)), "pack-sizes")
@@ -180,4 +186,4 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             )
 
     schema = StructType([*items.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(released(place), schema)

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from llm_helpers import DOCS, documents, stored, words
 from test_near_dedup import brute, corpus
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from eventmart.llm import mixing
+from eventmart.llm import encoding, mixing, packing
 
 
 def test_stages_against_plain_versions(spark, tmp_path):
@@ -79,3 +80,44 @@ def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
     except ZeroDivisionError:
         calls.append(2)
     assert calls == [1, 1, 2]
+
+
+def test_packing_encodes_a_large_batch_in_parts(monkeypatch):
+    class Docs:
+        def mapInArrow(self, function, schema):
+            return function
+
+    held, given = [], []
+    whole = encoding.Encoder.encode
+    monkeypatch.setattr(packing, "spread", lambda docs: docs)
+    monkeypatch.setattr(packing, "pack", lambda items, capacity, free: items)
+    monkeypatch.setattr(encoding.Encoder, "encode", lambda self, texts: held.append(sum(map(len, texts))) or whole(self, texts))
+    texts = [None, "", *(words(k, 20_000, 30_000) for k in range(30)), "w " * 700_000, None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    found: dict[int, bytes] = {}
+    encoding.forget()
+    for part in corpus_pipeline.pack_sequences(None, Docs(), "")(iter([batch, batch.slice(0, 0)])):
+        given.append(part.num_rows)
+        for doc_id, ids in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
+            found[doc_id] = found.get(doc_id, b"") + ids
+    # no more than a part and the text that ends it
+    assert len(given) > 3 and max(held) <= 2_500_000 < sum(held) == sum(len(t or "") for t in texts)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert list(found) == list(range(len(texts)))
+    for doc_id in (0, 1, 2, 9, 31, 33):
+        assert np.frombuffer(found[doc_id], "<u4").tolist() == plain.encode(texts[doc_id] or "", add_special_tokens=False).ids + [0]
+
+
+def test_few_encodings_at_a_time():
+    own = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes, inner = [], own._tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(len(texts))
+            return inner.encode_batch_fast(texts, **options)
+
+    own._tokenizer = Counting()
+    texts = [" ".join(f"q{k}x" for k in range(12_345))]
+    assert np.frombuffer(own.encode(texts)[0], "<u4").tolist() == inner.encode(texts[0], add_special_tokens=False).ids
+    assert max(sizes) <= encoding.GROUPS and len(sizes) > 1
