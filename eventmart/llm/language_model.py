@@ -22,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from .common import filesystem, id_crc, partitions, put_in_place, saved, text_of, word_hashes
+from .common import filesystem, id_crc, partitions, parts_of, put_in_place, release, released, saved, text_of, word_hashes
 
 STRENGTH = 100.0  # M
 LEVELS = 1 << 12  # of quantised values
 BATCH_DOCS, BATCH_CHARS = 4096, 8_000_000
+READ_BYTES = 1_000_000  # of texts that are Python strings at a time
+SHARD_TOKENS = 4_000_000  # of training, on average at most
+RANGE_TOKENS = 1 << 18  # of a shard that are sorted at a time
 _STRETCH = 1 << 16
+_RANGE_BITS = 12
 _HASH_BITS = 48
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -214,7 +218,7 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
 
     def counted(batches):
         parts, size = [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, READ_BYTES)):
             for text, train in zip(text_of(batch), batch.column("train").to_pylist(), strict=True):
                 if train:
                     parts.append(tokens(text))
@@ -225,7 +229,7 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
         if parts:
             yield _counts(parts)
 
-    found = docs.filter("train").mapInArrow(counted, "word long, count long")
+    found = docs.filter("train").mapInArrow(released(counted), "word long, count long")
     return saved(found.groupBy("word").agg(F.sum("count").alias("count")), "lm-words")
 
 
@@ -243,7 +247,7 @@ def _dealt(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
         number = TaskContext.get().partitionId() << 24
         texts: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, READ_BYTES)):
             for row in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), text_of(batch), strict=True):
                 texts.append(row)
                 size += len(row[2])
@@ -253,7 +257,7 @@ def _dealt(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
         if texts:
             yield _shuffled(texts, number, shards, hot)
 
-    return docs.mapInArrow(rows, "shard int, batch long, head binary, data binary")
+    return docs.mapInArrow(released(rows), "shard int, batch long, head binary, data binary")
 
 
 def _shuffled(texts: list[tuple], number: int, shards: int, hot: np.ndarray) -> pa.RecordBatch:
@@ -287,7 +291,8 @@ def _shuffled(texts: list[tuple], number: int, shards: int, hot: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), kinds)], names=[n for n, _ in kinds])
 
 
-def _parsed(data: bytes):
+def _parsed(data: pa.Buffer):
+    """Of one row: documents, which of them train, words ascending, end of each word's tokens, documents and predecessors of tokens."""
     n, kinds, tokens = (int(x) for x in np.frombuffer(data, np.uint32, 3))
     at = 12
     train = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at))[:n].astype(bool)
@@ -295,53 +300,104 @@ def _parsed(data: bytes):
     wide = np.zeros((kinds, 8), np.uint8)
     wide[:, :6] = np.frombuffer(data, np.uint8, 6 * kinds, at).reshape(kinds, 6)
     at += 6 * kinds
-    counts = np.frombuffer(data, np.uint32, kinds, at)
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint32, kinds, at), dtype=np.int64)])
     at += 4 * kinds
     doc = np.frombuffer(data, np.uint16, tokens, at)
-    return n, train, np.repeat(wide.view(np.uint64).ravel(), counts), doc, np.frombuffer(data, np.uint32, tokens, at + 2 * tokens)
+    return n, train, wide.view(np.uint64).ravel(), ends, doc, np.frombuffer(data, np.uint32, tokens, at + 2 * tokens)
+
+
+def _ranges(rows: list[tuple]) -> np.ndarray:
+    """First words of ranges that hold about RANGE_TOKENS tokens of the shard each, and one word above all."""
+    sizes = np.zeros(1 << _RANGE_BITS, np.int64)
+    for _, _, own, ends, _, _ in rows:
+        np.add.at(sizes, (own >> np.uint64(_HASH_BITS - _RANGE_BITS)).astype(np.int64), np.diff(ends))
+    firsts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // RANGE_TOKENS)) + 1
+    return np.concatenate([[0], firsts, [1 << _RANGE_BITS]]).astype(np.uint64) << np.uint64(_HASH_BITS - _RANGE_BITS)
+
+
+def _pairs(rows: list[tuple]):
+    """Words of a shard and their training counts; pairs (place of the word) << 32 | predecessor and theirs; the pair of every token.
+
+    The rows ascend by word, so the shard is sorted range by range.
+    """
+    bounds = _ranges(rows)
+    cuts = [np.searchsorted(own, bounds) for _, _, own, _, _, _ in rows]
+    starts = np.cumsum([0, *(len(r[4]) for r in rows)])
+    which = np.empty(int(starts[-1]), np.uint32)
+    words, asked = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]  # a shard may have heads only
+    counts, asked_counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    n_words = n_pairs = 0
+    for k in range(len(bounds) - 1):
+        parts = [(i, int(r[3][c[k]]), int(r[3][c[k + 1]])) for i, (r, c) in enumerate(zip(rows, cuts)) if c[k] < c[k + 1]]
+        if not parts:
+            continue
+        some = np.concatenate([np.repeat(rows[i][2][cuts[i][k] : cuts[i][k + 1]], np.diff(rows[i][3][cuts[i][k] : cuts[i][k + 1] + 1])) for i, _, _ in parts])
+        train = np.concatenate([rows[i][1][rows[i][4][a:b]] for i, a, b in parts])
+        own, place = np.unique(some, return_inverse=True)
+        words.append(own)
+        counts.append(np.bincount(place[train], minlength=len(own)))
+        some = place.astype(np.uint64) << np.uint64(32)
+        some |= np.concatenate([rows[i][5][a:b] for i, a, b in parts])
+        own_pairs, place = np.unique(some, return_inverse=True)
+        asked.append(own_pairs + (np.uint64(n_words) << np.uint64(32)))
+        asked_counts.append(np.bincount(place[train], minlength=len(own_pairs)).astype(np.uint32))
+        place += n_pairs
+        at = 0
+        for i, a, b in parts:
+            which[starts[i] + a : starts[i] + b] = place[at : at + b - a]
+            at += b - a
+        n_words, n_pairs = n_words + len(own), n_pairs + len(own_pairs)
+    return np.concatenate(words), np.concatenate(counts), np.concatenate(asked), np.concatenate(asked_counts), np.split(which, starts[1:-1])
 
 
 def _scored_shard(folder: str, hot: np.ndarray, hot_counts: np.ndarray, total: int, kinds: int):
     def score(table: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
-        rows = [_parsed(x) for x in table.column("data").to_pylist()]
-        words, before = np.concatenate([r[2] for r in rows]), np.concatenate([r[4] for r in rows])
-        train = np.concatenate([r[1][r[3]] for r in rows])
-        kinds_here, place = np.unique(words, return_inverse=True)
-        counts = np.bincount(place[train], minlength=len(kinds_here))
+        rows = [_parsed(x.as_buffer()) for x in table.column("data")]
+        kinds_here, counts, asked, asked_counts, which = _pairs(rows)
         frequent = np.flatnonzero(np.isin(kinds_here, hot))
         counts[frequent] = hot_counts[np.searchsorted(hot, kinds_here[frequent])]
         known_here = counts > 0
         every, every_counts = kinds_here[known_here], counts[known_here]
         rank = np.cumsum(known_here) - 1
-        # every pair of the shard once, with its number in the training documents
-        asked, which = np.unique((place.astype(np.uint64) << np.uint64(32)) | before, return_inverse=True)
-        asked_counts = np.bincount(which[train], minlength=len(asked))
-        asked_word = (asked >> np.uint64(32)).astype(np.int64)
+        # every pair of the shard is there once, with its number in the training documents
+        asked_word = (asked >> np.uint64(32)).astype(np.uint32)
+        asked &= np.uint64(0xFFFFFFFF)
         seen = asked_counts > 0
-        pairs = (rank[asked_word[seen]].astype(np.uint64) << np.uint64(32)) | (asked[seen] & np.uint64(0xFFFFFFFF))
+        pairs = (rank[asked_word[seen]].astype(np.uint64) << np.uint64(32)) | asked[seen]
         path = f"{folder}/shard-{table.column('shard')[0].as_py():06d}.trie"
         write_levels(build_trie(every, every_counts, pairs, asked_counts[seen], total, kinds), path, str(TaskContext.get().taskAttemptId()))
-        numerator, context, known = Trie(path).numerators(kinds_here[asked_word], (asked & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        numerator[~known] = np.log10(STRENGTH / (total + kinds + 1.0))
-        context[~known] = np.log10(STRENGTH)
-        context[kinds_here[asked_word] == np.uint64(END)] = 0  # nothing follows an end
-        value = (numerator - context)[which]
-        base = np.log10(counts + 1.0)[place]
-        known = known_here[place]
+        del pairs, seen, asked_counts
+        trie = Trie(path)
+        value = np.empty(len(asked))
+        for at in range(0, len(asked), RANGE_TOKENS):
+            some = slice(at, at + RANGE_TOKENS)
+            words = kinds_here[asked_word[some]]
+            numerator, context, known = trie.numerators(words, asked[some].astype(np.uint32))
+            numerator[~known] = np.log10(STRENGTH / (total + kinds + 1.0))
+            context[~known] = np.log10(STRENGTH)
+            context[words == np.uint64(END)] = 0  # nothing follows an end
+            value[some] = numerator - context
+        del asked
+        base = np.log10(counts + 1.0)
         out: list[tuple] = []
-        at = 0
-        for (n, _, own_words, doc, _), batch, head in zip(rows, table.column("batch").to_pylist(), table.column("head").to_pylist(), strict=True):
-            own = slice(at, at + len(own_words))
-            at += len(own_words)
-            sums = [np.bincount(doc, x[own], n) for x in (base, value, known)]
-            out.append((batch, head, sums[0].astype("<f8").tobytes(), sums[1].astype("<f4").tobytes(), sums[2].astype("<u4").tobytes()))
-        names = ["batch", "head", "base", "score", "known"]
-        types = [pa.int64(), *[pa.binary()] * 4]
+        for (n, _, _, _, doc, _), own, batch, head in zip(rows, which, table.column("batch").to_pylist(), table.column("head").to_pylist(), strict=True):
+            word = asked_word[own]
+            there = np.flatnonzero(np.bincount(doc, minlength=n))
+            sums = [np.bincount(doc, x, n)[there] for x in (base[word], value[own], known_here[word])]
+            out.append((batch, head, there.astype("<u2").tobytes(), sums[0].astype("<f8").tobytes(), sums[1].astype("<f4").tobytes(), sums[2].astype("<u4").tobytes()))
+        names = ["batch", "head", "doc", "base", "score", "known"]
+        types = [pa.int64(), *[pa.binary()] * 5]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return score
+    def freed(table: pa.Table) -> pa.Table:
+        try:
+            return score(table)
+        finally:
+            release()
+
+    return freed
 
 
 def score_documents(docs: DataFrame, hold: tuple[int, int] = (7, 2)) -> DataFrame:
@@ -354,9 +410,9 @@ def score_documents(docs: DataFrame, hold: tuple[int, int] = (7, 2)) -> DataFram
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (id_crc() % hold[0] != hold[1]).alias("train"))
     words = _vocabulary(slim)
-    shards = partitions(spark)
     sums = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = int(sums["n"]), int(sums["v"])
+    shards = max(partitions(spark), -(-total // SHARD_TOKENS))
     # at most 4 x shards words can be this frequent
     frequent = words.filter(F.col("count") * (4 * shards) >= total).orderBy("word").collect()
     hot = np.array([r["word"] for r in frequent], np.int64).astype(np.uint64)
@@ -367,17 +423,18 @@ def score_documents(docs: DataFrame, hold: tuple[int, int] = (7, 2)) -> DataFram
     folder = run_dir(spark, "lm-tries")
     parts = saved(
         _dealt(slim, shards, hot).groupBy("shard").applyInArrow(
-            _scored_shard(folder, hot, hot_counts, total, kinds), "batch long, head binary, base binary, score binary, known binary"
+            _scored_shard(folder, hot, hot_counts, total, kinds), "batch long, head binary, doc binary, base binary, score binary, known binary"
         ),
         "lm-parts",
     )
 
     def whole(table: pa.Table) -> pa.Table:
         ids, missing, sizes = np.frombuffer(next(h for h in table.column("head").to_pylist() if h is not None), np.int64).reshape(3, -1)
-        base, score, known = (
-            np.sum([np.frombuffer(x, kind).astype(np.float64) for x in table.column(name).to_pylist()], axis=0)
-            for name, kind in (("base", "<f8"), ("score", "<f4"), ("known", "<u4"))
-        )
+        docs_there = [np.frombuffer(x.as_buffer(), "<u2") for x in table.column("doc")]
+        base, score, known = (np.zeros(len(ids)) for _ in range(3))
+        for sums, name, kind in ((base, "base", "<f8"), (score, "score", "<f4"), (known, "known", "<u4")):
+            for there, x in zip(docs_there, table.column(name), strict=True):
+                sums[there] += np.frombuffer(x.as_buffer(), kind)
         return pa.table({
             "doc_id": pa.array(ids, mask=missing.astype(bool)), "n_tokens": sizes, "n_known": np.rint(known).astype(np.int64),
             "train_tokens": np.full(len(ids), total), "base_score": base - norm * sizes, "score": score - opening,

@@ -1,8 +1,11 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from llm_helpers import DOCS, EDGE_TEXTS, documents, stored, words
 
@@ -85,3 +88,43 @@ def test_nothing_to_learn_and_nothing_to_score(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     held_against(lm.score_documents(documents(spark, ["a b"], held)).collect(), [(held, "a b")])
     assert lm.score_documents(documents(spark, [])).count() == 0
+
+
+def test_more_shards_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    rows = [(k, words(k % 70, k % 90) + " same" * (k % 40)) for k in range(300)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    held_against(lm.score_documents(df).collect(), rows)
+
+
+def shard(texts, each=10):
+    """All tokens of some training texts, as one shard."""
+    return pa.Table.from_batches([
+        lm._shuffled([(k + j, (k + j) % 7 != 2, t or "") for j, t in enumerate(texts[k : k + each])], k, 1, np.zeros(0, np.uint64)) for k in range(0, len(texts), each)
+    ])
+
+
+def scorer(folder, monkeypatch, total):
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: type("Task", (), {"taskAttemptId": lambda self: 1})())
+    return lm._scored_shard(str(folder), np.zeros(0, np.uint64), np.zeros(0, np.int64), total, 401)
+
+
+def test_shard_in_ranges(tmp_path, monkeypatch):
+    table = shard([*EDGE_TEXTS, *(words(k % 70, k % 90) + " same" * (k % 40) for k in range(300))])
+    whole = scorer(tmp_path / "whole", monkeypatch, 20_000)(table)
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 50)
+    assert scorer(tmp_path / "ranges", monkeypatch, 20_000)(table) == whole
+    assert (tmp_path / "ranges/shard-000000.trie").read_bytes() == (tmp_path / "whole/shard-000000.trie").read_bytes()
+
+
+def test_memory_of_a_shard(tmp_path, monkeypatch):
+    table = shard([words(k, 5000) for k in range(200)])
+    score = scorer(tmp_path, monkeypatch, 200 * 5001)
+    tracemalloc.start()
+    try:
+        out = score(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.num_rows == 20
+    assert peak < 60 * 200 * 5001  # bytes a token, beside its row in Arrow
