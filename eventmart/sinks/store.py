@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..operators.clean import quoted
 from ..operators.dedup import deduplicate_store, keep_first
-from ..session import broadcast_if_small, child_names, materialise, move_files, remove_folder
+from ..session import DELETE_SHUFFLES, broadcast_if_small, child_names, is_small, materialise, maybe_among, move_files, remove_folder, setting
 from ..sources import store as source
 
 # Folders of a new table; a table keeps the number it was made with until it is compacted with another.
@@ -123,13 +123,10 @@ OPEN_FILES = 32
 
 
 def _write(df: DataFrame, path: str, buckets: int) -> None:
-    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
-    before = conf.get(name)
-    conf.set(name, buckets if buckets <= OPEN_FILES else 0)
-    try:
+    # a task that has opened as many files as this begins to sort, so it is one more than there are
+    files = buckets + 1 if buckets <= OPEN_FILES else 0
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", files), setting(df.sparkSession, DELETE_SHUFFLES, True):
         df.write.mode("append").option("compression", "zstd").partitionBy(S.BUCKET).parquet(path)
-    finally:
-        conf.set(name, before)
 
 
 def merge_staged(
@@ -153,8 +150,7 @@ def merge_staged(
     if touched:
         names = [f"{staged}/{name}" for name in sorted(touched)]
         some = spark.read.schema(rows.schema).option("basePath", staged).parquet(*[re.sub(r"([\\*?\[\]{}])", r"\\\1", n) for n in names])
-        kept = _located(some).join(broadcast_if_small(out), [S.BUCKET, *PLACE], "left_anti")
-        _write(kept.drop(*PLACE, *leave), target, _buckets(spark, staged))
+        _write(_kept(_located(some), out).drop(*PLACE, *leave), target, _buckets(spark, staged))
     folders = [n for n in child_names(spark, staged) if n.startswith(f"{S.BUCKET}=")]
     files = [f"{folder}/{name}" for folder in folders for name in child_names(spark, f"{staged}/{folder}") if name.endswith(".parquet")]
     move_files(spark, [f for f in files if f not in touched], staged, target)
@@ -169,15 +165,29 @@ def _located(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")})
 
 
+def _kept(located: DataFrame, out: DataFrame) -> DataFrame:
+    """Staged records without those of ``out``; where that is long, only records that may be among them are shuffled."""
+    where = [S.BUCKET, *PLACE]
+    if is_small(out):
+        return located.join(F.broadcast(out), where, "left_anti")
+    number = F.xxhash64(*where)
+    told = maybe_among(located, number, out.select(number.alias("_number")))
+    return told.filter("not _maybe").unionByName(told.filter("_maybe").join(out, where, "left_anti")).drop("_maybe")
+
+
+def _doubtful(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The records whose ``_number`` is one of ``hashes``, and where those are many a few others; nothing is shuffled."""
+    if is_small(hashes):
+        return rows.join(F.broadcast(hashes), "_number", "left_semi")
+    return maybe_among(rows, F.col("_number"), hashes).filter("_maybe").drop("_maybe")
+
+
 def _left_out(rows: DataFrame, path: str | None, refused) -> DataFrame:
     """(folder, file, row) of staged records that are refused or have an identity that is stored or came before."""
     spark = rows.sparkSession
     located = _located(rows)
     where = [S.BUCKET, *PLACE]
-    bad = None
-    if refused is not None:
-        bad = materialise(refused(located).select(*where))
-        located = located.join(broadcast_if_small(bad), where, "left_anti")
+    bad = None if refused is None else materialise(refused(located).select(*where))
     order = [c for c in S.ARRIVAL if c in rows.columns] or [c for c in rows.columns if c not in (S.DEDUP_KEY, S.BUCKET)]
     own = located.select(S.DEDUP_KEY, F.struct(*[quoted(c) for c in order], *PLACE).alias("_place"), *where)
     number = F.xxhash64(S.DEDUP_KEY).alias("_number")
@@ -189,11 +199,14 @@ def _left_out(rows: DataFrame, path: str | None, refused) -> DataFrame:
         stored = spark.read.schema(f"{S.DEDUP_KEY} string, {S.BUCKET} string").parquet(path).filter(F.col(S.BUCKET).isin(folders))
         hashes = hashes.unionByName(stored.select(number, F.lit(0).alias("new")))
     seen = hashes.groupBy("_number").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).filter("n > 1 and new = 1")
-    doubtful = broadcast_if_small(materialise(seen.select("_number")))
-    own = own.withColumn("_number", number).join(doubtful, "_number", "left_semi")
+    doubtful = materialise(seen.select("_number"))
+    own = _doubtful(own.withColumn("_number", number), doubtful)
+    # refused records are counted with the others, so that only doubtful ones are looked up among them
+    if bad is not None:
+        own = own.join(broadcast_if_small(bad), where, "left_anti")
     every = own.select("_number", S.DEDUP_KEY, "_place")
     if stored is not None:
-        held = stored.select(number, S.DEDUP_KEY).join(doubtful, "_number", "left_semi")
+        held = _doubtful(stored.select(number, S.DEDUP_KEY), doubtful)
         none = F.lit(None).cast(own.schema["_place"].dataType)
         every = every.unionByName(held.select("_number", S.DEDUP_KEY, none.alias("_place")))
     # a stored identity has no first place among the new ones

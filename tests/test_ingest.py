@@ -6,11 +6,13 @@ import zipfile
 
 import pytest
 from conftest import column, rows
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from eventmart import schemas as S
 from eventmart.operators import ledger
 from eventmart.plans import ingest
+from eventmart.session import maybe_among
 from eventmart.sinks import bundles
 from eventmart.sinks import store as sink
 from eventmart.sources import files, store, text_exports
@@ -391,6 +393,50 @@ def test_new_identities_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert plans[0].count("Exchange hashpartitioning") == 2 and "Sort [_hash" in plans[0]
 
 
+def test_of_many_repetitions_only_those_are_shuffled(spark, tmp_path, monkeypatch):
+    root, plans = str(tmp_path / "s"), []
+    sink.merge_records(records(spark, 1, [("a", "1"), ("b", "1")]), root, "submission")
+    pairs = [("a", "2"), *(("x", str(k)) for k in range(5)), ("no", "1"), ("both", "1"), (None, "1"), (None, "2"), *((f"n{k}", "1") for k in range(300))]
+    more = records(spark, 2, pairs, "g").union(records(spark, 2, [("both", "2"), ("y", "2")], "bad"))
+    staged, rows = sink.stage_records(more.coalesce(1), root, "submission")
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df)
+
+    # every list counts as too long to be broadcast, as with 200,000 repetitions and gigabytes staged
+    materialise = sink.materialise
+    monkeypatch.setattr(sink, "materialise", seen)
+    monkeypatch.setattr(sink, "is_small", lambda *_: False, raising=False)
+    monkeypatch.setattr(sink, "broadcast_if_small", lambda df, *_: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sink.merge_staged(staged, rows, root, "submission", lambda r: r.filter(f"{S.FILE_HASH} = 'bad' or {S.DEDUP_KEY} = 'no'"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert stored(spark, root) == sorted([("-", "1"), ("a", "1"), ("b", "1"), ("both", "1"), ("x", "0"), *((f"n{k}", "1") for k in range(300))])
+    # refused records, hashes that repeat, records to leave out: none is found by a join of all records
+    assert len(plans) == 3 and "LeftAnti" not in plans[1] and "LeftSemi" not in plans[2] and "BroadcastHashJoin" in plans[2]
+
+
+def test_filter_of_hashes_finds_all_and_few_others(spark):
+    few = spark.range(0, 5000, 50).select(F.xxhash64("id").alias("_number"))
+    told = maybe_among(spark.range(20000), F.xxhash64("id"), few)
+    hits = [r.id for r in told.filter("_maybe").collect()]
+    assert told.count() == 20000 and told.columns == ["id", "_maybe"]
+    assert set(range(0, 5000, 50)) <= set(hits) and len(hits) == len(set(hits)) < 110
+
+
+def test_staging_keeps_a_file_open_per_folder(spark, tmp_path, monkeypatch):
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    before = spark.conf.get(name)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, *a, **k: (seen.append(int(spark.conf.get(name))), write(w, *a, **k))[1])
+    sink.stage_records(records(spark, 1, [(str(k), "1") for k in range(50)]), str(tmp_path / "s"), "submission")
+    # a task that has opened as many files as it may sorts the rest of its records
+    assert seen == [sink.BUCKETS + 1] and spark.conf.get(name) == before
+
+
 def test_generation_that_broke_off_does_not_count(spark, tmp_path):
     root = str(tmp_path / "s")
     sink.merge_records(records(spark, 1, [("a", "1")]), root, "submission")
