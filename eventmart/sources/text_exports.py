@@ -180,9 +180,12 @@ def read_layout(
 
 def file_figures(rows: DataFrame, file: str) -> DataFrame:
     """Per file: rows, its first record (_block, _row_no), records wider than the header and their most cells."""
-    place = F.struct(S.BLOCK, S.ROW_NO)
-    return rows.groupBy(file).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(place).alias("first"), F.count(CELLS).alias("wide"), F.max(CELLS).alias("most")
+    # a least pair of two columns would sort all records, so the pairs are those of blocks
+    blocks = rows.groupBy(file, S.BLOCK).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(S.ROW_NO).alias(S.ROW_NO), F.count(CELLS).alias("wide"), F.max(CELLS).alias("most")
+    )
+    return blocks.groupBy(file).agg(
+        F.sum("rows").alias("rows"), F.min(F.struct(S.BLOCK, S.ROW_NO)).alias("first"), F.sum("wide").alias("wide"), F.max("most").alias("most")
     )
 
 

@@ -428,6 +428,15 @@ def test_filter_of_hashes_finds_all_and_few_others(spark):
     assert set(range(0, 5000, 50)) <= set(hits) and len(hits) == len(set(hits)) < 110
 
 
+def test_figures_of_files_do_not_sort_records(spark):
+    seen = [("f", 0, 7, None), ("f", 0, 5, 9), ("f", 3, 1, None), ("g", 2, 2**33, 4), ("g", 2, 2**33 + 1, 6)]
+    read = spark.createDataFrame(seen, f"_file_hash string, {S.BLOCK} long, {S.ROW_NO} long, {text_exports.CELLS} int")
+    found = text_exports.file_figures(read, S.FILE_HASH)
+    assert sorted(rows(found)) == [("f", 3, (0, 5), 1, 9), ("g", 2, (2, 2**33), 2, 6)]
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "HashAggregate" in [line for line in plan if "Aggregate" in line][-1]
+
+
 def test_staging_keeps_a_file_open_per_folder(spark, tmp_path, monkeypatch):
     name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
     before = spark.conf.get(name)
